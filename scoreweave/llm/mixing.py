@@ -43,7 +43,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     The reshared targets are min(max_repeat * size, level * weight) for the one level at which they sum to the total:
     sources ordered by size per weight reach their limit one after the other, and prefix sums give the level after each.
     All sums are of whole numbers, so every run agrees to the last bit."""
-    per = sized.groupBy("k").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    per = sized.groupBy("k").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy("k"))
     share = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", share.cast("long")).withColumn("limit", F.col("source_size") * max_repeat)
@@ -64,70 +64,90 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     target = F.when(
         F.col("level").isNull() | (F.col("place") < F.col("level.place")), F.col("limit").cast("double")
     ).otherwise((F.col("level.total") - F.col("level.held")).cast("double") * F.col("weight") / F.col("level.open_weight"))
-    return per.select("k", "source_size", "n_docs", target.alias("target"))
+    return per.select("k", "source_size", target.alias("target"))
 
 
 def _offset(key: Column, seed: int) -> Column:
-    """One offset in (0, 1) for each source, from the first four hex digits of an MD5."""
+    """A number in (0, 1) for each source, from the first four hex digits of an MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.when(key["absent"], F.lit("null")).otherwise(F.concat(F.lit("="), key["name"]))).cast("binary"))
     digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substr(digest, F.lit(i), F.lit(1))) - 1
     return (digit(1) * 4096 + digit(2) * 256 + digit(3) * 16 + digit(4) + 0.5) / 65536.0
 
 
-def copies(rows: DataFrame, targets: DataFrame, narrow: DataFrame, *, seed: int = 1, cell_rows: int = 256, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """rows (with k, doc_id, size and any others) plus source_size, target and n_copies. narrow: the same rows, as
-    written, with k, doc_id and size only; counts are made from it."""
-
-    def placed(df: DataFrame) -> DataFrame:
-        digits = F.col("size").cast("string")
-        known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-        return df.withColumns({
-            "bin": F.length(digits) * 100 + F.substr(digits, F.lit(1), F.lit(2)).cast("int"),
-            "spot": (F.pmod(known, F.lit(HALF)) * F.lit(KNUTH)) % F.lit(FULL),
-        })
-
-    cell = F.shiftright(F.col("spot") * F.col("n_cells"), 32)
-    bins = placed(narrow).groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n_bin"))
-    bins = bins.select(
-        "k", "bin", F.ceil(F.col("n_bin") / cell_rows).cast("long").alias("n_cells"),
-        F.coalesce(F.sum("n_bin").over(W.partitionBy("k").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bin_start"),
-    )
-    bins = settle(bins.join(targets, "k"), "mix-bins")
-    cells = placed(narrow).join(bins.select("k", "bin", "n_cells", "bin_start"), ["k", "bin"]).groupBy("k", "bin", "bin_start", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.select(
-        "k", "bin", "cell",
-        (F.col("bin_start") + F.coalesce(F.sum("n").over(W.partitionBy("k", "bin").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("start"),
-    )
-    out = placed(rows).join(bins.drop("bin_start"), ["k", "bin"]).withColumn("cell", cell).join(cells, ["k", "bin", "cell"])
+def _placed(df: DataFrame) -> DataFrame:
+    """bin: length and first two digits of the size; spot: a scrambled doc_id, the order in a bin."""
+    digits = F.col("size").cast("string")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    return df.withColumns({
+        "bin": F.length(digits) * 100 + F.substr(digits, F.lit(1), F.lit(2)).cast("int"),
+        "spot": (F.pmod(known, F.lit(HALF)) * F.lit(KNUTH)) % F.lit(FULL),
+    })
+
+
+def _cell() -> Column:
+    return F.shiftright(F.col("spot") * F.col("n_cells"), 32)
+
+
+def _starts(sized: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of each (source, bin), and the number of a source's rows before each cell."""
+    bins = _placed(sized).groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n_bin"))
+    before = lambda keys, order, n: F.coalesce(F.sum(n).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = settle(bins.select("k", "bin", F.ceil(F.col("n_bin") / cell_rows).cast("long").alias("n_cells"), before(["k"], "bin", "n_bin").alias("bin_start")), "mix-bins")
+    cells = _placed(sized).join(bins, ["k", "bin"]).groupBy("k", "bin", "bin_start", _cell().alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("k", "bin", "cell", (F.col("bin_start") + before(["k", "bin"], "cell", "n")).alias("start"))
+    return bins.drop("bin_start"), cells
+
+
+def _ranked(rows: DataFrame, starts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """rows plus place, the number of the source's rows before each."""
+    bins, cells = starts
+    out = _placed(rows).join(bins, ["k", "bin"]).withColumn("cell", _cell()).join(cells, ["k", "bin", "cell"])
     order = W.partitionBy("k", "bin", "cell").orderBy("spot", F.col("doc_id").asc_nulls_first(), "size")
-    out = out.withColumn("place", F.col("start") + F.row_number().over(order) - 1)
+    return out.withColumn("place", F.col("start") + F.row_number().over(order) - 1).drop("bin", "spot", "cell", "n_cells", "start")
+
+
+def _crossed(offset: Column, max_repeat: int) -> Column:
+    """Whole numbers that a row's stretch of the source's prefix sum crosses."""
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = lambda n: F.floor(_offset(F.col("k"), seed) + each * n)
-    crossed = F.least(at(F.col("place") + 1) - at(F.col("place")), F.lit(max_repeat))
-    return out.withColumn("n_copies", F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long")).drop(
-        "bin", "spot", "cell", "n_cells", "start", "place", "n_docs"
-    )
+    at = lambda n: F.floor(offset + each * n)
+    n = F.least(at(F.col("place") + 1) - at(F.col("place")), F.lit(max_repeat))
+    return F.when(F.col("size") > 0, n).otherwise(F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(_key(F.col("source").cast("string")).alias("k"), "doc_id", word_count(F.col("text").cast("string")).alias("size"))
+def _with_offsets(ranked: DataFrame, targets: DataFrame, seed: int, tries: int, max_repeat: int) -> DataFrame:
+    """targets plus offset: of `tries` evenly spaced offsets from a random first, the one whose words come nearest the
+    target, since a source with few or very uneven documents is coarse."""
+    offsets = [(_offset(F.col("k"), seed) + i / tries) % 1.0 for i in range(tries)]
+    sums = ranked.join(targets, "k").groupBy("k").agg(*[F.sum(_crossed(o, max_repeat) * F.col("size")).alias(f"s{i}") for i, o in enumerate(offsets)])
+    both = targets.join(sums, "k")
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{i}") - F.col("target")).alias("off"), F.lit(i).alias("i")) for i in range(tries)]))["i"]
+    return both.select("k", "source_size", "target", ((_offset(F.col("k"), seed) + best / F.lit(float(tries))) % 1.0).alias("offset"))
 
 
-def mix_sizes(docs: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 1) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken and n_copies."""
+def _key_and_size() -> list[Column]:
+    return [_key(F.col("source").cast("string")).alias("k"), F.col("doc_id"), word_count(F.col("text").cast("string")).alias("size")]
+
+
+def _plan(docs: DataFrame, weights, max_repeat: int, seed: int, tries: int, cell_rows: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
     need(docs, "doc_id", "text", "source")
-    sized = settle(_sized(docs), "mix-sizes")
-    out = copies(sized, source_targets(sized, weights, max_repeat), sized, seed=seed, max_repeat=max_repeat)
+    sized = settle(docs.select(*_key_and_size()), "mix-sizes")
+    starts = _starts(sized, cell_rows)
+    ranked = settle(_ranked(sized, starts), "mix-ranks")
+    targets = settle(source_targets(sized, weights, max_repeat), "mix-targets")
+    return ranked, settle(_with_offsets(ranked, targets, seed, tries, max_repeat), "mix-offsets"), starts
+
+
+def mix_sizes(docs: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 1, tries: int = 16, cell_rows: int = 256) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken and n_copies."""
+    ranked, targets, _ = _plan(docs, weights, max_repeat, seed, tries, cell_rows)
+    out = ranked.join(targets, "k").withColumn("n_copies", _crossed(F.col("offset"), max_repeat))
     return out.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies")
 
 
-def mix_documents(docs: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 1) -> DataFrame:
+def mix_documents(docs: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 1, tries: int = 16, cell_rows: int = 256) -> DataFrame:
     """The mixed corpus: every document's row as many times as it is taken, with its columns."""
-    need(docs, "doc_id", "text", "source")
-    sized = settle(_sized(docs), "mix-sizes")
-    whole = docs.select(
-        F.struct("*").alias("whole"), _key(F.col("source").cast("string")).alias("k"), "doc_id", word_count(F.col("text").cast("string")).alias("size")
-    )
-    out = copies(whole, source_targets(sized, weights, max_repeat), sized, seed=seed, max_repeat=max_repeat)
+    _, targets, starts = _plan(docs, weights, max_repeat, seed, tries, cell_rows)
+    whole = docs.select(F.struct("*").alias("whole"), *_key_and_size())
+    out = _ranked(whole, starts).join(targets, "k").withColumn("n_copies", _crossed(F.col("offset"), max_repeat))
     out = out.where(F.col("n_copies") > 0).select("whole", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("n"))
     return out.select("whole.*")

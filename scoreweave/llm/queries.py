@@ -44,6 +44,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sizes
 
@@ -54,5 +60,67 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Words of a text in DuckDB.
+_N_WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
+
+OP8_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+OP10_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST({_N_WORDS} AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source
+), run AS (
+  SELECT *, row_number() OVER w AS place, sum(source_size) OVER () AS total,
+    coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_weight
+  FROM per WINDOW w AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST)
+), level AS (
+  SELECT * FROM run WHERE 3 * source_size * open_weight >= (total - held) * weight ORDER BY place LIMIT 1
+), aimed AS (
+  SELECT r.source, r.source_size, CASE WHEN l.place IS NULL OR r.place < l.place THEN CAST(3 * r.source_size AS DOUBLE)
+    ELSE CAST(l.total - l.held AS DOUBLE) * r.weight / l.open_weight END AS target,
+    md5('1|' || CASE WHEN r.source IS NULL THEN 'null' ELSE '=' || r.source END) AS digest
+  FROM run r LEFT JOIN level l ON true
+), first AS (
+  SELECT source, source_size, target, (4096 * (instr('0123456789abcdef', substr(digest, 1, 1)) - 1) + 256 * (instr('0123456789abcdef', substr(digest, 2, 1)) - 1)
+    + 16 * (instr('0123456789abcdef', substr(digest, 3, 1)) - 1) + instr('0123456789abcdef', substr(digest, 4, 1)) - 1 + CAST(0.5 AS DOUBLE)) / 65536 AS start
+  FROM aimed
+), ranked AS (
+  SELECT s.doc_id, s.size, f.*, row_number() OVER (PARTITION BY s.source ORDER BY
+    length(CAST(s.size AS VARCHAR)) * 100 + CAST(substr(CAST(s.size AS VARCHAR), 1, 2) AS INT),
+    ((((coalesce(s.doc_id, -1) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296, s.doc_id NULLS FIRST, s.size) - 1 AS place
+  FROM sized s JOIN first f ON s.source IS NOT DISTINCT FROM f.source
+), tried AS (
+  SELECT r.*, i, CASE WHEN size = 0 THEN 0 ELSE size * least(3,
+    CAST(floor((start + i / CAST(16 AS DOUBLE)) % 1 + target / source_size * (place + 1)) - floor((start + i / CAST(16 AS DOUBLE)) % 1 + target / source_size * place) AS BIGINT)) END AS taken
+  FROM ranked r, range(16) t(i)
+), off AS (
+  SELECT source, i, abs(sum(taken) - any_value(target)) AS far FROM tried GROUP BY source, i
+), picked AS (
+  SELECT source, i FROM off QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, i) = 1
+)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM tried t JOIN picked p ON t.source IS NOT DISTINCT FROM p.source AND t.i = p.i
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": OP8_SQL, "op10_source_mixing": OP10_SQL}

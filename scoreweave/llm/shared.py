@@ -71,29 +71,32 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 class Words:
-    """Words of a slice of texts. offsets: n + 1 positions into ids; ids: index into vocab; vocab: distinct words."""
+    """Words of a slice of texts. offsets: n + 1 positions into ids; ids: index into vocab; vocab: distinct words, as UTF-8.
+    lower: A-Z become a-z."""
 
     __slots__ = ("ids", "offsets", "vocab")
 
     def __init__(self, texts: pa.Array, lower: bool = False) -> None:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        told = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        inside = (told != 32) & ((told < 9) | (told > 13))
+        fresh = np.ones(len(told) + 1, bool)  # whether a word could start at a byte
+        np.logical_not(inside, out=fresh[1:])
+        fresh[ends] = True
+        starts = np.nonzero(inside & fresh[:-1])[0]
+        letters = told[inside]
         if lower:
-            texts = pc.ascii_lower(texts)
-        texts = pc.ascii_trim_whitespace(texts)
-        parts = pc.ascii_split_whitespace(texts)
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        flat = parts.flatten()
-        if len(flat) == 0:
-            self.offsets, self.ids, self.vocab = offsets - offsets[0], np.zeros(0, np.int64), pa.array([], pa.large_string())
-            return
-        offsets -= offsets[0]
-        empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        if empty.any():  # an empty text splits into one empty word
-            kept = np.concatenate([[0], np.cumsum(~empty)])
-            offsets = kept[offsets]
-            flat = flat.filter(pa.array(~empty))
+            letters = letters + (((letters >= 65) & (letters <= 90)).view(np.uint8) << 5)
+        cuts = np.empty(len(starts) + 1, np.int64)
+        cuts[:-1] = np.cumsum(inside)[starts] - 1
+        cuts[-1] = len(letters)
+        self.offsets = np.searchsorted(starts, ends)
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
         coded = flat.dictionary_encode()
-        self.offsets, self.ids, self.vocab = offsets, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.ids, self.vocab = coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
     @property
     def counts(self) -> np.ndarray:
@@ -105,10 +108,10 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each distinct word; the same in every process."""
-        return hash_strings(self.vocab)
+        return hash_bytes(self.vocab)
 
 
-def hash_strings(values: pa.Array) -> np.ndarray:
+def hash_bytes(values: pa.Array) -> np.ndarray:
     if not len(values):
         return np.zeros(0, np.uint64)
     return pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False)
