@@ -1,0 +1,60 @@
+"""Scalar functions on names, dates and labels, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Labels of a chart's axis, where they differ from the metric's name (fixed values).
+AXIS_LABELS = {
+    "Cost of 1K responses": "Cost of 1K Responses ($)",
+    "Completion Latency": "Time to give an answer (seconds)",
+    "Input cost": "Input Cost ($/M tokens)",
+    "Output cost": "Output Cost ($/M tokens)",
+    "Size": "Size (Billion Parameters)",
+    "Active parameters": "Billion Active Parameters",
+    "Release date": "Release Date (Year)",
+}
+
+
+def normalize_name(name: Column) -> Column:
+    """Lower case, without the first run of eight digits; separators are single blanks."""
+    dated = F.regexp_replace(F.lower(name), r"(?s)^(.*?)[0-9]{8}", "$1")
+    return F.regexp_replace(F.regexp_replace(F.translate(dated, "-._", "   "), r"(?U)\s+", " "), r"^ | $", "")
+
+
+def capitalize(name: Column) -> Column:
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
+
+
+def slug(company: Column) -> Column:
+    """File name of a company: lower case without blanks and dots."""
+    return F.regexp_replace(F.lower(company), r"[\s.]", "")
+
+
+def year_fraction(day: Column) -> Column:
+    """A date as a year with its elapsed share."""
+    start = lambda n: F.make_date(F.year(day) + n, F.lit(1), F.lit(1))
+    return F.year(day) + F.datediff(day, start(0)) / F.datediff(start(1), start(0))
+
+
+def age_alpha(day: Column, as_of: Column) -> Column:
+    """1 for today down to 0 a year ago; 0.7 without a date."""
+    return F.when(day.isNull(), F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), 1 - F.datediff(as_of, day) / F.lit(365.0)))
+
+
+def axis_label(metric: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in AXIS_LABELS.items() for x in pair])
+    return F.coalesce(F.element_at(table, metric), metric)
+
+
+def axis_scale(metric: Column) -> Column:
+    return F.when(metric == "Release date", "linear").otherwise("logarithmic")
+
+
+def hue(text: Column) -> Column:
+    """A stable hue for a name: a rolling hash of 32 bits whose product wraps, modulo 360 (it may be negative)."""
+    # Only the shifted part wraps; sums stay exact as whole numbers.
+    wrap = lambda x: F.pmod(x + 2147483648, F.lit(4294967296)) - 2147483648
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda h, c: c + wrap(wrap(h) * 32) - h) % 360
