@@ -6,9 +6,11 @@ set; only one document of a class goes on, so copies cost nothing further. Signa
 into buckets, one a band. A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**rows)**bands, 1e-7 at 5 x 40.
 
 Pairs are taken in two turns, and never all pairs of a group. First every bucket's smallest class is paired with the others;
-verified links are joined into components. A bucket whose classes now are one component is done. In the others, signatures
-are compared between components only, in blocks of `block` x `block`, and what may be similar is verified as well. So
-no candidate is dropped, whatever the size of a bucket. A link counts once the full sets confirm it.
+verified links are joined into components. A bucket whose classes now are one component is done. In the others, components whose
+signatures may be similar are gathered into families (one row a component, not one a pair), and a family's full sets are joined
+exactly: two sets of similarity t share a shingle among the rarest (1 - t) + 1 of each, so only such pairs are compared, and
+only between components not yet linked. Buckets and families larger than a block are dealt into blocks, of which each two meet. So no
+candidate is dropped, whatever the size of a bucket. A link counts once the full sets confirm it.
 
 Defined results: a null text, and one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; a document with a null doc_id is left alone (component null, kept); rows that share a doc_id
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Rolling, Words, mix64, need, settle, steps
+from .shared import Rolling, Words, mix64, need, part_by, settle, steps
 
 BANDS, ROWS = 40, 5
 #: Signatures below this estimate can't be of similar sets: 0.8 less 7 standard deviations of 200 minima.
 MAYBE = 0.6
-BLOCK = 2048
+BLOCK = 1024
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -100,12 +102,15 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, band binary, low binary")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, held): the full sets of documents with these ids, and of a few others that a bitmap passes; no text is shuffled."""
+    rows, _ = part_by(docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id"), ids, "id")
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), size)], pa.binary())], ["id", "held"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), size)], pa.binary())], ["id", "held"])
 
-    return docs.mapInArrow(make, "id long, held binary")
+    return rows.mapInArrow(make, "id long, held binary")
 
 
 def _maybe(pairs: DataFrame, least: float) -> DataFrame:
@@ -142,33 +147,96 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "held_u", "held_v").mapInArrow(confirm, "u long, v long")
 
 
-def _across(members: DataFrame, block: int, least: float) -> DataFrame:
-    """Pairs of different components within each unresolved bucket (bucket, id, component, low) whose signatures may be of
-    similar sets. A large bucket is dealt into blocks, and each two blocks meet in a task of their own."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _families(members: DataFrame, block: int, least: float) -> DataFrame:
+    """(u, v) components of which some classes share an unresolved bucket (bucket, id, component, low) and may be similar. A
+    component is reached once, so there are fewer rows than members."""
+
+    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(len(pdf), -1)
+        names, group = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        left = np.ones(len(names), bool)
+        out = []
+        while left.any():
+            first = int(np.argmax(left))
+            left[first], turn = False, [first]
+            while turn:
+                now = turn.pop()
+                for k in np.nonzero(group == now)[0]:
+                    there = np.nonzero(left[group])[0]
+                    if not len(there):
+                        break
+                    near = there[(low[there] == low[k]).mean(1) >= least]
+                    for g in np.unique(group[near]).tolist():
+                        left[g] = False
+                        turn.append(g)
+                        out.append((names[now], names[g]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return _dealt(members, "bucket", block).groupBy("bucket", "i", "j").applyInPandas(reach, "u long, v long").distinct()
+
+
+def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
+    """members with own, i and j: a large group is dealt into blocks, and each two blocks meet in a task of their own."""
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("bucket", "i", "j", "own", "id", "component", "low")
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def similar(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets of different groups that join all groups that such pairs join. side: only pairs of different
+    sides, if given."""
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    tokens, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(tokens))
+    rank = rank[token]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    prefix = [np.sort(rank[a:b])[: b - a - -(-percent * (b - a) // 100) + 1] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in prefix])
+    keys = np.concatenate(prefix)
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    parent = {int(g): int(g) for g in group}
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    out = []
+    for i in range(len(sets)):
+        lo, hi = np.searchsorted(keys, prefix[i], "left"), np.searchsorted(keys, prefix[i], "right")
+        if not (hi - lo).sum() > len(prefix[i]):
+            continue
+        near = np.unique(np.concatenate([of[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b - a > 1]))
+        near = near[(near > i) & (group[near] != group[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        for j in near.tolist():
+            a, b = find(int(group[i])), find(int(group[j]))
+            if a == b:
+                continue
+            union = len(np.unique(np.concatenate([sets[i], sets[j]])))
+            if 100 * (n[i] + n[j] - union) >= percent * union:
+                parent[a] = b
+                out.append((i, j))
+    return out
+
 
+def _within(members: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links (u, v) between components of each family (family, id, component, held)."""
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["own"] == i] if i != j else pdf
-        right = pdf[pdf["own"] == j] if i != j else pdf
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        low = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), -1) for x in (left, right)]
-        ids, groups = [x["id"].to_numpy() for x in (left, right)], [x["component"].to_numpy() for x in (left, right)]
-        u, v = [], []
-        for k in range(len(left)):
-            near = np.nonzero((groups[1] != groups[0][k]) & (ids[1] > ids[0][k] if i == j else True))[0]
-            if len(near):
-                near = near[(low[1][near] == low[0][k]).mean(1) >= least]
-                u += [ids[0][k]] * len(near)
-                v += ids[1][near].tolist()
-        u, v = np.array(u, np.int64), np.array(v, np.int64)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "u long, v long").distinct()
+        if pdf["component"].nunique() < 2:
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["held"]]
+        side = pdf["own"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+        pairs, ids = similar(sets, pdf["component"].to_numpy(), side, percent), pdf["id"].to_numpy()
+        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs], columns=["u", "v"], dtype=np.int64)
+
+    return _dealt(members, "family", block).groupBy("family", "i", "j").applyInPandas(meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -178,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     signed = settle(_signed(docs, size, bands, rows), "near-signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     classes = settle(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-classes")
-    led = real.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"])
+    led = real.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2", "doc_id"])
     led = settle(led.select(F.col("doc_id").alias("id"), "band", "low"), "near-led")
     in_bands = led.select("id", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("k"), "band").select("id", F.xxhash64("k", F.substring("band", F.col("k") * 8 + 1, F.lit(8))).alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
@@ -187,21 +255,23 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     stars = members.where("id > first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     stars = settle(_maybe(stars.join(low("u"), "u").join(low("v"), "v").select("u", "v", "low_u", "low_v"), MAYBE), "near-stars")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        sets = settle(_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["id"]), "near-sets")
-        return settle(_confirmed(pairs, sets, percent), "near-links")
-
-    links = linked(stars)
-    groups = components(links)
-    placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ids = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))).distinct()
+    sets = settle(_sets(docs, ids, size), "near-sets")
+    links = settle(_confirmed(stars, sets, percent), "near-links")
+    groups = settle(components(links), "near-groups")
+    placed = members.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed.select("bucket", "id", "component"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("bucket")
     left = settle(placed.join(mixed, "bucket", "left_semi").join(led.select("id", "low"), "id").select("bucket", "id", "component", "low"), "near-left")
     if not left.isEmpty():
-        more = settle(_across(left, block, MAYBE).join(stars, ["u", "v"], "left_anti"), "near-more")
-        if not more.isEmpty():
-            groups = components(links.unionByName(linked(more)))
+        families = components(_families(left, 2 * block, MAYBE)).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        inside = left.select("id", "component").distinct().join(families, "component")
+        inside = settle(inside, "near-families")
+        if not inside.isEmpty():
+            sets = settle(_sets(docs, inside.select("id"), size).join(inside, "id"), "near-family-sets")
+            more = settle(_within(sets.dropDuplicates(["family", "id"]), block, percent), "near-more")
+            if not more.isEmpty():
+                groups = components(links.unionByName(more))
     # Two classes can lead with the same doc_id only if rows share it; they are one document then.
     known = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
     known = known.select("k1", "k2", F.coalesce("component", "id").alias("found"))
@@ -209,3 +279,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     found = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", found.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one of smallest doc_id. Of rows that share a doc_id one stays."""
+    found = settle(near_duplicates(docs, **how), "near-found").where("doc_id is not null")
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
+    twice = settle(twice, "near-dropped")
+    maybe, clear = part_by(docs, twice, "doc_id")
+    gone = maybe.join(twice.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if twice.where("n > 1 and kept").isEmpty():
+        return clear.unionByName(gone)
+    shared = twice.where("n > 1 and kept").select("doc_id")
+    first = gone.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("whole"))
+    return clear.unionByName(gone.join(shared, "doc_id", "left_anti").select(*docs.columns)).unionByName(first.select("whole.*"))

@@ -2,44 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle  # noqa: F401  (the operators take it from here)
+
 #: A word is a run of characters other than these six (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled by one vectorised step; a longer single text is a step of its own, and whole.
 STEP_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; where unset, a temporary one in
-    local mode and the warehouse otherwise."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    if spark.sparkContext.master.startswith("local["):
-        told = tempfile.mkdtemp(prefix="scoreweave-")
-        spark.conf.set("spark.checkpoint.dir", told)
-        return told
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't use."""
     used, name = {c.lower() for c in df.columns}, stem
@@ -91,7 +71,7 @@ class Words:
         if lower:
             letters = letters + (((letters >= 65) & (letters <= 90)).view(np.uint8) << 5)
         cuts = np.empty(len(starts) + 1, np.int64)
-        cuts[:-1] = np.cumsum(inside)[starts] - 1
+        cuts[:-1] = np.cumsum(inside, dtype=np.int32)[starts] - 1 if len(told) < 1 << 31 else np.cumsum(inside)[starts] - 1
         cuts[-1] = len(letters)
         self.offsets = np.searchsorted(starts, ends)
         flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
@@ -156,6 +136,43 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
+#: Bits of a map of wanted keys: a fixed size, so that it can be broadcast whatever their number.
+MAP_BITS = 1 << 23
+
+
+def _spot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+
+
+def bitmap(keys: DataFrame, name: str) -> Broadcast:
+    """A map of the hashes of a column. It may pass keys that aren't there, the more the more keys there are, and misses none."""
+    spot = _spot(F.col(name))
+    words = keys.select((spot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MAP_BITS / 64 rows at most
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(key: Column, bits: Broadcast) -> Column:
+    """Whether the map may hold a key. Only the key's hash goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def held(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series(((bits.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+
+    return held(_spot(key))
+
+
+def part_by(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose column `name` may be among that of keys, and rows whose is not for sure. The second needs no
+    join, so wide rows stay where they are."""
+    marked = df.withColumn(free_name(df, "wanted"), in_bitmap(F.col(name), bitmap(keys, name)))
+    flag = marked.columns[-1]
+    return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
