@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Words, hash_bytes, need, settle, steps
+from .shared import Rolling, Words, hash_bytes, need, part_by, settle, steps
 
 WIDTH, LEAST, SHORTEST = 8, 13, 5
 BITS = 22
@@ -135,4 +135,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST)
     """docs without contaminated rows."""
     found = settle(matches(docs, benchmark, least=least).select("key").distinct(), "decontam-found")
     own = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
-    return own.join(found, "key", "left_anti").select("whole.*")
+    maybe, clear = part_by(own, found, "key")
+    return clear.select("whole.*").unionByName(maybe.join(found, "key", "left_anti").select("whole.*"))
