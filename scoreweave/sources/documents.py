@@ -30,7 +30,7 @@ def read_models(spark: SparkSession, path: str, strict: bool = True) -> tuple[Da
         documents = documents.where("_corrupt_record is null")
     models = _exploded(documents)
     # Places are numbered by file name; files are as many as companies.
-    files = documents.select("file").distinct()
+    files = models.select("file").distinct()
     numbers = files.select("file", (F.row_number().over(_by("file")) * F.lit(1 << 20)).alias("file_ord"))
     models = models.join(numbers, "file").withColumn("ord", (F.col("file_ord") + F.col("place")).cast("long"))
     entities = models.select(F.col("model.name").alias("entity"), "model.company", "model.url", "model.release_date", "model.capabilities", "ord")
