@@ -16,6 +16,28 @@ AXIS_LABELS = {
     "Release date": "Release Date (Year)",
 }
 
+#: Colours of companies (fixed values).
+COMPANY_COLORS = {
+    "OpenAI": "hsl(223, 75%, 22%)",
+    "Anthropic": "hsl(15, 52%, 58%)",
+    "Google": "hsl(136, 53%, 43%)",
+    "Mistral AI": "hsl(17, 96%, 52%)",
+    "xAI": "hsl(213, 4%, 57%)",
+    "Alibaba": "hsl(242, 80%, 65%)",
+    "DeepSeek": "hsl(230, 80%, 52%)",
+    "Moonshot AI": "hsl(212, 99%, 51%)",
+    "MiniMax": "hsl(343, 82%, 56%)",
+    "Z.ai": "hsl(274, 100%, 50%)",
+    "Cohere": "hsl(159, 21%, 28%)",
+    "AllenAI": "hsl(331, 84%, 63%)",
+    "Hugging Face": "hsl(48, 100%, 56%)",
+    "Microsoft": "hsl(199, 96%, 48%)",
+    "NVIDIA": "hsl(82, 100%, 36%)",
+    "Baidu": "hsl(237, 75%, 52%)",
+    "Thinking Machines": "hsl(37, 80%, 66%)",
+    "Liquid": "hsl(251, 69%, 59%)",
+}
+
 
 def normalize_name(name: Column) -> Column:
     """Lower case, without the first run of eight digits; separators are single blanks."""
@@ -58,3 +80,9 @@ def hue(text: Column) -> Column:
     wrap = lambda x: F.pmod(x + 2147483648, F.lit(4294967296)) - 2147483648
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda h, c: c + wrap(wrap(h) * 32) - h) % 360
+
+
+def company_color(company: Column) -> Column:
+    """A company's colour; one of a stable hue if it has none."""
+    table = F.create_map(*[F.lit(x) for pair in COMPANY_COLORS.items() for x in pair])
+    return F.coalesce(F.element_at(table, company), F.concat(F.lit("hsl("), hue(company).cast("string"), F.lit(", 70%, 60%)")))

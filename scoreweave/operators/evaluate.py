@@ -39,3 +39,11 @@ def mean_squared_error(errors: DataFrame) -> DataFrame:
     """(tests, mse, rmse)."""
     mse = F.avg(F.col("error") * F.col("error"))
     return errors.where("error is not null").agg(F.count(F.lit(1)).alias("tests"), mse.alias("mse"), F.sqrt(mse).alias("rmse"))
+
+
+def moving_average(seconds: list[float], alpha: float = 1 / 32) -> float | None:
+    """Exponential moving average of step times, the latest weighing alpha; what a progress report shows."""
+    average = None
+    for s in seconds:
+        average = s if average is None else average + alpha * (s - average)
+    return average

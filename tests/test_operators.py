@@ -14,6 +14,7 @@ from scoreweave.operators import impute as I
 from scoreweave.operators import rank as R
 from scoreweave.operators import resolve as S
 from scoreweave.operators import upsert as U
+from scoreweave.plans.categories import default_criteria, with_stored
 
 OBS = "entity string, metric string, score double, std_dev double, source string, ord long"
 ENT = "entity string, company string, url string, release_date string, capabilities struct<input: array<string>, output: array<string>>, ord long"
@@ -158,6 +159,17 @@ def test_labels(spark):
     assert one(spark, N.age_alpha(F.col("a"), F.col("b")), a=dt.date(2024, 1, 1), b=dt.date(2024, 12, 31)) == 0.0
 
 
+def test_categories(spark):
+    rows = default_criteria(spark)
+    assert rows.select("metric_name").distinct().count() == 8 and rows.where("weight < 0").count() == 3
+    own = spark.createDataFrame([("mine", "x", 1.0, 0)], "metric_name string, bench string, weight double, ord long")
+    last = with_stored(rows, own).orderBy(F.desc("ord")).first()
+    assert last.metric_name == "mine" and last.ord == 8
+    assert one(spark, N.company_color(F.col("s")), s="Liquid") == "hsl(251, 69%, 59%)"
+    assert one(spark, N.company_color(F.col("s")), s="ab") == "hsl(225, 70%, 60%)"
+    assert E.moving_average([]) is None and E.moving_average([32.0, 0.0]) == 31.0
+
+
 def test_hold_outs(spark):
     rows = obs(spark, *[(f"e{i}", m, i * k + k) for i in range(6) for k, m in enumerate("ABC", 1)])
     sample = E.holdout_sample(rows, 4)
