@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Words, mix64, need, settle, sliding, steps
+from .shared import Rolling, Words, bitmap, held_by, maybe_in, mix64, need, part_by, settle, sliding, steps, with_spot
 
 WINDOW, KMER = 50, 12
 SECOND = 0xC2B2AE3D27D4EB4F | 1
@@ -121,9 +121,10 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    """rows plus least: the smallest doc_id with the same hashes, of hashes that more doc_ids than one have."""
+    """rows plus least: the smallest doc_id with the same hashes, of hashes that more doc_ids than one have. These are a table of
+    their own, since Spark splits a skewed join between tables but not one with a grouping."""
     shared = rows.groupBy("h", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "v", "least")
-    return rows.join(shared, ["h", "v"])
+    return rows.join(settle(shared, "substring-shared"), ["h", "v"])
 
 
 def covered_words(ranges: list, n: int, window: int) -> np.ndarray:
@@ -155,36 +156,47 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER) -> DataF
     ranges = hits.groupBy("doc_id", "key", "first", "number").agg(F.max((F.col("kind") == EDGE)).alias("whole"))
     ranges = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("whole"), span)).alias("gone"), F.collect_list(F.when(~F.col("whole"), span)).alias("open"))
     ranges = settle(ranges, "substring-ranges")
-    singles = settle(_windows(known.join(ranges.where(F.size("open") > 0).select("doc_id", "key", "open"), ["doc_id", "key"]), window), "substring-windows")
+    opened = ranges.where(F.size("open") > 0).select("doc_id", "key", "open")
+    singles = settle(_windows(part_by(known, opened, "key")[0].join(opened, ["doc_id", "key"]), window), "substring-windows")
     single = _found(singles).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", F.lit(1).alias("number"))).alias("gone"))
     both = ranges.where(F.size("gone") > 0).select("doc_id", "key", "gone").unionByName(single)
-    return both.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    return settle(both.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone")), "substring-gone")
 
 
 def _kept(texts: DataFrame, gone: DataFrame, window: int) -> DataFrame:
     """texts (doc_id, text, key and others) less what gone tells: plus n_words, n_removed and kept (words joined by a space,
     or the text itself where nothing goes)."""
-    rows = texts.join(gone, ["doc_id", "key"], "left")
+    bits = bitmap(gone, "key")
+    rows = texts.where(maybe_in(texts, bits, "key")).join(gone, ["doc_id", "key"], "left").withColumn("spot", F.lit(-1).cast("long"))
+    clear = with_spot(texts, "key").withColumn("gone", F.lit(None).cast(rows.schema["gone"].dataType))
+    rows = rows.unionByName(clear)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
-            n_words, n_removed, kept, digests = [], [], [], []
-            for text, ranges in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("gone").to_pylist(), strict=True):
-                words = text.split()
-                left = words
-                if ranges:
-                    off = covered_words(ranges, len(words), window)
-                    left = [w for w, x in zip(words, off.tolist(), strict=True) if not x]
-                joined = b" ".join(left)
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-                kept.append(text if len(left) == len(words) else joined)
-                digests.append(hashlib.sha256(joined).hexdigest())
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.string()), pa.array(digests, pa.string())]
-            held = [c for c in part.schema.names if c not in ("gone", "key", "text")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *made], [*held, "n_words", "n_removed", "kept", "digest"])
-
-    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("gone", "key", "text"))
+        for batch in batches:
+            spots = batch.column("spot").to_numpy()
+            # Rows that the map may hold came from the join already.
+            mine = (spots < 0) | ~held_by(bits, np.maximum(spots, 0))
+            for part in steps(iter([batch.filter(pa.array(mine))])):
+                yield stripped(part)
+
+    def stripped(part: pa.RecordBatch) -> pa.RecordBatch:
+        n_words, n_removed, kept, digests = [], [], [], []
+        for text, ranges in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("gone").to_pylist(), strict=True):
+            words = text.split()
+            left = words
+            if ranges:
+                off = covered_words(ranges, len(words), window)
+                left = [w for w, x in zip(words, off.tolist(), strict=True) if not x]
+            joined = b" ".join(left)
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            kept.append(text if len(left) == len(words) else joined)
+            digests.append(hashlib.sha256(joined).hexdigest())
+        made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.string()), pa.array(digests, pa.string())]
+        held = [c for c in part.schema.names if c not in ("gone", "key", "text", "spot")]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *made], [*held, "n_words", "n_removed", "kept", "digest"])
+
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("gone", "key", "text", "spot"))
     return rows.mapInArrow(strip, f"{held}, n_words long, n_removed long, kept string, digest string")
 
 
