@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Words, need, steps
+from .shared import Rolling, Words, free_name, need, steps
 
 #: Symbols that the base rules count (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -28,9 +28,10 @@ FEATURES = ("bias", "symbols", "capitals", "digits", "marks", "repeats", "again"
 #: Weights of boilerplate over content, used where nothing can be learned: one for each feature, then staying over switching.
 PRIOR = (-3.0, 12.0, 6.0, 5.0, 8.0, 6.0, 1.5, 0.3, -0.5, 2.0, 1.0), 1.0
 LEGAL = re.compile(r"copyright|all rights reserved|licen[cs]ed|cookie|privacy policy|terms of|subscribe|click here|javascript|©", re.I)
-SAMPLE, SAMPLE_LINES, STEPS, L2 = 2000, 200, 150, 1e-3
-#: Most that a transition may weigh: whole documents share a label in training, lines of mixed documents don't.
-MOST_STICKY = 2.0
+#: L2 draws the weights to PRIOR, so that features that few lines show keep their meaning.
+SAMPLE, SAMPLE_LINES, STEPS, L2 = 2000, 200, 150, 0.1
+#: Most that staying may weigh: whole documents share a label in training, lines of mixed documents do not, so this is not learned upward.
+MOST_STICKY = 1.0
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,8 @@ def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[t
     each = 1.0 / real.sum(1)
     # Both kinds count the same, and a document counts the same however long it is.
     each *= np.where(state == 1, 0.5 / max(1, state.sum()), 0.5 / max(1, (1 - state).sum()))
-    weights = np.append(np.array(PRIOR[0]), PRIOR[1])
+    start = np.append(np.array(PRIOR[0]), PRIOR[1])
+    weights = start.copy()
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
         emit, stay = held @ weights[:-1], weights[-1]
@@ -118,7 +120,7 @@ def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[t
                 same[:, t] += np.exp(np.minimum(0, ahead[:, t - 1, s] + stay + s * emit[:, t] + behind[:, t, s] - total[:, 0])) * real[:, t]
         wanted = state[:, None] * real
         slope = np.append(np.einsum("dt,dtf,d->f", wanted - boiler, held, each), (((real[:, 1:] - same[:, 1:]).sum(1)) * each).sum())
-        slope -= L2 * weights
+        slope -= L2 * (weights - start)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights = weights + 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         weights[-1] = min(weights[-1], MOST_STICKY)
@@ -185,24 +187,27 @@ def judge(docs: DataFrame, model: tuple[tuple[float, ...], float] = PRIOR, *, le
     need(docs, "text")
     made = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "content": "double"}
     own = [c for c in docs.columns if c.lower() not in {*made, "base_failed", "kept"}]
-    docs = docs.select(*own)
+    figures = free_name(docs, "figures")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in made.items()))
+    def measure(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in steps(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
             column = part.column("text").cast(pa.string())
             words = Words(column)
-            texts = [t or "" for t in column.to_pylist()]
-            figures = [
+            whole = [t or "" for t in column.to_pylist()]
+            columns = [
                 pa.array(words.counts, pa.int64()),
-                pa.array([len(t) - sum(map(t.count, WHITE)) for t in texts], pa.int64()),
-                pa.array([sum(map(t.count, SYMBOLS)) for t in texts], pa.int64()),
-                pa.array([duplicate_lines(t) for t in texts], pa.int64()),
+                pa.array([len(t) - sum(map(t.count, WHITE)) for t in whole], pa.int64()),
+                pa.array([sum(map(t.count, SYMBOLS)) for t in whole], pa.int64()),
+                pa.array([duplicate_lines(t) for t in whole], pa.int64()),
                 pa.array(repeated_words(words), pa.int64()),
-                pa.array([content_share(t, model) for t in texts], pa.float64()),
+                pa.array([content_share(t, model) for t in whole], pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays([*part.columns, *figures], names=[*part.schema.names, *made])
+            out.append(pa.StructArray.from_arrays(columns, list(made)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([pa.field(k, pa.float64() if v == "double" else pa.int64()) for k, v in made.items()]))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{k} {v}" for k, v in made.items()])
-    out = docs.mapInArrow(measure, schema)
+    # Only the text goes to Python; other columns stay where they are.
+    out = docs.select(*own, measure(F.col("text").cast("string")).alias(figures)).select(*own, *[F.col(f"{figures}.{k}").alias(k) for k in made])
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content") >= least_content))
