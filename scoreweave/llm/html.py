@@ -36,7 +36,7 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|foot|masthead|site-header|page-header|topbar|toolbar|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
     r"comments?|commentlist|replies|reply|respond|disqus|discussion|search|pagination|pager|navigation|complementary|contentinfo|search|legal|copyright|disclaimer|tags|hidden)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:header|top|bottom)(?:$|\s)",
+    r"|(?:^|\s)(?:header)(?:$|\s)",
     re.I,
 )
 #: Elements that a page's article may be (fixed values), the surest first.
