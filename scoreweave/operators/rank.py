@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import score_text
+from ..session import settle
 from .cells import cell_stats
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df plus a number from 1 along an order. Rows are dealt into ranges of the order, numbered in each, and shifted by the
+    rows of the ranges before, so no task sees them all."""
+    ranges = settle(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))  # a row a task
+    before = F.coalesce(F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("range_").orderBy(*order))
+    return ranges.join(sizes.select("range_", before.alias("before_")), "range_").withColumn(name, F.col("before_") + own).drop("range_", "before_")
+
+
 @dataclass
 class CompositeMetric:
     """A weighted list of metrics."""
@@ -58,9 +69,8 @@ def passing(cells: DataFrame, metric: str | None, value: float | None, below: bo
 
 
 def ranking(scores: DataFrame) -> DataFrame:
-    """scores (entity, composite) with rank, the best first, names deciding between equals. Ranks are made by a sorted range exchange
-    only if asked for; this takes the window, as rankings are read from the top."""
-    return scores.withColumn("rank", F.row_number().over(W.orderBy(F.desc("composite"), "entity")))
+    """scores (entity, composite) with rank, the best first, names deciding between equals."""
+    return numbered(scores, "rank", F.desc("composite"), F.asc("entity"))
 
 
 def by_name(entities: DataFrame) -> DataFrame:
@@ -76,7 +86,7 @@ def chart_points(cells: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
 def company_best(scores: DataFrame, entities: DataFrame) -> DataFrame:
     """(company, best, index): each company's best composite, from 0."""
     best = scores.join(entities.select("entity", "company"), "entity").groupBy("company").agg(F.max("composite").alias("best"))
-    return best.withColumn("index", F.row_number().over(W.orderBy(F.desc("best"), "company")) - 1)
+    return numbered(best, "index", F.desc("best"), F.asc("company")).withColumn("index", F.col("index") - 1)
 
 
 def plottable_companies(points: DataFrame, entities: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def nearest(external: DataFrame, entities: DataFrame, normalized: bool = True, m
     theirs = entities.groupBy(form(F.col("entity")).alias("other")).agg(F.min(F.struct("ord", "entity")).alias("first"))
     both = names.crossJoin(theirs).withColumn("distance", F.levenshtein("norm", "other"))
     out = both.groupBy("name").agg(F.min(F.struct("distance", "first")).alias("best"))
-    out = out.select("name", F.col("best.first.entity").alias("entity"), F.col("best.distance").alias("distance"))
+    out = out.select("name", F.col("best.first.entity").alias("entity"), F.col("best.distance").cast("long").alias("distance"))
     return out if most is None else out.where(F.col("distance") <= most * F.length("name"))
 
 
@@ -63,7 +63,7 @@ def match(external: DataFrame, entities: DataFrame, dictionary: DataFrame, once:
     rest = rest.join(equal.select("name"), "name", "left_anti")
     free = free.join(equal.select("entity").distinct(), "entity", "left_anti") if once else entities
     near = nearest(rest, free)
-    found = told.withColumns({"kind": F.lit("dictionary"), "distance": F.lit(None).cast("int")}).unionByName(equal.withColumns({"kind": F.lit("exact"), "distance": F.lit(0)})).unionByName(near.withColumn("kind", F.lit("nearest")))
+    found = told.withColumns({"kind": F.lit("dictionary"), "distance": F.lit(None).cast("long")}).unionByName(equal.withColumns({"kind": F.lit("exact"), "distance": F.lit(0).cast("long")})).unionByName(near.withColumn("kind", F.lit("nearest")))
     return external.select("name").join(found, "name", "left").withColumn("kind", F.coalesce("kind", F.lit("none")))
 
 
