@@ -16,7 +16,7 @@ from scoreweave.llm.decontam import decontaminate
 from scoreweave.llm.mixing import mix_documents
 from scoreweave.llm.neardup import keep_one
 from scoreweave.llm.quality import fit_from, judge
-from scoreweave.llm.shared import settle, table
+from scoreweave.llm.shared import settle, small_batches, table
 from scoreweave.llm.substrings import drop_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return keep_one(docs, size=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of smaller doc_id has too."""
+    small_batches(spark)
     return drop_repeats(docs)
 
 
@@ -43,6 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    small_batches(spark)
     return mix_documents(docs)
 
 

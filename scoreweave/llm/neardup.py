@@ -22,13 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Rolling, Words, mix64, need, part_by, settle, steps
+from .shared import Rolling, Words, bitmap, held_by, mix64, need, part_by, settle, steps, with_spot
 
 BANDS, ROWS = 40, 5
 #: Signatures below this estimate can't be of similar sets: 0.8 less 7 standard deviations of 200 minima.
@@ -104,13 +103,16 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, held): the full sets of documents with these ids, and of a few others that a bitmap passes; no text is shuffled."""
-    rows, _ = part_by(docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id"), ids, "id")
+    bits = bitmap(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), size)], pa.binary())], ["id", "held"])
+        for batch in batches:
+            wanted = batch.filter(pa.array(held_by(bits, batch.column("spot").to_numpy())))
+            for part in steps(iter([wanted])):
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), size)], pa.binary())], ["id", "held"])
 
-    return rows.mapInArrow(make, "id long, held binary")
+    rows = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id")
+    return with_spot(rows, "id").mapInArrow(make, "id long, held binary")
 
 
 def _maybe(pairs: DataFrame, least: float) -> DataFrame:
@@ -147,13 +149,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "held_u", "held_v").mapInArrow(confirm, "u long, v long")
 
 
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    u, v = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def _families(members: DataFrame, block: int, least: float) -> DataFrame:
     """(u, v) components of which some classes share an unresolved bucket (bucket, id, component, low) and may be similar. A
     component is reached once, so there are fewer rows than members."""
 
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(len(pdf), -1)
-        names, group = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    def reach(rows: pa.Table) -> pa.Table:
+        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        names, group = np.unique(rows.column("component").to_numpy(), return_inverse=True)
         left = np.ones(len(names), bool)
         out = []
         while left.any():
@@ -170,9 +177,9 @@ def _families(members: DataFrame, block: int, least: float) -> DataFrame:
                         left[g] = False
                         turn.append(g)
                         out.append((names[now], names[g]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+        return _pairs(out)
 
-    return _dealt(members, "bucket", block).groupBy("bucket", "i", "j").applyInPandas(reach, "u long, v long").distinct()
+    return _dealt(members, "bucket", block).groupBy("bucket", "i", "j").applyInArrow(reach, "u long, v long").distinct()
 
 
 def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -228,15 +235,16 @@ def similar(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None,
 
 def _within(members: DataFrame, block: int, percent: int) -> DataFrame:
     """Links (u, v) between components of each family (family, id, component, held)."""
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["component"].nunique() < 2:
-            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["held"]]
-        side = pdf["own"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
-        pairs, ids = similar(sets, pdf["component"].to_numpy(), side, percent), pdf["id"].to_numpy()
-        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs], columns=["u", "v"], dtype=np.int64)
-
-    return _dealt(members, "family", block).groupBy("family", "i", "j").applyInPandas(meet, "u long, v long")
+    def meet(rows: pa.Table) -> pa.Table:
+        component = rows.column("component").to_numpy()
+        if (component == component[0]).all():
+            return _pairs([])
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()]
+        side = rows.column("own").to_numpy() if rows.column("i")[0] != rows.column("j")[0] else None
+        ids = rows.column("id").to_pylist()
+        return _pairs([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in similar(sets, component, side, percent)])
+
+    return _dealt(members, "family", block).groupBy("family", "i", "j").applyInArrow(meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

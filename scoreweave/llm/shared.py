@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -17,7 +17,7 @@ from ..session import settle  # noqa: F401  (the operators take it from here)
 #: A word is a run of characters other than these six (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled by one vectorised step; a longer single text is a step of its own, and whole.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -34,8 +34,33 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing from {df.columns}")
 
 
+_is_lean = False
+
+
+def _lean() -> None:
+    """Once a worker: large blocks are mapped, and so given back to the system when they are freed; workers live on between
+    stages, and an executor's memory is the sum of all."""
+    global _is_lean
+    if not _is_lean:
+        _is_lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed from now on
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+        except (AttributeError, OSError):
+            pass  # another C library
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on: rows hold texts, and a batch is in memory several times, in the JVM and
+    in its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of text; every row is in one slice."""
+    _lean()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -86,15 +111,28 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
+    def listed(self) -> list[bytes]:
+        """The distinct words."""
+        return self.vocab.to_numpy(zero_copy_only=False).tolist()
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of each distinct word; the same in every process."""
         return hash_bytes(self.vocab)
 
 
+#: A random 64-bit value for each byte.
+BYTE_VALUES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def hash_bytes(values: pa.Array) -> np.ndarray:
-    if not len(values):
+    """64-bit hash of each string: a polynomial of its bytes' values, and its length; the same in every process."""
+    n = len(values)
+    if not n:
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False)
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    return Rolling(BYTE_VALUES[data], 0xD1342543DE82EF95).at(ends[:-1], np.diff(ends))
 
 
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -118,9 +156,11 @@ class Rolling:
         self.back = np.multiply.accumulate(back)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:n], dtype=np.uint64)])
 
-    def at(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        """Hash of values[start : start + length] for each start; the length counts too."""
+    def at(self, starts: np.ndarray, lengths: np.ndarray | int, first: np.ndarray | None = None) -> np.ndarray:
+        """Hash of values[start : start + length] for each start; the length counts too. first: added to the first value."""
         found = (self.sums[starts + lengths] - self.sums[starts]) * self.back[starts]
+        if first is not None:
+            found = found + first
         return mix64(found + np.asarray(lengths).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -154,26 +194,36 @@ def bitmap(keys: DataFrame, name: str) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def in_bitmap(key: Column, bits: Broadcast) -> Column:
-    """Whether the map may hold a key. Only the key's hash goes to Python."""
+def held_by(bits: Broadcast, spots: np.ndarray) -> np.ndarray:
+    """Whether the map may hold the keys of these spots."""
+    return ((bits.value[spots >> 6] >> (spots & 63)) & 1).astype(bool)
+
+
+def with_spot(df: DataFrame, name: str, spot: str = "spot") -> DataFrame:
+    """df plus the place of a column's values in bitmaps."""
+    return df.withColumn(spot, _spot(F.col(name)))
+
+
+def maybe_in(df: DataFrame, bits: Broadcast, name: str) -> Column:
+    """Whether the map may hold a column's value. Only its hash goes to Python, and the rest of the row stays."""
 
-    @F.pandas_udf("boolean")
-    def held(spots: pd.Series) -> pd.Series:
-        at = spots.to_numpy()
-        return pd.Series(((bits.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def held(spots: pa.Array) -> pa.Array:
+        return pa.array(held_by(bits, spots.to_numpy(zero_copy_only=False)))
 
-    return held(_spot(key))
+    return held(_spot(F.col(name)))
 
 
 def part_by(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """df in two: rows whose column `name` may be among that of keys, and rows whose is not for sure. The second needs no
     join, so wide rows stay where they are."""
-    marked = df.withColumn(free_name(df, "wanted"), in_bitmap(F.col(name), bitmap(keys, name)))
-    flag = marked.columns[-1]
+    flag = free_name(df, "wanted")
+    marked = df.withColumn(flag, maybe_in(df, bitmap(keys, name), name))
     return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
