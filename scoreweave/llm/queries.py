@@ -146,5 +146,45 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM tr
 """
 
 
+OP6_SQL = """
+WITH n AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM n, unnest(range(1, len(ws) - 48)) t(i)
+), first AS (
+  SELECT h, min(doc_id) AS least FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT win.doc_id, j FROM win JOIN first ON first.h = win.h AND first.least < win.doc_id, unnest(range(i, i + 50)) t(j)
+), words AS (
+  SELECT doc_id, j, ws[j] AS w FROM n, unnest(range(1, len(ws) + 1)) t(j)
+), kept AS (
+  SELECT w.doc_id, count(*) AS left_words, string_agg(w.w, ' ' ORDER BY w.j) AS text
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.j = w.j WHERE g.j IS NULL GROUP BY w.doc_id
+)
+SELECT n.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(left_words, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM n LEFT JOIN kept ON kept.doc_id = n.doc_id
+"""
+
+OP9_SQL = """
+WITH RECURSIVE n AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM n, unnest(range(1, greatest(len(ws) - 2, 2))) t(i) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 80 * (x.size + y.size - common)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT w.v, r.least FROM reach r JOIN ways w ON w.u = r.doc_id WHERE r.least < w.v
+)
+SELECT n.doc_id, coalesce(any_value(sizes.size), 0) AS n_shingles, min(r.least) AS component_id, n.doc_id = min(r.least) AS kept
+FROM n JOIN reach r ON r.doc_id = n.doc_id LEFT JOIN sizes ON sizes.doc_id = n.doc_id GROUP BY n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": OP8_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_source_mixing": OP10_SQL}
