@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +37,15 @@ HALF = WINDOW // 2
 #: Symbols with an input vector of their own, and vectors that the others share.
 OWN, SHARED = 2047, 256
 #: Classes of one symbol, and classes of many.
-ALONE, MANY = 128, 64
+ALONE, MANY = 112, 48
 SHARE = 0.5
 STRETCH, EVERY = 200, 4096
-#: Rate of each round; windows a step; steps that a batch of windows is repeated for if it is small.
+#: Rate of each round; windows a step; steps that a chunk of windows is trained for at least, repeating it up to six times.
 RATES, BATCH, LEAST_STEPS = (0.02, 0.01, 0.005), 64, 150
 KNOWN = 1 << 18
-COUNT_BYTES = 8 << 20
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
+#: Words whose spelling a worker remembers.
+REMEMBERED = 150_000
 
 
 class Speller:
@@ -63,20 +64,38 @@ class Speller:
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
-    def spell(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.known: dict[bytes, bytes] = {}
+
+    def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets by word, symbols)."""
-        words = vocab.cast(pa.large_string()).to_pylist()
-        ids = np.array(self.coder.encode_ordinary(" " + " ".join(words)), np.int64) if words else np.zeros(0, np.int64)
+        if not words:
+            return np.zeros(1, np.int64), np.zeros(0, np.int64)
+        ids = self._ids((b" " + b" ".join(words)).decode())
         starts = np.nonzero(self.spaced[ids])[0]
         if len(starts) != len(words):  # odd white space in a word
-            each = [self.coder.encode_ordinary(" " + w) for w in words]
+            each = [self._ids(" " + w.decode()) for w in words]
             starts = np.concatenate([[0], np.cumsum([len(e) for e in each])])[:-1].astype(np.int64)
-            ids = np.array([i for e in each for i in e], np.int64)
+            ids = np.concatenate(each)
         offsets = np.append(starts, len(ids))
         symbols = ids * 2
         symbols[offsets[1:] - 1] += 1
         return offsets, symbols
 
+    def _ids(self, text: str) -> np.ndarray:
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+    def recall(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, remembering words while there is room; frequent words come early."""
+        fresh = [w for w in words if w not in self.known]
+        offsets, symbols = self.spell(fresh)
+        held, cuts = symbols.astype(np.uint32), offsets.tolist()
+        new = {w: held[a:b].tobytes() for w, a, b in zip(fresh, cuts, cuts[1:], strict=False)}
+        if room := REMEMBERED - len(self.known):
+            self.known.update(list(new.items())[:room])
+        told = [self.known.get(w) or new[w] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, told), np.int64, len(told)) // 4)
+        return np.concatenate([np.zeros(1, np.int64), ends]), np.frombuffer(b"".join(told), np.uint32).astype(np.int64)
+
     @property
     def starts(self) -> np.ndarray:
         """Whether each symbol starts a word."""
@@ -123,7 +142,7 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
             if not len(words.ids):
                 continue
             n = np.bincount(words.ids, minlength=len(words.vocab))
-            offsets, spelled = mine.spell(words.vocab)
+            offsets, spelled = mine.spell(words.listed())
             symbols += np.bincount(spelled, weights=np.repeat(n, np.diff(offsets)), minlength=mine.n_symbols).astype(np.int64)
             yield emit(0, words.hashes().view(np.int64), n.astype(np.int64))
         symbols[mine.end] = texts
@@ -264,31 +283,42 @@ def _stretches(docs: DataFrame, path: str) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = speller(path)
         for part in steps(batches):
-            found = []
+            pieces, heads, tails = [], [], []
             for text in part.column("text").cast(pa.large_binary()).to_pylist():
                 n = len(text)
                 for at in range(0, max(n, 1), EVERY):
                     length = min(EVERY, n - at)
                     # A stretch's place depends on the text alone.
-                    off = (n * 2654435761 + at * 40503) % max(1, length - STRETCH + 1) if length > STRETCH else 0
-                    piece = text[at + off : at + off + STRETCH].lower().split()
-                    if at + off:
-                        piece = piece[1:]
-                    ended = at + off + STRETCH >= n
-                    if not ended:
-                        piece = piece[:-1]
-                    held = [-2] if not at + off else []
-                    if piece:
-                        held += mine.spell(pa.array(piece, pa.large_binary()))[1].tolist()
-                    held += [mine.end] if ended else []
-                    held = held[: WINDOW + 1]
-                    if len(held) > 1:
-                        found.append(np.array(held + [-1] * (WINDOW + 1 - len(held)), np.int32).tobytes())
+                    at += (n * 2654435761 + at * 40503) % (length - STRETCH + 1) if length > STRETCH else 0
+                    # Words cut by the stretch's ends are left out.
+                    piece = text[at : at + STRETCH].lower().split()
+                    pieces.append(piece[at > 0 : len(piece) - (at + STRETCH < n)])
+                    heads.append(at == 0)
+                    tails.append(at + STRETCH >= n)
+            offsets, symbols = mine.spell([w for p in pieces for w in p])
+            ends = offsets[np.cumsum([0, *map(len, pieces)])].tolist()
+            found = []
+            for a, b, head, tail in zip(ends, ends[1:], heads, tails, strict=False):
+                held = [*([-2] if head else []), *symbols[a : min(b, a + WINDOW + 1)].tolist(), *([mine.end] if tail else [])][: WINDOW + 1]
+                if len(held) > 1:
+                    found.append(np.array(held + [-1] * (WINDOW + 1 - len(held)), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
 
     return docs.mapInArrow(pick, "w binary")
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Windows in chunks of enough for LEAST_STEPS steps, but for the last."""
+    held: list[bytes] = []
+    for batch in batches:
+        held += batch.column("w").to_pylist()
+        if len(held) >= LEAST_STEPS * BATCH:
+            yield b"".join(held)
+            held = []
+    if held:
+        yield b"".join(held)
+
+
 def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) -> np.ndarray:
     """Each partition trains from flat; the mean of what they come to, by symbols seen."""
     held = windows.sparkSession.sparkContext.broadcast((flat, layout))
@@ -300,10 +330,8 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
         flat, layout = held.value
         seen = 0
         vector = np.append(layout.vector, [layout.start, layout.start])  # -2: the start; -1: none
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+        for held_rows in gathered(batches):
+            s = np.frombuffer(held_rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
             x, y, real = vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], s[:, 1:] >= 0
             for _ in range(int(np.clip(-(-LEAST_STEPS * BATCH // len(x)), 1, 6))):
                 flat = train(flat, x, y, real, rate)
@@ -311,11 +339,12 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["g", "seen", "p"])
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(pdf["p"], pdf["seen"], strict=True))
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "seen": [int(pdf["seen"].sum())], "p": [(total / pdf["seen"].sum()).astype(np.float32).tobytes()]})
+    def added(rows: pa.Table) -> pa.Table:
+        seen = rows.column("seen").to_pylist()
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows.column("p").to_pylist(), seen, strict=True))
+        return pa.table({"g": rows.column("g").slice(0, 1), "seen": pa.array([sum(seen)], pa.int64()), "p": pa.array([(total / sum(seen)).astype(np.float32).tobytes()], pa.binary())})
 
-    rows = windows.mapInArrow(one, "g int, seen long, p binary").groupBy("g").applyInPandas(added, "g int, seen long, p binary").collect()
+    rows = windows.mapInArrow(one, "g int, seen long, p binary").groupBy("g").applyInArrow(added, "g int, seen long, p binary").collect()
     if not rows:
         return flat
     return (sum(np.frombuffer(bytes(r.p), np.float32).astype(np.float64) * r.seen for r in sorted(rows, key=lambda r: r.g)) / sum(r.seen for r in rows)).astype(np.float32)
@@ -340,12 +369,14 @@ class Scorer:
     def __init__(self, flat: np.ndarray, layout: Layout) -> None:
         p = unpacked(flat.astype(np.float32))
         e, scale = p["e"], np.float32(1 / np.sqrt(WIDTH))
-        self.q, self.kv = e @ p["q"] * scale, np.concatenate([e @ p["k"], e @ p["v"]], 1)
         self.e, self.w, self.b, self.layout = e, p["w"], p["b"], layout
+        # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts.
+        self.q, self.k = e @ p["q"] * scale, e @ p["k"]
+        self.v = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)
         gap = np.arange(HALF)[:, None] + HALF - np.arange(WINDOW)[None, :]
         self.bias = np.where(gap < 0, np.float32(-1e9), p["far"][np.clip(gap, 0, WINDOW - 1)]).astype(np.float32)
 
-    def score(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def score(self, symbols: np.ndarray, offsets: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 p of each symbol of texts (offsets; each ends with the end)."""
         n = np.diff(offsets)
         blocks = -(-n // HALF)
@@ -363,27 +394,49 @@ class Scorer:
         heads = np.nonzero(heads)[0]  # blocks that are scored, each with the block before it
         fresh = np.zeros(first[-1], bool)
         fresh[first[:-1] + 1] = True
-        out = np.empty(len(x), np.float32)
-        for at in range(0, len(heads), 512):
-            block = heads[at : at + 512]
-            whole = (block[:, None] - 1) * HALF + np.arange(WINDOW)[None]
-            own = x[whole[:, HALF:]]
-            kv = self.kv[x[whole]]
-            a = self.q[own] @ kv[..., :WIDTH].transpose(0, 2, 1)
-            a += self.bias
-            a[fresh[block], :, :HALF] = -1e9
-            np.exp(a - a.max(2, keepdims=True), out=a)
-            a /= a.sum(2, keepdims=True)
-            h = (self.e[own] + a @ kv[..., WIDTH:]).reshape(-1, WIDTH)
-            z = h @ self.w
-            z += self.b
-            goal = target[whole[:, HALF:]].ravel()
-            hit = z[np.arange(len(z)), goal]
-            top = z.max(1, keepdims=True)
-            np.subtract(z, top, out=z)
-            np.exp(z, out=z)
-            out[whole[:, HALF:].ravel()] = hit - top[:, 0] - np.log(z.sum(1))
-        return (out[place] + self.layout.inside[symbols]) / np.float32(np.log(10))
+        x, target, out = x.reshape(-1, HALF), target.reshape(-1, HALF), np.empty(x.shape, np.float32).reshape(-1, HALF)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for at in range(0, len(heads), batch):
+                block = heads[at : at + batch]
+                found = self._batch(x[block - 1], x[block], target[block], fresh[block], False)
+                if not np.isfinite(found).all():  # too large for exp as it stands
+                    found = self._batch(x[block - 1], x[block], target[block], fresh[block], True)
+                out[block] = found
+        return (out.ravel()[place] + self.layout.inside[symbols]) / np.float32(np.log(10))
+
+    def _batch(self, before: np.ndarray, own: np.ndarray, target: np.ndarray, fresh: np.ndarray, careful: bool) -> np.ndarray:
+        whole = np.concatenate([before, own], 1)
+        a = self.q[own] @ self.k[whole].transpose(0, 2, 1)
+        a += self.bias
+        if careful:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a[fresh, :, :HALF] = 0
+        seen = a @ self.v[whole]
+        h = (self.e[own] + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH)
+        z = h @ self.w
+        z += self.b
+        if careful:
+            z -= z.max(1, keepdims=True)
+        hit = z[np.arange(len(z)), target.ravel()]
+        np.exp(z, out=z)
+        return (hit - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(own.shape)
+
+
+def _frequent(words: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all words that are at least so frequent that no more than `most` are. How many words have each count is
+    a small table; only the words chosen leave their tasks."""
+    step = F.when(F.col("c") < 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c") + 1e-9)).cast("long"))
+    steps_of = sorted((r.least, r["n"]) for r in words.groupBy(step.alias("least")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, held = None, 0
+    for c, n in reversed(steps_of):
+        if held + n > most:
+            break
+        least, held = c, held + n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = words.where(F.col("c") >= int(least)).toArrow()
+    return top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
 
 
 def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
@@ -406,8 +459,7 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     for r in counts.where("kind = 1").select("h", "c").collect():  # symbols of the vocabulary at most
         of[r.h] = r.c
     flat, layout = fit(settle(_stretches(seen, path), "lm-windows"), of, mine.starts)
-    top = words.orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
-    hashes, often = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    hashes, often = _frequent(words)
     order = np.argsort(hashes)
     held = spark.sparkContext.broadcast((flat, layout, hashes[order], often[order], float(below), int(texts)))
     columns = f"key long, doc_id {kind}, held_out boolean, h long, spelled float, n_tokens long, n_known long, base_score double, score double"
@@ -415,12 +467,13 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, layout, known, often, below, texts = held.value
         mine, scorer = speller(path), Scorer(flat, layout)
-        for part in steps(batches, limit=1 << 20):
+        for part in steps(batches, limit=SCORE_BYTES):
             words = Words(part.column("text"), lower=True)
             n_rows = part.num_rows
-            offsets, spelled = mine.spell(words.vocab)
+            offsets, spelled = mine.recall(words.listed())
+            all_hashes = words.hashes()
             # The end is a word too, with one symbol.
-            offsets, spelled = np.append(offsets if len(offsets) else [0], len(spelled) + 1), np.append(spelled, mine.end)
+            offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, mine.end)
             end = len(words.vocab)
             ids = np.insert(words.ids, words.offsets[1:], end)
             tokens = words.counts + 1
@@ -430,7 +483,6 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
             by_word = np.concatenate([[0], np.cumsum(each)])
             logs = scorer.score(symbols, by_word[starts])
             word_logs = np.add.reduceat(logs.astype(np.float64), by_word[:-1])
-            all_hashes = words.hashes()
             c = np.full(end + 1, -1, np.int64)
             if len(known) and end:
                 spot = np.minimum(np.searchsorted(known, all_hashes), len(known) - 1)

@@ -46,8 +46,8 @@ def _lean() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed from now on
-            libc.mallopt(-8, 2)  # M_ARENA_MAX
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, fixed from now on
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: what stays at hand for the next slice
         except (AttributeError, OSError):
             pass  # another C library
 
