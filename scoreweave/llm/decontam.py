@@ -38,8 +38,9 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA076_1D64_78BD_642F, 0xE703_7ED1_
 OUT = "h long, id long, key long, at int, n_words int, slots array<string>"
 
 
-def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Template words of the texts: offsets, hashes, whether each is a slot, index into values, and values (bare words)."""
+def template(texts: pa.Array) -> tuple:
+    """Template words of the texts: offsets, hashes, whether each is a slot, index into values, values (bare words), hashes of the
+    words as they are, and whether each is a name."""
     words = Words(texts)
     vocab = words.vocab.cast(pa.large_string())
     bare = pc.replace_substring_regex(vocab, r"^[^\pL\pN%€$£]+|[^\pL\pN%€$£]+$", "")
@@ -50,16 +51,16 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     title = flag(pc.match_substring_regex(bare, r"^\p{Lu}\p{Ll}+$"))
     stop = flag(pc.match_substring_regex(vocab, r"[.!?:;][\"')\]]*[^\pL\pN]*$"))
     unit = flag(pc.is_in(lower, value_set=pa.array(sorted(UNITS), pa.large_string())))
-    hashes = hash_bytes(lower.cast(pa.large_binary()))[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
+    plain = hash_bytes(lower.cast(pa.large_binary()))[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
     rows = words.rows()
     fresh = np.ones(len(rows), bool)
     fresh[1:] = rows[1:] != rows[:-1]
     after = lambda x: np.concatenate([[False], x[:-1]]) & ~fresh
     name = title & ~fresh & ~after(stop)
     unit &= after(number)
-    hashes = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
+    hashes = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain)))
     kept = np.concatenate([[0], np.cumsum(real)])
-    return kept[words.offsets], hashes[real], (number | unit | name)[real], words.ids[real], lower
+    return kept[words.offsets], hashes[real], (number | unit | name)[real], words.ids[real], lower, plain[real], name[real]
 
 
 def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
@@ -68,7 +69,7 @@ def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.frombuffer(bitmap.value, bool) if bitmap is not None else None
         for part in steps(batches):
-            offsets, hashes, slot, ids, values = template(part.column("text"))
+            offsets, hashes, slot, ids, values, plain, as_name = template(part.column("text"))
             counts = np.diff(offsets)
             of = np.repeat(np.arange(len(counts)), counts)
             rolling, slots = Rolling(hashes), np.concatenate([[0], np.cumsum(slot)])
@@ -79,12 +80,19 @@ def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
                     good &= counts[of[at]] == size
                 at = at[good]
                 keys = rolling.at(at, size)
+                bare = np.zeros(len(at), bool)
                 if mine is not None:
+                    # A text may quote an item from its first word on, which then looks like a name: try it as a word, too.
+                    named = np.nonzero(as_name[at])[0]
+                    first = plain[at[named]] - hashes[at[named]]
+                    keys = np.concatenate([keys, rolling.at(at[named], size, first)])
+                    bare = np.concatenate([bare, np.ones(len(named), bool)])
+                    at = np.concatenate([at, at[named]])
                     hit = mine[keys >> np.uint64(64 - BITS)]
-                    at, keys = at[hit], keys[hit]
+                    at, keys, bare = at[hit], keys[hit], bare[hit]
                 if not len(at):
                     continue
-                told = [[f"{size}:{i}:{values[ids[a + i]].as_py()}" for i in range(size) if slot[a + i]] for a in at.tolist()]
+                told = [[f"{size}:{i}:{values[ids[a + i]].as_py()}" for i in range(size) if slot[a + i] and (i or not b)] for a, b in zip(at.tolist(), bare.tolist(), strict=True)]
                 rows_at = pa.array(of[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), part.column("id").take(rows_at), part.column("key").take(rows_at), pa.array((at - offsets[of[at]]).astype(np.int32)), pa.array(counts[of[at]].astype(np.int32)), pa.array(told, pa.list_(pa.string()))],
