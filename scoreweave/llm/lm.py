@@ -40,8 +40,8 @@ OWN, SHARED = 2047, 256
 ALONE, MANY = 112, 48
 SHARE = 0.5
 STRETCH, EVERY = 200, 4096
-#: Rate of each round; windows a step; steps that a chunk of windows is trained for at least, repeating it up to six times.
-RATES, BATCH, LEAST_STEPS = (0.02, 0.01, 0.005), 64, 150
+#: Rate of each round; windows a step; steps that a partition is trained for at least, repeating its windows so often at most.
+RATES, BATCH, LEAST_STEPS, MOST_TURNS = (0.02, 0.01, 0.005), 64, 300, 12
 KNOWN = 1 << 18
 COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
 #: Words whose spelling a worker remembers.
@@ -333,7 +333,8 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
         for held_rows in gathered(batches):
             s = np.frombuffer(held_rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
             x, y, real = vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], s[:, 1:] >= 0
-            for _ in range(int(np.clip(-(-LEAST_STEPS * BATCH // len(x)), 1, 6))):
+            turns = 1 if seen else int(np.clip(-(-LEAST_STEPS * BATCH // len(x)), 1, MOST_TURNS))
+            for _ in range(turns):
                 flat = train(flat, x, y, real, rate)
             seen += int(real.sum())
         if seen:
