@@ -187,7 +187,9 @@ def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    # Else Spark would be content with the join's partitions, which hold all blocks of a group in one task.
+    return dealt.repartition(key, "i", "j")
 
 
 def similar(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
