@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, crc_mod5, need, settle, steps
+from .shared import Words, crc_mod5, keep_memory, need, settle, steps
 
 WINDOW, WIDTH = 32, 16
 HALF = WINDOW // 2
@@ -44,6 +44,8 @@ STRETCH, EVERY = 200, 4096
 RATES, BATCH, LEAST_STEPS, MOST_TURNS = (0.02, 0.01, 0.005), 64, 300, 12
 KNOWN = 1 << 18
 COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
+#: Freed memory that a worker keeps while it scores or trains.
+ROOM = 64 << 20
 #: Words whose spelling a worker remembers.
 REMEMBERED = 150_000
 
@@ -136,7 +138,7 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
         mine = speller(path)
         symbols, texts = np.zeros(mine.n_symbols, np.int64), 0
         emit = lambda kind, h, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
-        for part in steps(batches, limit=COUNT_BYTES):
+        for part in steps(batches, limit=COUNT_BYTES, room=ROOM):
             words = Words(part.column("text"), lower=True)
             texts += part.num_rows
             if not len(words.ids):
@@ -328,6 +330,7 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
         from pyspark import TaskContext
 
         flat, layout = held.value
+        keep_memory(ROOM)
         seen = 0
         vector = np.append(layout.vector, [layout.start, layout.start])  # -2: the start; -1: none
         for held_rows in gathered(batches):
@@ -337,6 +340,7 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
             for _ in range(turns):
                 flat = train(flat, x, y, real, rate)
             seen += int(real.sum())
+        keep_memory()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["g", "seen", "p"])
 
@@ -468,7 +472,7 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, layout, known, often, below, texts = held.value
         mine, scorer = speller(path), Scorer(flat, layout)
-        for part in steps(batches, limit=SCORE_BYTES):
+        for part in steps(batches, limit=SCORE_BYTES, room=ROOM):
             words = Words(part.column("text"), lower=True)
             n_rows = part.num_rows
             offsets, spelled = mine.recall(words.listed())

@@ -34,22 +34,18 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing from {df.columns}")
 
 
-_is_lean = False
-
-
-def _lean() -> None:
-    """Once a worker: large blocks are mapped, and so given back to the system when they are freed; workers live on between
-    stages, and an executor's memory is the sum of all."""
-    global _is_lean
-    if not _is_lean:
-        _is_lean = True
-        pa.set_memory_pool(pa.system_memory_pool())
-        try:
-            libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, fixed from now on
-            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: what stays at hand for the next slice
-        except (AttributeError, OSError):
-            pass  # another C library
+def keep_memory(room: int = 0) -> None:
+    """How a worker treats freed memory from now on: it keeps `room` bytes for its next blocks, and gives back the rest. Workers live on
+    between stages, and an executor's memory is the sum of all, so only operators whose time goes into many small arrays keep some."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20 if room else 4 << 20)  # M_MMAP_THRESHOLD: larger blocks are mapped, and go when they are freed
+        libc.mallopt(-1, max(room, 128 << 10))  # M_TRIM_THRESHOLD
+        if not room:
+            libc.malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -58,9 +54,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `limit` bytes of text; every row is in one slice."""
-    _lean()
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, room: int = 0) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `limit` bytes of text; every row is in one slice. room: see keep_memory; what is kept is given
+    back with the last slice."""
+    keep_memory(room)
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -73,6 +70,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    keep_memory()
 
 
 class Words:
