@@ -9,8 +9,8 @@ score mixes both: p(word) = SHARE * base(word) + (1 - SHARE) * spelling(word | s
 Scoring. A text's symbols are cut into windows that overlap by half; each symbol is scored once, in the window where it has at least
 half a window of context, and windows of many texts are scored in one batch under one mask.
 
-Training. Counts of words and symbols cover all training texts. The attention weights see one stretch of `STRETCH` bytes in each
-`EVERY` bytes of every training text, so what they learn from grows with the corpus. Each partition trains from the same start, and
+Training. Counts of words and symbols cover all training texts, and so do the windows that the attention weights learn from: each
+symbol is predicted once a round. Each partition trains from the same start, and
 parameters are averaged by symbols seen, once for each of `RATES`; averages are made in groups of partitions before the
 driver makes the last. After the first round symbols are grouped into classes anew, by the vectors learned.
 
@@ -39,7 +39,6 @@ OWN, SHARED = 2047, 256
 #: Classes of one symbol, and classes of many.
 ALONE, MANY = 112, 48
 SHARE = 0.5
-STRETCH, EVERY = 200, 4096
 #: Rate of each round; windows a step; steps that a partition is trained for at least, repeating its windows so often at most.
 RATES, BATCH, LEAST_STEPS, MOST_TURNS = (0.02, 0.01, 0.005), 64, 300, 12
 KNOWN = 1 << 18
@@ -231,37 +230,53 @@ def initial(layout: Layout, seed: int = 3) -> np.ndarray:
 _GAP = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    ones = np.ones(z.shape[-1], z.dtype)
+    with np.errstate(over="ignore"):
+        out = np.exp(z)
+        total = out @ ones
+    if not (np.isfinite(total).all() and total.min(initial=1) > 1e-30):  # too large or small for exp as it stands
+        out = np.exp(z - z.max(-1, keepdims=True))
+        total = out @ ones
+    out /= total[..., None]
+    return out
+
+
 def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of classes y after vectors x (batch x WINDOW), where real, and its gradients."""
-    mask = (_GAP < 0)[None]
     scale = np.float32(1 / np.sqrt(WIDTH))
+    flat = lambda t: t.reshape(-1, t.shape[-1])
     e = p["e"][x]
-    q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-    a = q @ k.transpose(0, 2, 1) * scale + p["far"][np.maximum(_GAP, 0)][None]
-    a = np.where(mask, np.float32(-1e9), a)
-    a = np.exp(a - a.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = e + a @ v
-    z = h @ p["w"] + p["b"]
-    z -= z.max(2, keepdims=True)
-    prob = np.exp(z)
-    prob /= prob.sum(2, keepdims=True)
+    rows = flat(e)
+    q, k, v = ((rows @ p[n]).reshape(e.shape) for n in "qkv")
+    a = q @ k.transpose(0, 2, 1)
+    a *= scale
+    a += np.where(_GAP < 0, np.float32(-1e9), p["far"][np.maximum(_GAP, 0)])
+    a = softmax(a)
+    h = rows + flat(a @ v)
+    z = h @ p["w"]
+    z += p["b"]
+    prob = softmax(z)
     n = max(1, int(real.sum()))
-    rows, cols = np.nonzero(real)
-    loss = -float(np.log(np.maximum(1e-30, prob[rows, cols, y[rows, cols]])).sum()) / n
-    dz = prob * real[..., None]
-    dz[rows, cols, y[rows, cols]] -= 1
-    dz /= n
-    flat = lambda t: t.reshape(-1, t.shape[-1])
+    here = np.nonzero(real.ravel())[0]
+    of = y.ravel()[here]
+    loss = -float(np.log(np.maximum(1e-30, prob[here, of])).sum()) / n
+    dz = prob
+    dz[here, of] -= 1
+    dz *= (real.reshape(-1, 1) / n).astype(dz.dtype)
     dh = dz @ p["w"].T
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    dh3 = dh.reshape(e.shape)
+    da = dh3 @ v.transpose(0, 2, 1)
+    dv = a.transpose(0, 2, 1) @ dh3
+    da -= ((da * a) @ np.ones(WINDOW, da.dtype))[..., None]
+    da *= a
+    ds = da
     dfar = np.bincount(np.maximum(_GAP, 0).ravel(), weights=(ds.sum(0) * (_GAP >= 0)).ravel(), minlength=WINDOW)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
+    dq, dk, dv = flat(ds @ k) * scale, flat(ds.transpose(0, 2, 1) @ q) * scale, flat(dv)
     de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    out = {"e": np.zeros_like(p["e"]), "q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "far": dfar, "w": flat(h).T @ flat(dz), "b": dz.sum((0, 1))}
-    np.add.at(out["e"], x.ravel(), flat(de))
+    out = {"q": rows.T @ dq, "k": rows.T @ dk, "v": rows.T @ dv, "far": dfar, "w": h.T @ dz, "b": dz.sum(0)}
+    spots = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    out["e"] = np.bincount(spots, weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
     return loss, out
 
 
@@ -279,32 +294,36 @@ def train(flat: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate
     return np.concatenate([p[n].ravel() for n in SHAPES])
 
 
-def _stretches(docs: DataFrame, path: str) -> DataFrame:
-    """Training windows: WINDOW + 1 symbols (int32, -1 where none) from each EVERY bytes of each text; the first is the start."""
+def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, each text's followed by the end: (offsets by text, symbols)."""
+    offsets, spelled = coder.recall(words.listed())
+    offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, coder.end)
+    at, each = spread(offsets, np.insert(words.ids, words.offsets[1:], len(words.vocab)))
+    return np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at]
+
+
+def cut(offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Consecutive windows of texts, rows of WINDOW + 1 symbols (int32, -2 the start, -1 none). A row's first is the symbol before
+    its others, so each symbol is once to be predicted."""
+    n = np.diff(offsets)
+    first = np.concatenate([[0], np.cumsum(-(-n // WINDOW))])
+    turn = np.arange(len(symbols)) - np.repeat(offsets[:-1], n)
+    out = np.full((first[-1], WINDOW + 1), -1, np.int32)
+    out[np.repeat(first[:-1], n) + turn // WINDOW, turn % WINDOW + 1] = symbols
+    out[1:, 0] = out[:-1, WINDOW]
+    out[first[:-1], 0] = -2
+    return out
+
+
+def _windows(docs: DataFrame, path: str) -> DataFrame:
+    """Training windows: all of each text."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = speller(path)
-        for part in steps(batches):
-            pieces, heads, tails = [], [], []
-            for text in part.column("text").cast(pa.large_binary()).to_pylist():
-                n = len(text)
-                for at in range(0, max(n, 1), EVERY):
-                    length = min(EVERY, n - at)
-                    # A stretch's place depends on the text alone.
-                    at += (n * 2654435761 + at * 40503) % (length - STRETCH + 1) if length > STRETCH else 0
-                    # Words cut by the stretch's ends are left out.
-                    piece = text[at : at + STRETCH].lower().split()
-                    pieces.append(piece[at > 0 : len(piece) - (at + STRETCH < n)])
-                    heads.append(at == 0)
-                    tails.append(at + STRETCH >= n)
-            offsets, symbols = mine.spell([w for p in pieces for w in p])
-            ends = offsets[np.cumsum([0, *map(len, pieces)])].tolist()
-            found = []
-            for a, b, head, tail in zip(ends, ends[1:], heads, tails, strict=False):
-                held = [*([-2] if head else []), *symbols[a : min(b, a + WINDOW + 1)].tolist(), *([mine.end] if tail else [])][: WINDOW + 1]
-                if len(held) > 1:
-                    found.append(np.array(held + [-1] * (WINDOW + 1 - len(held)), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
+        for part in steps(batches, limit=SCORE_BYTES, room=ROOM):
+            rows = cut(*spelled_out(Words(part.column("text"), lower=True), mine))
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * 4 * (WINDOW + 1)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])], ["w"])
 
     return docs.mapInArrow(pick, "w binary")
 
@@ -335,6 +354,8 @@ def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) ->
         vector = np.append(layout.vector, [layout.start, layout.start])  # -2: the start; -1: none
         for held_rows in gathered(batches):
             s = np.frombuffer(held_rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+            # A text's windows follow each other; a step takes windows of many texts.
+            s = s[np.random.Generator(np.random.PCG64(len(s))).permutation(len(s))]
             x, y, real = vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], s[:, 1:] >= 0
             turns = 1 if seen else int(np.clip(-(-LEAST_STEPS * BATCH // len(x)), 1, MOST_TURNS))
             for _ in range(turns):
@@ -463,7 +484,7 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     of = np.zeros(mine.n_symbols, np.int64)
     for r in counts.where("kind = 1").select("h", "c").collect():  # symbols of the vocabulary at most
         of[r.h] = r.c
-    flat, layout = fit(settle(_stretches(seen, path), "lm-windows"), of, mine.starts)
+    flat, layout = fit(settle(_windows(seen, path), "lm-windows"), of, mine.starts)
     hashes, often = _frequent(words)
     order = np.argsort(hashes)
     held = spark.sparkContext.broadcast((flat, layout, hashes[order], often[order], float(below), int(texts)))

@@ -248,6 +248,19 @@ def test_attention_gradients():
             assert (lm.loss_and_slopes(moved, x, y, real)[0] - loss) / 1e-5 == pytest.approx(slopes[name].ravel()[k], rel=2e-2, abs=1e-5)
 
 
+def test_training_windows_hold_every_symbol(frame, prose):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    coder = lm.speller(path)
+    texts = [prose(1, 900), prose(2, 20), "", None]
+    rows = [np.frombuffer(r.w, np.int32) for r in lm._windows(frame(texts).select("text").coalesce(1), path).collect()]
+    want = []
+    for t in texts:
+        words = lower(t or "").encode().split()
+        want += [*(coder.spell(words)[1].tolist()), coder.end]
+    assert [x for r in rows for x in r[1:].tolist() if x != -1] == want
+    assert sum(r[0] == -2 for r in rows) == len(texts)
+
+
 def test_nothing_to_train_on(frame):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     assert lm.score(frame([]), path).count() == 0
