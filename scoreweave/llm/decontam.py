@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates.
 
 Words are stripped of punctuation and case. Numbers, names (capitalised inside a sentence) and units (after a number) become typed
-placeholders, so a question with other numbers and names has the same template. Windows of `window` template words are
-hash-joined with the benchmark's; windows that follow each other in both texts are a run. A run counts if its slots are
+placeholders, so a question with other numbers and names has the same template. Windows of `window` template words, and the same
+windows of the words as they are, are hash-joined with the benchmark's; windows that follow each other in both texts are a run. A run counts if its slots are
 consistent: an item's number, name or unit stands for one and the same value of the document throughout the run. A run of
 `least` words (or all but two words of a shorter item) is contamination.
 
@@ -10,7 +10,7 @@ A fixed-size bitmap of the benchmark's window hashes (2**22 bits, whatever the b
 stay where they are; the join that follows is exact, and Spark chooses its kind by the tables' sizes.
 
 Defined results: a null text has no windows; an item with fewer than `shortest` words matches nothing, one shorter than a window
-is a window of its own length; a window must hold at least half literal words; rows that repeat or share a doc_id are judged by
+is a window of its own length; a window of placeholders must hold at least half literal words; rows that repeat or share a doc_id are judged by
 their own text; an empty table of documents or benchmark items gives an empty result; other columns play no part.
 """
 
@@ -64,7 +64,7 @@ def template(texts: pa.Array) -> tuple:
 
 
 def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
-    """Template windows of rows (id, key, text): OUT. With no sizes, those of items: windows of WIDTH, or of the whole item."""
+    """Template and literal windows of rows (id, key, text): OUT. With no sizes, those of items: windows of WIDTH, or of the whole item."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.frombuffer(bitmap.value, bool) if bitmap is not None else None
@@ -72,13 +72,16 @@ def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
             offsets, hashes, slot, ids, values, plain, as_name = template(part.column("text"))
             counts = np.diff(offsets)
             of = np.repeat(np.arange(len(counts)), counts)
-            rolling, slots = Rolling(hashes), np.concatenate([[0], np.cumsum(slot)])
+            rolling, exact, slots = Rolling(hashes), Rolling(plain), np.concatenate([[0], np.cumsum(slot)])
             for size in sizes or range(SHORTEST, WIDTH + 1):
                 at = np.arange(max(0, len(hashes) - size + 1))
-                good = (of[at] == of[at + size - 1]) & (2 * (slots[at + size] - slots[at]) <= size)
+                good = of[at] == of[at + size - 1]
                 if not sizes and size < WIDTH:
                     good &= counts[of[at]] == size
                 at = at[good]
+                n_slots = slots[at + size] - slots[at]
+                some = at[n_slots > 0]  # without slots the words are the template
+                at = at[2 * n_slots <= size]
                 keys = rolling.at(at, size)
                 bare = np.zeros(len(at), bool)
                 if mine is not None:
@@ -88,11 +91,17 @@ def windows(rows: DataFrame, sizes: list[int], bitmap=None) -> DataFrame:
                     keys = np.concatenate([keys, rolling.at(at[named], size, first)])
                     bare = np.concatenate([bare, np.ones(len(named), bool)])
                     at = np.concatenate([at, at[named]])
+                keys, at = np.concatenate([keys, exact.at(some, size)]), np.concatenate([at, some])
+                bare = np.concatenate([bare, np.zeros(len(some), bool)])
+                literal = np.arange(len(at)) >= len(at) - len(some)
+                if mine is not None:
                     hit = mine[keys >> np.uint64(64 - BITS)]
-                    at, keys, bare = at[hit], keys[hit], bare[hit]
+                    at, keys, bare, literal = at[hit], keys[hit], bare[hit], literal[hit]
                 if not len(at):
                     continue
-                told = [[f"{size}:{i}:{values[ids[a + i]].as_py()}" for i in range(size) if slot[a + i] and (i or not b)] for a, b in zip(at.tolist(), bare.tolist(), strict=True)]
+                # A text's literal window has no slots of its own: each of the item's stands for itself.
+                bound = [range(0) if x and mine is not None else range(b, size) for b, x in zip(bare.tolist(), literal.tolist(), strict=True)]
+                told = [[f"{size}:{i}:{values[ids[a + i]].as_py()}" for i in r if slot[a + i]] for a, r in zip(at.tolist(), bound, strict=True)]
                 rows_at = pa.array(of[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), part.column("id").take(rows_at), part.column("key").take(rows_at), pa.array((at - offsets[of[at]]).astype(np.int32)), pa.array(counts[of[at]].astype(np.int32)), pa.array(told, pa.list_(pa.string()))],
@@ -120,8 +129,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Dat
     bits[spots.astype(np.int64)] = True
     hits = windows(_rows(docs, "doc_id"), sizes or [WIDTH], spark.sparkContext.broadcast(bits.tobytes()))
     items = items.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots")).distinct()
-    # Slots of a window are in the order of their places, which are the same in both.
-    both = hits.join(items, "h").withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.split(a, ":", 3)[2].alias("a"), F.split(b, ":", 3)[2].alias("b"))))
+    # Slots of a window are in the order of their places, which are the same in both; in a literal match an item's stand for themselves.
+    values = F.when(F.size("slots") == 0, F.col("item_slots")).otherwise(F.col("slots"))
+    both = hits.join(items, "h").withColumn("slots", values).withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.split(a, ":", 3)[2].alias("a"), F.split(b, ":", 3)[2].alias("b"))))
     both = both.select("id", "key", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "pairs").distinct()
     # Rows of one alignment are no more than the item's windows.
     lines = both.groupBy("id", "key", "item_id", "item_words", "shift").agg(F.sort_array(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))

@@ -179,6 +179,13 @@ def test_slots_must_be_consistent(spark, frame):
     assert {r.doc_id for r in decontam.matches(frame(texts), items).collect()} == {0}
 
 
+def test_verbatim_copies_full_of_numbers_are_found(spark, frame, prose):
+    heavy, short = "Given the list 3 7 9 12 15 21 what is the median of the list", "Add 3 4 5 6"
+    items = spark.createDataFrame([(1, heavy), (2, short)], "item_id long, text string")
+    texts = [prose(1, 30) + " " + heavy + " " + prose(2, 30), prose(3, 30) + " so add 3 4 5 6 " + prose(4, 30), heavy.replace("9", "8"), "add 3 4 5 7", heavy.lower()]
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(frame(texts), items).collect()} == {(0, 1), (1, 2), (4, 1)}
+
+
 def test_clean_documents_stay(spark, frame, prose, odd):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     texts = [*odd, *(prose(i, 100) for i in range(20)), (None, ITEMS[0][1])]
