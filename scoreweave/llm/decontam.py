@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Rolling, Words, hash_bytes, need, part_by, settle, steps
@@ -133,16 +133,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Dat
     values = F.when(F.size("slots") == 0, F.col("item_slots")).otherwise(F.col("slots"))
     both = hits.join(items, "h").withColumn("slots", values).withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.split(a, ":", 3)[2].alias("a"), F.split(b, ":", 3)[2].alias("b"))))
     both = both.select("id", "key", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "pairs").distinct()
-    # Rows of one alignment are no more than the item's windows.
-    lines = both.groupBy("id", "key", "item_id", "item_words", "shift").agg(F.sort_array(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    run = F.aggregate(
-        "ats",
-        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1).alias("now"), F.greatest(s["best"], F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1)).alias("best")),
-        lambda s: s["best"],
-    )
+    # Windows at places that follow each other are a run; a window may be there twice, as a template and as its words.
+    line = Window.partitionBy("id", "key", "item_id", "item_words", "shift").orderBy("item_at")
+    both = both.withColumn("run", F.col("item_at") - F.dense_rank().over(line))
+    runs = both.groupBy("id", "key", "item_id", "item_words", "shift", "run").agg((F.max("item_at") - F.min("item_at")).alias("steps"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    lines = lines.where(steady).withColumn("run_words", run + F.least("item_words", F.lit(WIDTH)) - 1)
+    lines = runs.where(steady).withColumn("run_words", F.col("steps") + F.least("item_words", F.lit(WIDTH)))
     needed = F.when(F.col("item_words") <= WIDTH, F.col("item_words")).otherwise(F.least(F.lit(least), F.greatest(F.lit(WIDTH), F.col("item_words") - 2)))
     lines = lines.where(F.col("run_words") >= needed)
     out = lines.groupBy("id", "key", "item_id", "item_words").agg(F.max("run_words").alias("run_words"))

@@ -179,6 +179,14 @@ def test_slots_must_be_consistent(spark, frame):
     assert {r.doc_id for r in decontam.matches(frame(texts), items).collect()} == {0}
 
 
+def test_slots_are_held_against_each_other_within_a_run(spark, frame):
+    item = "Tom has 5 apples and gives some of them to his sister who lives by the old mill and then eats 5 apples on the way back home"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    apart = item.replace("by the old mill", "in a new house").replace("eats 5", "eats 8")  # 14 words as they are, then another number
+    torn = item.replace("gives some of them", "sold any but one").replace("by the old mill", "in a new house")
+    assert {r.doc_id: r.run_words for r in decontam.matches(frame([apart, torn, item]), items).collect()} == {0: 14, 2: 28}
+
+
 def test_verbatim_copies_full_of_numbers_are_found(spark, frame, prose):
     heavy, short = "Given the list 3 7 9 12 15 21 what is the median of the list", "Add 3 4 5 6"
     items = spark.createDataFrame([(1, heavy), (2, short)], "item_id long, text string")
