@@ -248,6 +248,12 @@ def test_attention_gradients():
             assert (lm.loss_and_slopes(moved, x, y, real)[0] - loss) / 1e-5 == pytest.approx(slopes[name].ravel()[k], rel=2e-2, abs=1e-5)
 
 
+def test_the_model_tells_192_classes():
+    layout = lm.Layout(np.arange(4001), np.arange(4001) % 2 == 0)
+    assert (lm.ALONE, lm.MANY) == (128, 64) and lm.unpacked(lm.initial(layout))["w"].shape == (lm.WIDTH, 192)
+    assert (np.bincount(layout.group)[:128] == 1).all()
+
+
 def test_training_windows_hold_every_symbol(frame, prose):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     coder = lm.speller(path)
