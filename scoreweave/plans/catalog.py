@@ -238,17 +238,17 @@ def gram_matrix(spark, sf):
 
 @_register()
 def impute_multivariate(spark, sf):
-    return _filled(multivariate.impute_multivariate(X.small_grid(spark, sf), 2))
+    return _filled(multivariate.impute_multivariate(X.grid(spark, sf), 2))
 
 
 @_register()
 def impute_multivariate_gd(spark, sf):
-    return _filled(multivariate.impute_multivariate_gd(X.small_grid(spark, sf), 20))
+    return _filled(multivariate.impute_multivariate_gd(X.grid(spark, sf), 100))
 
 
 @_register()
 def impute_consolidated_gd(spark, sf):
-    return _filled(multivariate.impute_consolidated_gd(X.small_grid(spark, sf), 200))
+    return _filled(multivariate.impute_consolidated_gd(X.grid(spark, sf), 10_000))
 
 
 # Rankings

@@ -60,11 +60,6 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.densify(cells(spark, sf_dir))
 
 
-def small_grid(spark: SparkSession, sf_dir: str, metrics: int = 5) -> DataFrame:
-    """The grid of the first brands only, for imputers that need more entities than metrics."""
-    return grid(spark, sf_dir).where(F.substring("metric", 7, 10).cast("int") <= metrics)
-
-
 def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with the names of metrics that take part in derivations."""
     names = F.create_map(*[F.lit(x) for pair in BRANDS.items() for x in pair])

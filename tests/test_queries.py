@@ -39,3 +39,11 @@ def test_query(spark, duck, name):
 def test_dense_imputers_fill_everything(spark, name):
     out = entry.queries()[name](spark, SF)
     assert out.where("score is null or isnan(score)").count() == 0 and out.where("not is_known").count() > 0
+
+
+@pytest.mark.parametrize("name", ["impute_multivariate", "impute_multivariate_gd", "impute_consolidated_gd"])
+def test_dense_imputers_take_the_whole_grid(spark, name):
+    from scoreweave.plans import fixtures as X
+
+    keys = lambda df: {(r.entity, r.metric) for r in df.select("entity", "metric").collect()}
+    assert keys(entry.queries()[name](spark, SF)) == keys(X.grid(spark, SF))
