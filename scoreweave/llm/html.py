@@ -5,7 +5,8 @@ it stands in. A line's ratio is its characters without links over its tags; rati
 lines over the threshold (a share of the page's standard deviation) are clusters of content. Since short paragraphs between
 long ones score low, the clusters vote for the innermost element that holds nearly all of their text, and every line of that element
 stands, but for what markup says is no part of an article: menus, headers, footers, asides, forms, scripts, and elements
-whose class, id or role names a notice, advert, sidebar or comments.
+whose class, id or role names a notice, advert, sidebar or comments. A name drops no element that holds most of the page's text,
+a main or the longest article (a page's wrapper is often named after its sidebar); ratios decide there.
 
 Defined results: a null or empty html, and one without text, give an empty text; nothing is capped; unclosed and stray tags
 are taken as they come; repeated rows each get a row; an empty table gives an empty one.
@@ -51,12 +52,18 @@ class Line:
     __slots__ = ("links", "parts", "path", "tags")
 
     def __init__(self, path: tuple[int, ...]) -> None:
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, tuple[int, ...], bool]] = []  # text, elements about it that a name would drop, whether it is a link
         self.tags, self.links, self.path = 1, 0, path
 
     @property
     def text(self) -> str:
-        return SPACE.sub(" ", "".join(self.parts)).strip()
+        return SPACE.sub(" ", "".join(t for t, _, _ in self.parts)).strip()
+
+    def without(self, shut: set[int]) -> Line:
+        """The line without what stands in these elements."""
+        self.parts = [x for x in self.parts if shut.isdisjoint(x[1])]
+        self.links = sum(len(t) for t, _, link in self.parts if link)
+        return self
 
 
 class Events(HTMLParser):
@@ -65,7 +72,9 @@ class Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, whether it is dropped
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, whether it is dropped, whether its name may drop it
+        self.named: tuple[int, ...] = ()
+        self.inside: dict[int, tuple[int, ...]] = {}  # articles, by the named elements about them
         self.kinds: list[str] = ["page"]
         self.dropped = self.links = 0
         self.line = Line((0,))
@@ -73,11 +82,13 @@ class Events(HTMLParser):
     def cut(self) -> None:
         if self.line.parts:
             self.lines.append(self.line)
-        self.line = Line((0, *[n for name, n, _ in self.open if name not in INLINE]))
+        self.line = Line((0, *[x[1] for x in self.open if x[0] not in INLINE]))
 
     def pop(self) -> None:
-        name, _, dropped = self.open.pop()
+        name, _, dropped, named = self.open.pop()
         self.dropped -= dropped
+        if named:
+            self.named = self.named[:-1]
         self.links -= name == "a"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -95,21 +106,25 @@ class Events(HTMLParser):
         if tag not in VOID:
             told = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")) if attrs else ""
             named = bool(told) and tag not in ARTICLE and bool(NAMES.search(told))
-            inside = any(name in ARTICLE for name, _, _ in self.open)
-            drop = tag in DROPPED or tag == "header" and not inside or named or any(k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+            inside = any(x[0] in ARTICLE for x in self.open)
+            drop = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
             self.kinds.append(tag)
-            self.open.append((tag, len(self.kinds) - 1, drop))
+            self.open.append((tag, len(self.kinds) - 1, drop, named))
+            if named:
+                self.named += (len(self.kinds) - 1,)
+            if tag in ARTICLE:
+                self.inside[len(self.kinds) - 1] = self.named
             self.dropped += drop
             self.links += tag == "a"
         if inline:
             self.line.tags += 1
             if tag == "br":
-                self.line.parts.append(" ")
+                self.line.parts.append((" ", self.named, False))
         else:
             self.cut()
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(name == tag for name, _, _ in self.open):
+        if not any(x[0] == tag for x in self.open):
             return
         inline = tag in INLINE
         if inline and not self._same_block(tag):
@@ -123,7 +138,7 @@ class Events(HTMLParser):
             self.cut()
 
     def _same_block(self, tag: str) -> bool:
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name == tag:
                 return True
             if name not in INLINE:
@@ -132,9 +147,30 @@ class Events(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            self.line.parts.append(data)
-            if self.links:
-                self.line.links += len(data)
+            self.line.parts.append((data, self.named, self.links > 0))
+
+    def shut(self) -> set[int]:
+        """Elements that their name drops: not one that holds most of the page's text, a main, or the longest article."""
+        names = {n for x in self.lines for _, named, _ in x.parts for n in named}
+        if not names:
+            return names
+        held: Counter[int] = Counter()
+        total = 0
+        for x in self.lines:
+            size = 0
+            for t, named, _ in x.parts:
+                n = len(t.strip())
+                size += n
+                for k in named:
+                    held[k] += n
+            total += size
+            for k in self.inside.keys() & {*x.path}:
+                held[k] += size
+        kept = {n for n in names if 2 * held[n] > total}
+        for kind in ARTICLE:
+            of = [n for n in self.inside if self.kinds[n] == kind and held[n]]
+            kept.update(*(self.inside[n] for n in (of if kind == "main" else [max(of, key=held.__getitem__)] if of else [])))
+        return names - kept
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -150,7 +186,8 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, shar
     events.feed(html)
     events.close()
     events.cut()
-    lines = [(x, t) for x in events.lines if (t := x.text)]
+    shut = events.shut()
+    lines = [(x, t) for x in events.lines if (t := x.without(shut).text)]
     if not lines:
         return ""
     named = [n for kind in ARTICLE for n, k in enumerate(events.kinds) if k == kind]

@@ -94,6 +94,18 @@ def test_article_of_a_page(box):
     assert html.main_text(HEAD + AROUND.format(box.format(ARTICLE)) + "</body></html>") == WANT
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap with-sidebar'>", "<div class='layout with-sidebar'>", "<div class='social'><section id='search'>"])
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>"])
+def test_named_wrappers_of_an_article_stay(wrap, box):
+    aside = "<div class='sidebar'><p>Other things to read</p></div>"
+    named = wrap.replace("content-sidebar-wrap with-sidebar", "wrap with sidebar")
+    for w in (wrap, named):
+        assert html.main_text(f"{HEAD}{w}{box.format(ARTICLE)}{aside}</div></body></html>") == WANT
+    # The same names drop what isn't the article.
+    more = "<div class='related'><article><p>A teaser of another article.</p></article></div>"
+    assert html.main_text(f"{HEAD}<article>{ARTICLE}</article>{more}</body></html>") == WANT
+
+
 def test_odd_pages(spark):
     seen = [None, "", "   ", "plain words only", "<p>unclosed <i>tags", "</div></p>stray<p>end</p>", "<!-- only --> ", "<script>x()</script>", "<p>a&#233;&lt;b&gt;</p>"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(seen)], "page_id long, url string, html string")
