@@ -47,3 +47,8 @@ def test_dense_imputers_take_the_whole_grid(spark, name):
 
     keys = lambda df: {(r.entity, r.metric) for r in df.select("entity", "metric").collect()}
     assert keys(entry.queries()[name](spark, SF)) == keys(X.grid(spark, SF))
+
+
+@pytest.mark.parametrize("name", ["holdout_mse_mean_all", "holdout_mse_bivariate_all", "holdout_mse_observation"])
+def test_accuracy_rests_on_all_holdouts(spark, name):
+    assert entry.queries()[name](spark, SF).first().tests == 100
