@@ -2,17 +2,21 @@
 
 The model. Words (A-Z lowered) are spelled in subword ids of a public vocabulary; a word's last id is a symbol of its own, so
 no word's spelling starts another's. One attention layer looks back over `WINDOW` symbols with a learned bias for each
-distance; it predicts the class of the next symbol, and the symbol in its class follows counts over all training texts. That gives
-a word's probability by its spelling. A second source is the word's own count over all training texts (the base). The
-score mixes both: p(word) = SHARE * base(word) + (1 - SHARE) * spelling(word | symbols before).
+distance; it predicts the class of the next symbol in two steps (one of SUPERS kinds, then one of the LEAVES classes of that kind), and
+the symbol in its class follows counts over all training texts. That gives a word's probability by its spelling. A second source is
+the word's own count over all training texts (the base). The score mixes both:
+p(word) = SHARE * base(word) + (1 - SHARE) * spelling(word | symbols before).
+
+Texts are spelled once, to a table of symbols that all steps read: spellings tell words apart, so words are counted by them, too.
 
 Scoring. A text's symbols are cut into windows that overlap by half; each symbol is scored once, in the window where it has at least
 half a window of context, and windows of many texts are scored in one batch under one mask.
 
 Training. Counts of words and symbols cover all training texts, and so do the windows that the attention weights learn from: each
-symbol is predicted once a round. Each partition trains from the same start, and
-parameters are averaged by symbols seen, once for each of `RATES`; averages are made in groups of partitions before the
-driver makes the last. After the first round symbols are grouped into classes anew, by the vectors learned.
+symbol is predicted once. Windows are dealt by a hash of their document and place into as many slices as there are `RATES`, and a slice
+into groups of about GROUP windows (MOST_GROUPS groups at most; then groups are larger). A round takes one slice: each group trains from the
+same start in the order of the hashes, and the results are averaged by symbols seen, in a fixed order. So the weights depend on the rows alone, not
+on how they are partitioned. After the first round symbols are grouped into classes anew, by the vectors learned.
 
 Joins. Counts of the `KNOWN` most frequent words (a fixed number) are broadcast; other words are joined by a 64-bit hash.
 
@@ -30,19 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, crc_mod5, keep_memory, need, settle, steps
+from .shared import Rolling, Words, crc_mod5, keep_memory, mix64, need, settle, steps
 
 WINDOW, WIDTH = 32, 16
 HALF = WINDOW // 2
 #: Symbols with an input vector of their own, and vectors that the others share.
 OWN, SHARED = 2047, 256
-#: Classes of one symbol, and classes of many.
+#: Classes of one symbol, and classes of many; classes of one kind, and kinds.
 ALONE, MANY = 128, 64
+LEAVES = 16
+SUPERS = (ALONE + MANY) // LEAVES
 SHARE = 0.5
-#: Rate of each round; windows a step; steps that a partition is trained for at least, repeating its windows so often at most.
-RATES, BATCH, LEAST_STEPS, MOST_TURNS = (0.02, 0.01, 0.005), 64, 300, 12
+#: Rate of each round; windows a step; windows of a group, and most groups of a round.
+RATES, BATCH, GROUP, MOST_GROUPS = (0.02, 0.01, 0.005), 64, 19_200, 4096
 KNOWN = 1 << 18
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
+SPELL_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Freed memory that a worker keeps while it scores or trains.
 ROOM = 64 << 20
 #: Words whose spelling a worker remembers.
@@ -120,38 +126,82 @@ def speller(path: str) -> Speller:
     return _spellers[path]
 
 
-def spread(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its item's range, all ranges in a row: (positions in the items' flat array, number by word)."""
-    n = np.diff(offsets)[ids]
-    ends = np.cumsum(n)
-    return np.repeat(offsets[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), n
+# Symbols
+
+
+def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, each text's followed by the end: (offsets by text, symbols)."""
+    offsets, spelled = coder.recall(words.listed())
+    offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, coder.end)
+    ids = np.insert(words.ids, words.offsets[1:], len(words.vocab))
+    each = np.diff(offsets)[ids]
+    ends = np.cumsum(each)
+    at = np.repeat(offsets[ids] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at]
+
+
+def symbol_table(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, held_out, key, n, s) for each row of docs (doc_id, held_out, key, text): number of symbols, and symbols as int32."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = speller(path)
+        for part in steps(batches, limit=SPELL_BYTES, room=ROOM):
+            offsets, symbols = spelled_out(Words(part.column("text"), lower=True), mine)
+            held = symbols.astype(np.int32)
+            for at in range(0, part.num_rows, 1000):  # small batches for the JVM
+                cuts = offsets[at : at + 1001]
+                s = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * 4), pa.py_buffer(held)])
+                own = part.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(cuts), pa.int64()), s.cast(pa.binary())], ["doc_id", "held_out", "key", "n", "s"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"doc_id {kind}, held_out boolean, key long, n long, s binary")
+
+
+def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets by text, symbols) of a column s."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    held = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.int32)
+    return (ends - ends[0]) // 4, held.astype(np.int64)
+
+
+class Tokens:
+    """Tokens of texts by their symbols. ends: where each stops; hashes: 64 bits of each word's spelling; is_end: the texts' ends;
+    rows: the text of each."""
+
+    def __init__(self, offsets: np.ndarray, symbols: np.ndarray, end: int) -> None:
+        self.ends = np.nonzero((symbols & 1 == 1) | (symbols == end))[0] + 1
+        self.starts = np.concatenate([np.zeros(min(1, len(self.ends)), np.int64), self.ends[:-1]])
+        self.is_end = symbols[self.ends - 1] == end
+        self.hashes = Rolling(mix64(symbols.astype(np.uint64) + np.uint64(1))).at(self.starts, self.ends - self.starts)
+        self.counts = np.diff(np.searchsorted(self.ends, offsets, "right"))
+        self.rows = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
 
 # Counts
 
 
-def _counts(docs: DataFrame, path: str) -> DataFrame:
-    """(kind, h, c) over training rows (text): kind 0 words by hash, 1 symbols, 2 texts."""
+def _counts(table: DataFrame, end: int) -> DataFrame:
+    """(kind, h, c) over training rows of a symbol table: kind 0 words by hash, 1 symbols, 2 texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = speller(path)
-        symbols, texts = np.zeros(mine.n_symbols, np.int64), 0
+        symbols, texts = np.zeros(end + 1, np.int64), 0
         emit = lambda kind, h, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
-        for part in steps(batches, limit=COUNT_BYTES, room=ROOM):
-            words = Words(part.column("text"), lower=True)
+        for part in steps(batches, "s", limit=2 * SPELL_BYTES, room=ROOM):
+            offsets, held = symbols_of(part.column("s"))
             texts += part.num_rows
-            if not len(words.ids):
-                continue
-            n = np.bincount(words.ids, minlength=len(words.vocab))
-            offsets, spelled = mine.spell(words.listed())
-            symbols += np.bincount(spelled, weights=np.repeat(n, np.diff(offsets)), minlength=mine.n_symbols).astype(np.int64)
-            yield emit(0, words.hashes().view(np.int64), n.astype(np.int64))
-        symbols[mine.end] = texts
+            symbols += np.bincount(held, minlength=end + 1)
+            tokens = Tokens(offsets, held, end)
+            hashes, n = np.unique(tokens.hashes[~tokens.is_end], return_counts=True)
+            if len(hashes):
+                yield emit(0, hashes.view(np.int64), n.astype(np.int64))
         seen = np.nonzero(symbols)[0]
         yield emit(1, seen.astype(np.int64), symbols[seen])
         yield emit(2, np.zeros(1, np.int64), np.array([texts], np.int64))
 
-    return docs.mapInArrow(count, "kind byte, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    return table.select("s").mapInArrow(count, "kind byte, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
 # The model
@@ -189,6 +239,8 @@ class Layout:
         total = np.bincount(self.group, weights=smooth, minlength=ALONE + MANY)
         self.inside = np.log(smooth / total[self.group]).astype(np.float32)
         self.prior = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
+        kinds = total.reshape(SUPERS, LEAVES).sum(1)
+        self.kind_prior = np.log(np.maximum(kinds, 1e-9) / kinds.sum()).astype(np.float32)
 
     def _cut(self, symbols: np.ndarray, vectors: np.ndarray, mass: np.ndarray, first: int, leaves: int) -> None:
         if leaves == 1 or len(symbols) < 2:
@@ -205,7 +257,10 @@ class Layout:
         self._cut(symbols[along[cut:]], vectors, mass, first + left, leaves - left)
 
 
-SHAPES = {"e": (OWN + 1 + SHARED, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "far": (WINDOW,), "w": (WIDTH, ALONE + MANY), "b": (ALONE + MANY,)}
+SHAPES = {
+    "e": (OWN + 1 + SHARED, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "far": (WINDOW,),
+    "w": (WIDTH, ALONE + MANY), "b": (ALONE + MANY,), "kw": (WIDTH, SUPERS), "kb": (SUPERS,),
+}
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -222,7 +277,8 @@ def initial(layout: Layout, seed: int = 3) -> np.ndarray:
     start = {n: rng.normal(0, 0.1 if n == "e" else 0.25, s) for n, s in SHAPES.items()}
     start["far"] = -0.1 * np.arange(WINDOW)
     start["w"] = rng.normal(0, 0.1, SHAPES["w"])
-    start["b"] = layout.prior
+    start["kw"] = rng.normal(0, 0.1, SHAPES["kw"])
+    start["b"], start["kb"] = layout.prior, layout.kind_prior
     return np.concatenate([start[n].ravel() for n in SHAPES]).astype(np.float32)
 
 
@@ -242,64 +298,119 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_kind(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of classes by kind, and where each kind starts in it."""
+    kinds = (classes // LEAVES).astype(np.uint8)
+    return np.argsort(kinds, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=SUPERS)[:SUPERS])])
+
+
+def leaf_weights(w: np.ndarray) -> np.ndarray:
+    """Weights of each kind's classes: SUPERS x WIDTH x LEAVES."""
+    return np.ascontiguousarray(w.reshape(WIDTH, SUPERS, LEAVES).transpose(1, 0, 2))
+
+
+def leaf_logits(h: np.ndarray, cuts: np.ndarray, leaves: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logits of the classes of each row's kind; rows are in the order of by_kind."""
+    z = np.empty((len(h), LEAVES), h.dtype)
+    for kind, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if stop > start:
+            np.matmul(h[start:stop], leaves[kind], out=z[start:stop])
+            z[start:stop] += b[kind * LEAVES : (kind + 1) * LEAVES]
+    return z
+
+
+_PAST = (_GAP >= 0)
+_DISTANCE = np.maximum(_GAP, 0)
+
+
 def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of classes y after vectors x (batch x WINDOW), where real, and its gradients."""
-    scale = np.float32(1 / np.sqrt(WIDTH))
     flat = lambda t: t.reshape(-1, t.shape[-1])
     e = p["e"][x]
     rows = flat(e)
-    q, k, v = ((rows @ p[n]).reshape(e.shape) for n in "qkv")
+    kind = rows.dtype.type
+    scale = kind(1 / np.sqrt(WIDTH))
+    three = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
+    made = rows @ three
+    q, k, v = (made[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a *= scale
-    a += np.where(_GAP < 0, np.float32(-1e9), p["far"][np.maximum(_GAP, 0)])
+    a += np.where(_PAST, p["far"][_DISTANCE], kind(-1e9))
     a = softmax(a)
-    h = rows + flat(a @ v)
-    z = h @ p["w"]
-    z += p["b"]
-    prob = softmax(z)
-    n = max(1, int(real.sum()))
+    got = a @ v
+    h = rows + flat(got)
+    # Only real places have a class; they are taken kind by kind.
     here = np.nonzero(real.ravel())[0]
-    of = y.ravel()[here]
-    loss = -float(np.log(np.maximum(1e-30, prob[here, of])).sum()) / n
-    dz = prob
-    dz[here, of] -= 1
-    dz *= (real.reshape(-1, 1) / n).astype(dz.dtype)
-    dh = dz @ p["w"].T
+    n = max(1, len(here))
+    order, cuts = by_kind(y.ravel()[here])
+    here = here[order]
+    of, at = y.ravel()[here], np.arange(len(here))
+    held, leaves = h[here], leaf_weights(p["w"])
+    one = softmax(held @ p["kw"] + p["kb"])
+    two = softmax(leaf_logits(held, cuts, leaves, p["b"]))
+    loss = -float(np.log(np.maximum(1e-30, one[at, of // LEAVES] * two[at, of % LEAVES])).sum()) / n
+    one[at, of // LEAVES] -= 1
+    two[at, of % LEAVES] -= 1
+    one *= kind(1 / n)
+    two *= kind(1 / n)
+    dheld = one @ p["kw"].T
+    dw, db = np.zeros((SUPERS, WIDTH, LEAVES), held.dtype), np.zeros((SUPERS, LEAVES), held.dtype)
+    for i, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if stop > start:
+            part = two[start:stop]
+            dheld[start:stop] += part @ leaves[i].T
+            dw[i] = held[start:stop].T @ part
+            db[i] = part.sum(0)
+    dh = np.zeros_like(h)
+    dh[here] = dheld
     dh3 = dh.reshape(e.shape)
     da = dh3 @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh3
-    da -= ((da * a) @ np.ones(WINDOW, da.dtype))[..., None]
+    made_slopes = np.empty_like(made)
+    made_slopes[:, 2 * WIDTH :] = flat(a.transpose(0, 2, 1) @ dh3)
+    # The softmax's slope: a * (da - sum(da * a)), and that sum is dh times what attention gave.
+    da -= (dh3 * got).sum(-1, keepdims=True)
     da *= a
-    ds = da
-    dfar = np.bincount(np.maximum(_GAP, 0).ravel(), weights=(ds.sum(0) * (_GAP >= 0)).ravel(), minlength=WINDOW)
-    dq, dk, dv = flat(ds @ k) * scale, flat(ds.transpose(0, 2, 1) @ q) * scale, flat(dv)
-    de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    out = {"q": rows.T @ dq, "k": rows.T @ dk, "v": rows.T @ dv, "far": dfar, "w": h.T @ dz, "b": dz.sum(0)}
+    dfar = np.bincount(_DISTANCE.ravel(), weights=(da.sum(0) * _PAST).ravel(), minlength=WINDOW)
+    made_slopes[:, :WIDTH] = flat(da @ k)
+    made_slopes[:, WIDTH : 2 * WIDTH] = flat(da.transpose(0, 2, 1) @ q)
+    de = dh + made_slopes @ three.T
+    dthree = rows.T @ made_slopes
+    out = {
+        "q": dthree[:, :WIDTH] * scale, "k": dthree[:, WIDTH : 2 * WIDTH], "v": dthree[:, 2 * WIDTH :], "far": dfar,
+        "w": dw.transpose(1, 0, 2).reshape(WIDTH, -1), "b": db.ravel(), "kw": held.T @ one, "kb": one.sum(0),
+    }
     spots = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
     out["e"] = np.bincount(spots, weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
     return loss, out
 
 
-def train(flat: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate: float) -> np.ndarray:
-    """One pass of Adam over windows, in their order."""
-    p = unpacked(flat.astype(np.float32).copy())
-    first, second = ({n: np.zeros(s, np.float32) for n, s in SHAPES.items()} for _ in "12")
-    for t, at in enumerate(range(0, len(x), BATCH), 1):
-        rows = slice(at, at + BATCH)
-        _, slopes = loss_and_slopes(p, x[rows], y[rows], real[rows])
-        for n, g in slopes.items():
-            first[n] = 0.9 * first[n] + 0.1 * g.astype(np.float32)
-            second[n] = 0.99 * second[n] + 0.01 * g.astype(np.float32) ** 2
-            p[n] -= np.float32(rate) * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + np.float32(1e-6))
-    return np.concatenate([p[n].ravel() for n in SHAPES])
-
-
-def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts, each text's followed by the end: (offsets by text, symbols)."""
-    offsets, spelled = coder.recall(words.listed())
-    offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, coder.end)
-    at, each = spread(offsets, np.insert(words.ids, words.offsets[1:], len(words.vocab)))
-    return np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at]
+class Trainer:
+    """Adam from a start, step by step."""
+
+    def __init__(self, flat: np.ndarray, rate: float) -> None:
+        self.flat, self.rate, self.turn = flat.astype(np.float32).copy(), rate, 0
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.slopes = np.empty_like(self.flat)
+        self.p, self.into = unpacked(self.flat), unpacked(self.slopes)
+
+    def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> float:
+        loss, found = loss_and_slopes(self.p, x, y, real)
+        for n, g in found.items():
+            self.into[n][...] = g
+        self.turn += 1
+        g, f32 = self.slopes, np.float32
+        self.first *= f32(0.9)
+        self.first += f32(0.1) * g
+        g *= g
+        g *= f32(0.01)
+        self.second *= f32(0.99)
+        self.second += g
+        np.multiply(self.second, f32(1 / (1 - 0.99**self.turn)), out=g)
+        np.sqrt(g, out=g)
+        g += f32(1e-6)
+        np.divide(self.first, g, out=g)
+        g *= f32(self.rate / (1 - 0.9**self.turn))
+        self.flat -= g
+        return loss
 
 
 def cut(offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -315,77 +426,98 @@ def cut(offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(docs: DataFrame, path: str) -> DataFrame:
-    """Training windows: all of each text."""
+def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES)) -> DataFrame:
+    """(g, deal, w): the training windows of slice `wanted`, dealt to groups by a hash of the document and the window's place."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = speller(path)
-        for part in steps(batches, limit=SCORE_BYTES, room=ROOM):
-            rows = cut(*spelled_out(Words(part.column("text"), lower=True), mine))
-            ends = np.arange(len(rows) + 1, dtype=np.int32) * 4 * (WINDOW + 1)
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])], ["w"])
-
-    return docs.mapInArrow(pick, "w binary")
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-    """Windows in chunks of enough for LEAST_STEPS steps, but for the last."""
-    held: list[bytes] = []
+        for part in steps(batches, "s", limit=2 * SCORE_BYTES, room=ROOM):
+            offsets, symbols = symbols_of(part.column("s"))
+            rows, each = cut(offsets, symbols), -(-np.diff(offsets) // WINDOW)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
+            deal = mix64(np.repeat(part.column("key").to_numpy().view(np.uint64), each) ^ mix64(place.astype(np.uint64), 77))
+            mine = np.nonzero(deal % np.uint64(slices) == wanted)[0]
+            rows, deal = rows[mine], deal[mine]
+            for at in range(0, len(rows), 8192):
+                some = np.ascontiguousarray(rows[at : at + 8192])
+                ends = np.arange(len(some) + 1, dtype=np.int32) * 4 * (WINDOW + 1)
+                g = (deal[at : at + 8192] // np.uint64(slices) % np.uint64(groups)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(deal[at : at + 8192].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "deal", "w"])
+
+    return table.select("key", "s").mapInArrow(pick, "g int, deal long, w binary")
+
+
+def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(group, windows of a step): rows come group by group; a group's last step may be smaller."""
+    now, held = None, b""
+    size = BATCH * 4 * (WINDOW + 1)
     for batch in batches:
-        held += batch.column("w").to_pylist()
-        if len(held) >= LEAST_STEPS * BATCH:
-            yield b"".join(held)
-            held = []
+        groups, rows = batch.column("g").to_numpy(), batch.column("w")
+        heads = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1, [len(groups)]]).tolist() if len(groups) else [0]
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            if groups[a] != now:
+                if held:
+                    yield now, held
+                now, held = int(groups[a]), b""
+            held += b"".join(rows.slice(a, b - a).to_pylist())
+            for at in range(0, len(held) - size + 1, size):
+                yield now, held[at : at + size]
+            held = held[len(held) // size * size :]
     if held:
-        yield b"".join(held)
+        yield now, held
 
 
-def _round(windows: DataFrame, flat: np.ndarray, layout: Layout, rate: float) -> np.ndarray:
-    """Each partition trains from flat; the mean of what they come to, by symbols seen."""
+def _round(windows: DataFrame, groups: int, flat: np.ndarray, layout: Layout, rate: float) -> np.ndarray:
+    """Each group trains from flat; the mean of what they come to, by symbols seen, in the order of groups."""
     held = windows.sparkSession.sparkContext.broadcast((flat, layout))
-    groups = max(1, int(np.sqrt(windows.rdd.getNumPartitions())))
+    parts = max(1, int(np.sqrt(groups)))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         flat, layout = held.value
         keep_memory(ROOM)
-        seen = 0
         vector = np.append(layout.vector, [layout.start, layout.start])  # -2: the start; -1: none
-        for held_rows in gathered(batches):
-            s = np.frombuffer(held_rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
-            # A text's windows follow each other; a step takes windows of many texts.
-            s = s[np.random.Generator(np.random.PCG64(len(s))).permutation(len(s))]
-            x, y, real = vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], s[:, 1:] >= 0
-            turns = 1 if seen else int(np.clip(-(-LEAST_STEPS * BATCH // len(x)), 1, MOST_TURNS))
-            for _ in range(turns):
-                flat = train(flat, x, y, real, rate)
+        now, trainer, seen = None, None, 0
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([trainer.flat.tobytes()], pa.binary())], ["g", "seen", "p"])
+        for g, rows in _steps_of(batches):
+            if g != now:
+                if seen:
+                    yield emit()
+                now, trainer, seen = g, Trainer(flat, rate), 0
+            s = np.frombuffer(rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+            real = s[:, 1:] >= 0
+            trainer.step(vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], real)
             seen += int(real.sum())
-        keep_memory()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["g", "seen", "p"])
+            yield emit()
+        keep_memory()
 
     def added(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("g")
         seen = rows.column("seen").to_pylist()
         total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows.column("p").to_pylist(), seen, strict=True))
-        return pa.table({"g": rows.column("g").slice(0, 1), "seen": pa.array([sum(seen)], pa.int64()), "p": pa.array([(total / sum(seen)).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"g": pa.array([rows.column("g")[0].as_py() % parts], pa.int32()), "seen": pa.array([sum(seen)], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
 
-    rows = windows.mapInArrow(one, "g int, seen long, p binary").groupBy("g").applyInArrow(added, "g int, seen long, p binary").collect()
+    dealt = windows.repartition(groups, "g").sortWithinPartitions("g", "deal", "w")
+    rows = dealt.mapInArrow(one, "g int, seen long, p binary").groupBy((F.col("g") % parts).alias("part")).applyInArrow(added, "g int, seen long, p binary").collect()
     if not rows:
         return flat
-    return (sum(np.frombuffer(bytes(r.p), np.float32).astype(np.float64) * r.seen for r in sorted(rows, key=lambda r: r.g)) / sum(r.seen for r in rows)).astype(np.float32)
+    rows = sorted(rows, key=lambda r: r.g)
+    return (sum(np.frombuffer(bytes(r.p), np.float64) for r in rows) / sum(r.seen for r in rows)).astype(np.float32)
 
 
-def fit(windows: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, Layout]:
-    """One round on classes by count; then classes by likeness of the vectors learned, and a round for each rate left."""
+def fit(table: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, Layout]:
+    """Weights and layout from a symbol table of training texts: a round on classes by count; then classes by likeness of the vectors
+    learned, and a round for each rate left. Every window is in one round."""
+    n = table.agg(F.coalesce(F.sum(F.ceil(F.col("n") / WINDOW)), F.lit(0))).first()[0]
+    groups = int(min(MOST_GROUPS, max(1, -(-n // (len(RATES) * GROUP)))))
     layout = Layout(counts, starts)
-    flat = _round(windows, initial(layout), layout, RATES[0])
-    old = unpacked(flat)
-    layout = Layout(counts, starts, old["e"])
-    new = unpacked(initial(layout))
-    flat = np.concatenate([(new if n in ("w", "b") else old)[n].ravel() for n in SHAPES])
-    for rate in RATES[1:]:
-        flat = _round(windows, flat, layout, rate)
+    flat = initial(layout)
+    for turn, rate in enumerate(RATES):
+        if turn == 1:
+            old = unpacked(flat)
+            layout = Layout(counts, starts, old["e"])
+            new = unpacked(initial(layout))
+            flat = np.concatenate([(new if n in ("w", "b", "kw", "kb") else old)[n].ravel() for n in SHAPES])
+        flat = _round(_windows(table, groups, turn), groups, flat, layout, rate)
     return flat, layout
 
 
@@ -395,14 +527,14 @@ class Scorer:
     def __init__(self, flat: np.ndarray, layout: Layout) -> None:
         p = unpacked(flat.astype(np.float32))
         e, scale = p["e"], np.float32(1 / np.sqrt(WIDTH))
-        self.e, self.w, self.b, self.layout = e, p["w"], p["b"], layout
+        self.e, self.leaves, self.b, self.kw, self.kb, self.layout = e, leaf_weights(p["w"]), p["b"], p["kw"], p["kb"], layout
         # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts.
         self.q, self.k = e @ p["q"] * scale, e @ p["k"]
         self.v = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)
         gap = np.arange(HALF)[:, None] + HALF - np.arange(WINDOW)[None, :]
         self.bias = np.where(gap < 0, np.float32(-1e9), p["far"][np.clip(gap, 0, WINDOW - 1)]).astype(np.float32)
 
-    def score(self, symbols: np.ndarray, offsets: np.ndarray, batch: int = 128) -> np.ndarray:
+    def score(self, symbols: np.ndarray, offsets: np.ndarray, batch: int = 256) -> np.ndarray:
         """log10 p of each symbol of texts (offsets; each ends with the end)."""
         n = np.diff(offsets)
         blocks = -(-n // HALF)
@@ -440,13 +572,19 @@ class Scorer:
         a[fresh, :, :HALF] = 0
         seen = a @ self.v[whole]
         h = (self.e[own] + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH)
-        z = h @ self.w
-        z += self.b
+        order, cuts = by_kind(target.ravel())
+        h, of, at = h[order], target.ravel()[order], np.arange(len(h))
+        one, two = h @ self.kw, leaf_logits(h, cuts, self.leaves, self.b)
+        one += self.kb
         if careful:
-            z -= z.max(1, keepdims=True)
-        hit = z[np.arange(len(z)), target.ravel()]
-        np.exp(z, out=z)
-        return (hit - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(own.shape)
+            one -= one.max(1, keepdims=True)
+            two -= two.max(1, keepdims=True)
+        hit = one[at, of // LEAVES] + two[at, of % LEAVES]
+        np.exp(one, out=one)
+        np.exp(two, out=two)
+        out = np.empty_like(hit)
+        out[order] = hit - np.log(one @ np.ones(SUPERS, np.float32) * (two @ np.ones(LEAVES, np.float32)))
+        return out.reshape(own.shape)
 
 
 def _frequent(words: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
@@ -465,81 +603,85 @@ def _frequent(words: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarr
     return top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
 
 
+class Model:
+    """What all training texts tell: counts (n tokens, v distinct, texts; words as a table), and the attention's weights."""
+
+    def __init__(self, table: DataFrame, path: str) -> None:
+        """table: symbol_table of all documents."""
+        mine, seen = speller(path), table.where(~F.col("held_out"))
+        counts = settle(_counts(seen, mine.end), "lm-counts")
+        self.words = counts.where("kind = 0").select("h", "c")
+        told = self.words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+        self.texts = int(counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        self.v, self.n = told.v + (self.texts > 0), told.n + self.texts
+        of = np.zeros(mine.n_symbols, np.int64)
+        for r in counts.where("kind = 1").select("h", "c").collect():  # symbols of the vocabulary at most
+            of[r.h] = r.c
+        self.flat, self.layout = fit(seen, of, mine.starts)
+
+    @property
+    def below(self) -> float:
+        return float(self.n + 0.5 * (self.v + 1))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, held_out and key: with doc_id it tells a text."""
+    need(docs, "doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc_mod5() == 1).alias("held_out"))
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. path: the subword vocabulary's file
     of ranks, on every machine."""
-    need(docs, "doc_id", "text")
+    rows = numbered(docs)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc_mod5() == 1).alias("held_out"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    seen = rows.where(~F.col("held_out")).select("text")
-    counts = settle(_counts(seen, path), "lm-counts")
-    words = counts.where("kind = 0").select("h", "c")
-    told = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    texts = counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    v, n = told.v + (texts > 0), told.n + texts
-    below = n + 0.5 * (v + 1)
-    mine = speller(path)
-    of = np.zeros(mine.n_symbols, np.int64)
-    for r in counts.where("kind = 1").select("h", "c").collect():  # symbols of the vocabulary at most
-        of[r.h] = r.c
-    flat, layout = fit(settle(_windows(seen, path), "lm-windows"), of, mine.starts)
+    table = settle(symbol_table(rows, path), "lm-symbols")
+    model = Model(table, path)
+    end, words = speller(path).end, model.words
     hashes, often = _frequent(words)
     order = np.argsort(hashes)
-    held = spark.sparkContext.broadcast((flat, layout, hashes[order], often[order], float(below), int(texts)))
+    held = spark.sparkContext.broadcast((model.flat, model.layout, hashes[order], often[order], model.below, model.texts))
     columns = f"key long, doc_id {kind}, held_out boolean, h long, spelled float, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, layout, known, often, below, texts = held.value
-        mine, scorer = speller(path), Scorer(flat, layout)
-        for part in steps(batches, limit=SCORE_BYTES, room=ROOM):
-            words = Words(part.column("text"), lower=True)
+        scorer = Scorer(flat, layout)
+        for part in steps(batches, "s", limit=SCORE_BYTES, room=ROOM):
             n_rows = part.num_rows
-            offsets, spelled = mine.recall(words.listed())
-            all_hashes = words.hashes()
-            # The end is a word too, with one symbol.
-            offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, mine.end)
-            end = len(words.vocab)
-            ids = np.insert(words.ids, words.offsets[1:], end)
-            tokens = words.counts + 1
-            starts = np.concatenate([[0], np.cumsum(tokens)])
-            at, each = spread(offsets, ids)
-            symbols = spelled[at]
-            by_word = np.concatenate([[0], np.cumsum(each)])
-            logs = scorer.score(symbols, by_word[starts])
-            word_logs = np.add.reduceat(logs.astype(np.float64), by_word[:-1])
-            c = np.full(end + 1, -1, np.int64)
-            if len(known) and end:
-                spot = np.minimum(np.searchsorted(known, all_hashes), len(known) - 1)
-                c[:end] = np.where(known[spot] == all_hashes, often[spot], -1)
-            c[end] = texts
-            c = c[ids]
-            here = c >= 0
-            of = np.repeat(np.arange(n_rows), tokens)
+            offsets, symbols = symbols_of(part.column("s"))
+            tokens = Tokens(offsets, symbols, end)
+            word_logs = np.add.reduceat(scorer.score(symbols, offsets).astype(np.float64), tokens.starts)
+            c = np.full(len(word_logs), -1, np.int64)
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, tokens.hashes), len(known) - 1)
+                c = np.where(known[spot] == tokens.hashes, often[spot], -1)
+            c[tokens.is_end] = texts  # the end is a token, too
+            here, of = c >= 0, tokens.rows
             base = (np.maximum(c, 0) + 0.5) / below
             both = np.log10(share * base + (1 - share) * 10.0 ** np.maximum(word_logs, -300))
             add = lambda x: np.bincount(of[here], weights=x[here], minlength=n_rows)
             none = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("doc_id"), part.column("held_out"), part.column("key"), none(n_rows, pa.float32()), pa.array(tokens, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(add(np.log10(base))), pa.array(add(both))],
+                [part.column("key"), part.column("doc_id"), part.column("held_out"), part.column("key"), none(n_rows, pa.float32()), pa.array(tokens.counts, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(add(np.log10(base))), pa.array(add(both))],
                 names=columns_of,
             )
             rare = np.nonzero(~here)[0]
             if len(rare):
-                n = len(rare)
+                n, rows_of = len(rare), pa.array(of[rare])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(of[rare])), none(n, part.column("doc_id").type), none(n, pa.bool_()), pa.array(all_hashes[ids[rare]].view(np.int64)), pa.array(word_logs[rare].astype(np.float32)), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64())],
+                    [part.column("key").take(rows_of), part.column("doc_id").take(rows_of), none(n, pa.bool_()), pa.array(tokens.hashes[rare].view(np.int64)), pa.array(word_logs[rare].astype(np.float32)), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64())],
                     names=columns_of,
                 )
 
     columns_of = [c.strip().split(" ")[0] for c in columns.split(",")]
-    out = rows.mapInArrow(run, columns).withColumn("rare", F.col("spelled").isNotNull())
+    out = table.select("doc_id", "held_out", "key", "s").mapInArrow(run, columns).withColumn("rare", F.col("spelled").isNotNull())
     out = out.join(words.withColumn("rare", F.lit(True)), ["h", "rare"], "left")
-    base = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(below))
+    base = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.below)
     both = F.log10(F.lit(share) * base + F.lit(1 - share) * F.pow(F.lit(10.0), F.greatest(F.col("spelled"), F.lit(-300.0)).cast("double")))
-    out = out.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("times"),
+    out = out.groupBy("doc_id", "key").agg(
+        F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("times"),
         F.sum(F.when(F.col("rare"), (F.coalesce("c", F.lit(0)) > 0).cast("long")).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum(F.when(F.col("rare"), F.log10(base)).otherwise(F.col("base_score"))).alias("base_score"),
         F.sum(F.when(F.col("rare"), both).otherwise(F.col("score"))).alias("score"),
@@ -547,6 +689,6 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     # Rows that repeat in doc_id and text came together; each gets its own again.
     out = out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select(
-        "doc_id", "held_out", "n_tokens", F.expr("n_known div times").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", F.expr("n_known div times").alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
         (F.col("base_score") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
     )

@@ -270,13 +270,91 @@ def test_training_windows_hold_every_symbol(frame, prose):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     coder = lm.speller(path)
     texts = [prose(1, 900), prose(2, 20), "", None]
-    rows = [np.frombuffer(r.w, np.int32) for r in lm._windows(frame(texts).select("text").coalesce(1), path).collect()]
+    table = lm.symbol_table(lm.numbered(frame(texts)), path)
+    rows = [np.frombuffer(r.w, np.int32) for r in lm._windows(table, 3, 0, slices=1).collect()]
     want = []
     for t in texts:
         words = lower(t or "").encode().split()
         want += [*(coder.spell(words)[1].tolist()), coder.end]
     assert [x for r in rows for x in r[1:].tolist() if x != -1] == want
     assert sum(r[0] == -2 for r in rows) == len(texts)
+    # The rounds' slices share the windows out.
+    parts = [bytes(r.w) for i in range(len(lm.RATES)) for r in lm._windows(table, 3, i).collect()]
+    assert sorted(parts) == sorted(r.tobytes() for r in rows)
+
+
+def test_symbols_tell_words(prose, odd):
+    import pyarrow as pa
+
+    from scoreweave.llm.shared import Words
+
+    coder = lm.speller(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    texts = [t[1] if isinstance(t, tuple) else t for t in odd] + [prose(1, 500)]
+    words = Words(pa.array(texts, pa.string()), lower=True)
+    offsets, symbols = lm.spelled_out(words, coder)
+    found = lm.Tokens(offsets, symbols, coder.end)
+    assert found.counts.tolist() == (words.counts + 1).tolist() and found.is_end.sum() == len(texts)
+    names = {}
+    for h, w in zip(found.hashes[~found.is_end].tolist(), words.ids.tolist(), strict=True):
+        assert names.setdefault(h, w) == w
+    assert len(names) == len(words.vocab)
+
+
+def naive_log(p, layout, symbols, i):
+    """Natural log of the probability of symbols[i], one query at a time: what stands before it back to the half window before its own."""
+    start = max(0, (i // lm.HALF - 1) * lm.HALF)
+    seen = [layout.start if j < 0 else layout.vector[symbols[j]] for j in range(start - 1, i)]
+    if i // lm.HALF == 0:
+        seen = seen[-(i + 1) :]
+    elif i // lm.HALF == 1:
+        seen = seen[-(i + 1) :]
+    vectors = [p["e"][v].astype(float) for v in seen]
+    q = vectors[-1] @ p["q"]
+    weights = np.array([q @ (x @ p["k"]) / math.sqrt(lm.WIDTH) + p["far"][len(vectors) - 1 - j] for j, x in enumerate(vectors)])
+    weights = np.exp(weights - weights.max())
+    h = vectors[-1] + sum(w * (x @ p["v"]) for w, x in zip(weights / weights.sum(), vectors, strict=True))
+    kinds = h @ p["kw"] + p["kb"]
+    group = int(layout.group[symbols[i]])
+    kind = group // lm.LEAVES
+    leaves = (h @ p["w"] + p["b"])[kind * lm.LEAVES : (kind + 1) * lm.LEAVES]
+    log = lambda z, j: z[j] - z.max() - math.log(np.exp(z - z.max()).sum())
+    return log(kinds, kind) + log(leaves, group % lm.LEAVES) + float(layout.inside[symbols[i]])
+
+
+def test_scores_match_a_pass_symbol_by_symbol(spark, frame, odd, prose):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    rows = frame([*odd, *((100 + i, prose(i, 120)) for i in range(40))]).withColumn("key", F.lit("clash")).withColumn("s", F.lit(1))
+    table = lm.symbol_table(lm.numbered(rows), path)
+    model = lm.Model(table, path)
+    p, coder = lm.unpacked(model.flat), lm.speller(path)
+    count = collections.Counter()
+    held = rows.collect()
+    for r in held:
+        if crc(r.doc_id) != 1:
+            count.update([*re.findall(WORD, lower(r.text)), None])
+    want = []
+    for r in held:
+        words = re.findall(WORD, lower(r.text))
+        spelled = [coder.spell([w.encode()])[1].tolist() for w in words] + [[coder.end]]
+        symbols, at, total = [x for s in spelled for x in s], 0, 0.0
+        for w, s in zip([*words, None], spelled, strict=True):
+            told = sum(naive_log(p, model.layout, symbols, at + j) for j in range(len(s)))
+            base = (count[w] + 0.5) / (sum(count.values()) + 0.5 * (len(count) + 1))
+            total += math.log10(lm.SHARE * base + (1 - lm.SHARE) * math.exp(told))
+            at += len(s)
+        want.append((r.doc_id is None, r.doc_id or 0, len(words) + 1, total))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in lm.score(rows, path).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=2e-4)
+
+
+def test_scores_don_t_depend_on_partitions(frame, prose):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    rows = frame([(i, prose(i, 100 + i)) for i in range(60)])
+    key = lambda df: sorted((r.doc_id, r.score) for r in lm.score(df, path).collect())
+    two, four = key(rows.repartition(2)), key(rows.repartition(4, "text"))
+    assert [x for x, _ in two] == [x for x, _ in four]
+    assert [x for _, x in two] == pytest.approx([x for _, x in four], rel=1e-9)
 
 
 def test_nothing_to_train_on(frame):
