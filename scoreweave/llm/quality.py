@@ -2,8 +2,9 @@
 linear-chain conditional random field; the content's share of the text decides whether the document stays.
 
 The field has one weight for each line feature and state and one for each pair of adjacent states. It is trained by
-maximum likelihood on a bounded sample of labelled documents (`sample` documents of at most `sample_lines` lines, in the
-order of a hash of doc_id); their lines take the document's label. Without labels of both kinds PRIOR holds.
+maximum likelihood on a bounded sample of labelled documents (`sample` documents, in the order of a hash of doc_id, each with all
+of its lines); their lines take the document's label. A long document is several sequences of CHAIN lines in training. Without labels
+of both kinds PRIOR holds. A doc_id with several labels counts as the lowest, one with several texts has the least of them.
 
 Defined results: a null or empty text has no words and fails the base rules; a text is read whole; repeated rows each get
 a row; an empty table gives an empty one; a null doc_id is carried along; other columns play no part.
@@ -29,7 +30,7 @@ FEATURES = ("bias", "symbols", "capitals", "digits", "marks", "repeats", "again"
 PRIOR = (-3.0, 12.0, 6.0, 5.0, 8.0, 6.0, 1.5, 0.3, -0.5, 2.0, 1.0), 1.0
 LEGAL = re.compile(r"copyright|all rights reserved|licen[cs]ed|cookie|privacy policy|terms of|subscribe|click here|javascript|©", re.I)
 #: L2 draws the weights to PRIOR, so that features that few lines show keep their meaning.
-SAMPLE, SAMPLE_LINES, STEPS, L2 = 2000, 200, 150, 0.1
+SAMPLE, CHAIN, STEPS, L2 = 2000, 200, 150, 0.1
 #: Most that staying may weigh: whole documents share a label in training, lines of mixed documents do not, so this is not learned upward.
 MOST_STICKY = 1.0
 
@@ -41,7 +42,6 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         words = line.split()
         if not words:
             continue
-        n = len(line)
         kept = "".join(words)
         size = len(kept)
         symbols = size - len(kept.translate(_NO_SYMBOLS))
@@ -51,7 +51,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         distinct = len(set(words))
         rows.append((
             1.0, symbols / size, min(1.0, capitals / max(1, letters)), digits / size, (size - letters - digits - symbols) / size if symbols else kept.count("!") / size,
-            1.0 - distinct / len(words), float(line in seen), float(len(words) < 4), float(kept[-1] in ".!?:;\"')"), min(1.0, size / len(words) / 40.0), float(bool(LEGAL.search(line))) if n < 400 else 0.0,
+            1.0 - distinct / len(words), float(line in seen), float(len(words) < 4), float(kept[-1] in ".!?:;\"')"), min(1.0, size / len(words) / 40.0), float(bool(LEGAL.search(line))),
         ))
         seen.add(line)
         sizes.append(size)
@@ -80,25 +80,23 @@ def viterbi(scores: np.ndarray, stay: float) -> np.ndarray:
     return states
 
 
-def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[tuple[float, ...], float]:
-    """Weights and the stay weight by maximum likelihood (forward-backward gradients, Adam). documents: line features and
-    label (1: good)."""
-    documents = [(x[:SAMPLE_LINES], y) for x, y in documents if len(x)]
-    if len({y for _, y in documents}) < 2:
-        return PRIOR
-    longest = max(len(x) for x, _ in documents)
-    held = np.zeros((len(documents), longest, len(FEATURES)))
-    real = np.zeros((len(documents), longest), bool)
-    state = np.array([1 - y for _, y in documents])
-    for i, (x, _) in enumerate(documents):
-        held[i, : len(x)], real[i, : len(x)] = x, True
-    each = 1.0 / real.sum(1)
-    # Both kinds count the same, and a document counts the same however long it is.
-    each *= np.where(state == 1, 0.5 / max(1, state.sum()), 0.5 / max(1, (1 - state).sum()))
-    start = np.append(np.array(PRIOR[0]), PRIOR[1])
-    weights = start.copy()
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, rounds + 1):
+class Chains:
+    """Training documents as sequences of CHAIN lines at most; each document counts the same, and so do both kinds."""
+
+    def __init__(self, documents: list[tuple[np.ndarray, int]]) -> None:
+        labels = np.array([1 - y for _, y in documents])
+        share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+        parts = [(x[at : at + CHAIN], label, w / len(x)) for (x, _), label, w in zip(documents, labels.tolist(), share.tolist(), strict=True) for at in range(0, len(x), CHAIN)]
+        self.held = np.zeros((len(parts), max(len(x) for x, _, _ in parts), len(FEATURES)))
+        self.real = np.zeros(self.held.shape[:2], bool)
+        for i, (x, _, _) in enumerate(parts):
+            self.held[i, : len(x)], self.real[i, : len(x)] = x, True
+        self.state, self.each = np.array([s for _, s, _ in parts]), np.array([w for _, _, w in parts])
+
+    def likelihood(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighed log likelihood of the labels, and its slopes, by the forward and backward sums."""
+        held, real, state, each = self.held, self.real, self.state, self.each
+        longest = real.shape[1]
         emit, stay = held @ weights[:-1], weights[-1]
         ahead, behind = np.zeros((*real.shape, 2)), np.zeros((*real.shape, 2))
         ahead[:, 0, 1] = emit[:, 0]
@@ -111,16 +109,29 @@ def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[t
             go = real[:, t + 1]
             behind[:, t, 0] = np.where(go, np.logaddexp(a + stay, b), 0)
             behind[:, t, 1] = np.where(go, np.logaddexp(b + stay, a), 0)
-        both = ahead + behind
         total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None]
-        boiler = np.exp(both[..., 1] - total) * real
+        boiler = np.exp((ahead + behind)[..., 1] - total) * real
         same = np.zeros(real.shape)
         for t in range(1, longest):
             for s in (0, 1):
                 same[:, t] += np.exp(np.minimum(0, ahead[:, t - 1, s] + stay + s * emit[:, t] + behind[:, t, s] - total[:, 0])) * real[:, t]
         wanted = state[:, None] * real
-        slope = np.append(np.einsum("dt,dtf,d->f", wanted - boiler, held, each), (((real[:, 1:] - same[:, 1:]).sum(1)) * each).sum())
-        slope -= L2 * (weights - start)
+        told = (wanted * emit).sum(1) + stay * real[:, 1:].sum(1) - total[:, 0]
+        slope = np.append(np.einsum("dt,dtf,d->f", wanted - boiler, held, each), ((real[:, 1:] - same[:, 1:]).sum(1) * each).sum())
+        return float((told * each).sum()), slope
+
+
+def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[tuple[float, ...], float]:
+    """Weights and the stay weight by maximum likelihood (Adam). documents: line features and label (1: good)."""
+    documents = [(x, y) for x, y in documents if len(x)]
+    if len({y for _, y in documents}) < 2:
+        return PRIOR
+    chains = Chains(documents)
+    start = np.append(np.array(PRIOR[0]), PRIOR[1])
+    weights = start.copy()
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, rounds + 1):
+        slope = chains.likelihood(weights)[1] - L2 * (weights - start)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights = weights + 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         weights[-1] = min(weights[-1], MOST_STICKY)
@@ -128,19 +139,19 @@ def fit(documents: list[tuple[np.ndarray, int]], rounds: int = STEPS) -> tuple[t
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[float, ...], float]:
-    """Weights from the documents of `sample` labels at most."""
-    picked = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    """Weights from the documents of `sample` labels at most, whole."""
+    told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "quality").agg(F.min("text").alias("text"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, quality = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist()
-            found = [line_features(t or "")[0][:SAMPLE_LINES] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(q) for q in quality], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "quality", "x"])
+            found = [line_features(t)[0].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(lines, "doc_id long, quality int, x binary").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
-    return fit([(np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(FEATURES)), r.quality) for r in got])
+    got = rows.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(lines, "doc_id long, quality int, x binary").collect()
+    return fit([(np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(FEATURES)), r.quality) for r in sorted(got, key=lambda r: r.doc_id)])
 
 
 def content_share(text: str, model: tuple[tuple[float, ...], float]) -> float:

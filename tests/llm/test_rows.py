@@ -115,6 +115,117 @@ def test_odd_pages(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_menus_inside_the_article_go():
+    links = "<ul><li><a href='/a'>First other story</a></li><li><a href='/b'>Second other story</a></li><li><a href='/c'>Third</a></li></ul>"
+    bar = "<p><a href='/1'>One</a> | <a href='/2'>Two</a> | <a href='/3'>Three</a></p>"
+    assert html.main_text(f"{HEAD}<article>{links}{ARTICLE}{bar}</article></body></html>") == WANT
+    # A single link, and links in a sentence, are text.
+    one = "<p><a href='/s'>The source of all this</a></p><p>See <a href='/a'>a</a>, <a href='/b'>b</a> and <a href='/c'>c</a> for the whole story.</p>"
+    assert html.main_text(f"{HEAD}<article>{ARTICLE}{one}</article></body></html>") == WANT + "\n\nThe source of all this\n\nSee a, b and c for the whole story."
+    assert html.main_text(links) == "First other story\n\nSecond other story\n\nThird"
+
+
+@pytest.mark.parametrize("wrap", ["class='content has-sidebar'", "class='layout no-sidebar'", "class='page with-nav'", "class='legal-analysis'", "class='social-studies'", "id='search'"])
+def test_wrappers_named_after_something_else(wrap):
+    assert html.main_text(f"{HEAD}<div {wrap}>{ARTICLE}</div></body></html>") == WANT
+
+
+def test_deep_and_unclosed_tags_take_time_by_length():
+    import time
+
+    n = 100_000
+    pages = ["<div>text" * n, "<span>text" * n, "<h1>text" * n, "<b><div>" + "<i>" * n + "</b>x" * n, "<p>text" * n, "<div class='ad x'><p>t" * n, "</p>t" * n, "<li>a<ul>" * n, "<a href=x>" * n + "t", "<article>t" * n]
+    for page in pages:
+        began = time.process_time()
+        text = html.main_text(page)
+        assert time.process_time() - began < 30, page[:30]
+        assert isinstance(text, str)
+    assert html.main_text(pages[0]) == "\n\n".join(["text"] * n)
+
+
+def plain_text(node, keep):
+    """Blocks of a tree (name, attributes, children) in order, by plain recursion: text of elements that keep lets stand."""
+    blocks, line = [], []
+
+    def close():
+        text = re.sub(r"\s+", " ", "".join(line)).strip()
+        if text:
+            blocks.append(text)
+        line.clear()
+
+    def walk(x):
+        if isinstance(x, str):
+            line.append(x)
+            return
+        name, told, inner = x
+        if not keep(name, told):
+            return close()
+        block = name not in html.INLINE
+        if block:
+            close()
+        for y in inner:
+            walk(y)
+        if block:
+            close()
+
+    walk(node)
+    close()
+    return "\n\n".join(blocks)
+
+
+def test_pages_match_a_plain_walk_of_their_tree(prose):
+    rng = random.Random(6)
+
+    def written(x):
+        if isinstance(x, str):
+            return x.replace("&", "&amp;").replace("<", "&lt;")
+        return f"<{x[0]}{x[1]}>" + "".join(map(written, x[2])) + f"</{x[0]}>"
+
+    def words(n):
+        return " ".join(prose(rng.randrange(10**6), n).split())
+
+    def sentence(n):
+        out = [words(n)]
+        for _ in range(rng.randint(0, 3)):
+            out += [" ", (rng.choice(["b", "i", "a", "span", "code"]), "", [words(rng.randint(1, 3)), " & < "]), "\n ", words(rng.randint(2, 9))]
+        return out
+
+    def blocks():
+        out = [("h1", "", [words(5)])]
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.random()
+            if kind < 0.6:
+                out.append(("p", "", sentence(rng.randint(2, 80))))
+            elif kind < 0.75:
+                out.append(("ul", "", [("li", "", sentence(rng.randint(2, 12))) for _ in range(rng.randint(1, 5))]))
+            elif kind < 0.85:
+                out.append(("blockquote", "", [("p", "", sentence(20))]))
+            else:
+                out.append(("section", "", [("h2", "", [words(3)]), ("p", "", sentence(30))]))
+        return [*out, ("p", "", sentence(60))]
+
+    def menu():
+        return ("ul", "", [("li", "", [("a", " href='/x'", [words(1)])]) for _ in range(6)])
+
+    for _ in range(40):
+        box = rng.choice([("article", ""), ("main", ""), ("div", " class='content'"), ("div", " id='with-sidebar'")])
+        body = ("body", "", [
+            ("nav", "", [menu()]), ("header", "", [("p", "", [words(4)])]), ("div", " class='cookie-notice'", [("p", "", [words(12)])]),
+            (*box, blocks()),
+            ("aside", "", [("p", "", [words(9)])]), ("div", " id='comments'", [("p", "", [words(15)]) for _ in range(2)]), ("div", " class='ad'", [words(6)]),
+            ("form", "", [words(3), ("input", "", [])]), ("footer", "", [words(8)]),
+        ])
+        want = plain_text(box and ("div", "", next(x for x in body[2] if x[:2] == box)[2]), lambda name, told: True)
+        got = html.main_text("<!DOCTYPE html><html><head><title>t</title><script>x</script></head>" + written(body).replace("</input>", "") + "</html>")
+        assert got == want
+
+
+def test_repeated_pages_and_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x", 7)] * 3, "page_id long, url string, html string, text string, n_chars int")
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and [r.text for r in out.collect()] == [WANT] * 3
+
+
 def test_long_pages_are_whole(prose):
     body = "".join(f"<p>{prose(i, 60)}</p>" for i in range(300))
     text = html.main_text(f"{HEAD}<nav>menu</nav><article>{body}</article></body>")
@@ -153,6 +264,38 @@ def test_viterbi_is_the_best_path():
         assert quality.viterbi(scores, stay).tolist() == [best >> i & 1 for i in range(6)]
 
 
+def test_field_slopes_are_those_of_its_likelihood(monkeypatch):
+    monkeypatch.setattr(quality, "CHAIN", 4)
+    rng = np.random.default_rng(3)
+    chains = quality.Chains([(rng.normal(size=(n, len(quality.FEATURES))), int(n % 2)) for n in (1, 2, 5, 9, 4)])
+    assert chains.real.sum() == 21 and (chains.each[:, None] * chains.real).sum() == pytest.approx(1)
+    weights = rng.normal(size=len(quality.FEATURES) + 1)
+    told, slopes = chains.likelihood(weights)
+    for i in range(len(weights)):
+        moved = weights.copy()
+        moved[i] += 1e-6
+        assert (chains.likelihood(moved)[0] - told) / 1e-6 == pytest.approx(slopes[i], rel=1e-3, abs=1e-6)
+
+    # The likelihood by all labellings.
+    total = 0.0
+    for x, real, state, each in zip(chains.held, chains.real, chains.state, chains.each, strict=True):
+        emit = x[real] @ weights[:-1]
+        n = len(emit)
+        path = lambda m: sum(e * (m >> i & 1) for i, e in enumerate(emit)) + weights[-1] * sum((m >> i & 1) == (m >> i + 1 & 1) for i in range(n - 1))  # noqa: E731, B023
+        total += each * (path((1 << n) - 1 if state else 0) - math.log(sum(math.exp(path(m)) for m in range(1 << n))))
+    assert told == pytest.approx(total)
+
+
+def test_long_lines_and_texts_are_read_whole(spark, frame, prose):
+    long = " ".join(["word"] * 200) + " all rights reserved"
+    assert quality.line_features(long)[0][0, quality.FEATURES.index("legal")] == 1.0
+    texts = ["\n".join(prose(i, 12) for i in range(700)), "### *** |||\n" * 700]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0)], "doc_id long, quality int")
+    assert quality.fit_from(frame(texts), labels) == quality.fit([(quality.line_features(t)[0], y) for t, y in zip(texts, (1, 0), strict=True)])
+    twice = frame([(0, texts[0]), (0, texts[0]), (0, texts[0] + "z"), (1, texts[1])])
+    assert quality.fit_from(twice, labels) == quality.fit_from(frame(texts), labels)
+
+
 def test_quality_learns_from_labels(spark, frame, prose):
     rng = random.Random(1)
     junk = lambda i: "\n".join(" ".join(w + rng.choice(["***", "&&&", "$$$"]) for w in line.split()) for line in prose(i, 90).split("\n"))
