@@ -1,17 +1,21 @@
-"""Substring dedup by De Bruijn compaction of sparse word k-mers.
+"""Substring dedup by De Bruijn compaction.
 
-A window is `window` consecutive words. The k-mer of smallest hash in a window is an anchor, so equal windows have equal anchors;
-anchors are a few hundredths of all k-mers. Between one anchor and the next runs an edge: the consecutive windows of the same
-anchor, and the words they cover. An edge is a path of single k-mers without branches, compacted into one row:
-(hash, second hash, document, first window, windows). Joins find
+The graph. Nodes are word k-mers, thinned out: the k-mer of smallest hash among every `reach` consecutive ones is an anchor, so any
+window of `window` words holds two anchors at least that depend on its own words alone. An edge runs from one anchor to the next: the words they cover,
+told by 128 bits of hash, with source coordinates (document, first word, words). So equal windows share an edge.
 
-1. k-mers of anchors that stand in more documents than one: no other window can be repeated;
-2. edges that stand whole in a document of smaller doc_id: all of their windows are;
-3. single windows, for the rest of the edges at such anchors: the first copies, and edges cut by the ends of a passage.
+Compaction. Edges that stand in more documents than one are the repeated part of the graph. A node with one repeated edge in and one
+out doesn't branch; a join of edges over such nodes links each edge to the one before it, and joins of pointers (each round doubles
+their reach) give every edge the head of its nonbranching path and its place there. Rounds end when no edge comes nearer to a head; what is
+left then are circles (text that repeats itself).
 
-The first document of any repeated window is in the third join, since its edge isn't found in the second; so the joins miss none.
-Source coordinates (document and window range) then cover the words to remove, and hashes of 128 bits verify content. The
-smallest doc_id of a hash is found by a grouped minimum, which Spark combines before it shuffles; a passage shared by a third of
+Verification. Occurrences of repeated edges get their path by a join; edges that follow each other in a document and on the path
+are a run. A run over a whole path is the same words in every document that has one, so all of its windows but those of the
+smallest doc_id go. All other windows that hold a repeated edge (first copies, paths cut short, the ends of passages) are
+joined one by one by 128 bits. The first document of a window is always among these: if its run were one that goes, a smaller doc_id
+would have the window. So the joins miss none.
+
+The smallest doc_id of a hash is found by a grouped minimum, which Spark combines before it shuffles; a passage shared by a third of
 all documents is one row of that table. Spark splits the join back where it is skewed.
 
 Defined results: a null text, and one without words, has no words; a text shorter than a window loses nothing; a document with a
@@ -33,11 +37,10 @@ from .shared import Rolling, Words, bitmap, held_by, maybe_in, mix64, need, part
 
 WINDOW, KMER = 50, 12
 SECOND = 0xC2B2AE3D27D4EB4F | 1
-EDGE, ANCHOR = 0, 1
 
 
-class Sketch:
-    """Anchors and edges of a slice of texts."""
+class Graph:
+    """Anchors and edges of a slice of texts. Of each edge: row, first word (in all of the slice's words), words, node it leaves, node it enters."""
 
     def __init__(self, texts: pa.Array, window: int, kmer: int) -> None:
         self.words = words = Words(texts)
@@ -45,55 +48,95 @@ class Sketch:
         hashes = words.hashes()[words.ids] if n else np.zeros(0, np.uint64)
         self.one, self.two = Rolling(hashes), Rolling(mix64(hashes, 5), SECOND)
         none = np.zeros(0, np.int64)
-        self.row, self.first, self.number, self.anchor = none, none, none, none
+        self.row, self.first, self.size, self.out, self.into = none, none, none, none.view(np.uint64), none.view(np.uint64)
         if n < window:
             return
+        reach = (window - kmer + 1) // 2
+        span = reach + kmer - 1
         rows = words.rows()
-        starts = np.arange(n - window + 1)
-        fits = rows[starts] == rows[starts + window - 1]
-        grams = self.one.at(np.arange(n - kmer + 1), kmer)
-        width = window - kmer + 1
-        least = np.where(fits, sliding(grams, width, np.minimum), np.uint64(0))
-        # An anchor's hash is the least of some window around it.
-        around = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-        anchors = np.nonzero((around == grams) & (grams > 0))[0]
-        # Windows by their own anchor, which depends on their words alone: the first of those from their start with that hash.
-        starts = starts[fits]
-        after = np.searchsorted(anchors, starts)
-        seek = np.nonzero(grams[anchors[after]] != least[starts])[0]
-        while len(seek):
-            after[seek] += 1
-            seek = seek[grams[anchors[after[seek]]] != least[starts[seek]]]
-        fresh = np.ones(len(starts), bool)
-        fresh[1:] = (after[1:] != after[:-1]) | (rows[starts[1:]] != rows[starts[:-1]])
-        head = np.nonzero(fresh)[0]
-        self.first = starts[head]
-        self.number = np.diff(np.append(head, len(starts)))
-        self.row = rows[self.first]
-        self.anchor = grams[anchors[after[head]]]
+        grams = self.one.at(np.arange(n - kmer + 1), kmer) | np.uint64(1)  # never 0
+        starts = np.arange(n - span + 1)
+        least = np.where(rows[starts] == rows[starts + span - 1], sliding(grams, reach, np.minimum), np.uint64(0))
+        # An anchor's hash is the least of some stretch around it.
+        pad = np.zeros(reach - 1, np.uint64)
+        anchors = np.nonzero(sliding(np.concatenate([pad, least, pad]), reach, np.maximum) == grams)[0]
+        of = rows[anchors]
+        head = np.nonzero(of[1:] == of[:-1])[0]
+        a, b = anchors[head], anchors[head + 1]
+        self.row, self.first, self.size, self.out, self.into = of[head], a, b + kmer - a, grams[a], grams[b]
 
 
 def _edges(docs: DataFrame, window: int, kmer: int) -> DataFrame:
-    """Two rows for each edge, for its words and for its anchor: (h, v, doc_id, key, kind, first, number)."""
+    """A row for each edge of each text: 128 bits of its words (h, v), its nodes (out, into), and where it stands."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda x: pa.array(x.view(np.int64))
         for part in steps(batches):
-            s = Sketch(part.column("text"), window, kmer)
-            ids = part.column("doc_id").take(pa.array(s.row))
-            start = s.words.offsets[s.row] if len(s.row) else s.row
-            length = s.number + window - 1
-            one, two = s.one.at(s.first, length), s.two.at(s.first, length)
-            pos = s.first - start
-            n = len(pos)
-            both = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.uint64).view(np.int64))
-            kind = np.repeat(np.array([EDGE, ANCHOR], np.int8), n)
-            twice = pa.array(np.concatenate([np.arange(n), np.arange(n)]))
+            g = Graph(part.column("text"), window, kmer)
+            rows = pa.array(g.row)
+            first = g.first - (g.words.offsets[g.row] if len(g.row) else g.row)
             yield pa.RecordBatch.from_arrays(
-                [both(one, s.anchor), both(two, np.zeros(n, np.uint64)), ids.take(twice), part.column("key").take(pa.array(np.tile(s.row, 2))), pa.array(kind), pa.array(np.tile(pos, 2), pa.int32()), pa.array(np.tile(s.number, 2), pa.int32())],
-                ["h", "v", "doc_id", "key", "kind", "first", "number"],
+                [told(g.one.at(g.first, g.size)), told(g.two.at(g.first, g.size)), told(g.out), told(g.into), part.column("doc_id").take(rows), part.column("key").take(rows), pa.array(first, pa.int32()), pa.array(g.size, pa.int32())],
+                ["h", "v", "out", "into", "doc_id", "key", "first", "size"],
             )
 
-    return docs.mapInArrow(cut, "h long, v long, doc_id long, key long, kind byte, first int, number int")
+    return docs.mapInArrow(cut, "h long, v long, out long, into long, doc_id long, key long, first int, size int")
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(edge, head, place, length) of edges (edge, out, into), each once: the first edge of its nonbranching path, the edges before it there, and
+    the path's edges. On a circle an edge is its own head, and place and length are 0."""
+    # A node without branches is one row on either side of the join.
+    leaving = edges.groupBy(F.col("out").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("edge")).where("n = 1").drop("n")
+    entering = edges.groupBy(F.col("into").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("before")).where("n = 1").drop("n")
+    links = leaving.join(entering, "node").select("edge", "before")
+    first = F.col("before").isNull()
+    now = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("before", "edge").alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done"))
+    now = settle(now, "substring-pointers")
+    left = now.where("not done").count()
+    while left:
+        ahead = now.select(F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("place").alias("more"), F.col("done").alias("there"))
+        moved = now.where("not done").join(ahead, "to").select("edge", F.col("beyond").alias("to"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"))
+        now = settle(now.where("done").unionByName(moved), "substring-pointers")
+        before, left = left, now.where("not done").count()
+        if left == before:  # edges of a path come to its head at least one a round
+            break
+    now = now.select("edge", F.when(F.col("done"), F.col("to")).otherwise(F.col("edge")).alias("head"), F.when(F.col("done"), F.col("place")).otherwise(0).alias("place"), F.col("done").cast("long").alias("line"))
+    lengths = now.groupBy("head").agg((F.max("place") + F.max("line")).alias("length"))
+    return now.drop("line").join(lengths, "head")
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    """(h, v, head, place, length) of each repeated edge; head is two columns."""
+    shared = edges.groupBy("h", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("out").alias("out"), F.min("into").alias("into"))
+    shared = settle(shared.where("least < most").select(F.struct("h", "v").alias("edge"), "out", "into"), "substring-repeated")
+    return settle(compacted(shared).select("edge.h", "edge.v", F.col("head.h").alias("head_h"), F.col("head.v").alias("head_v"), "place", "length"), "substring-paths")
+
+
+def _runs(edges: DataFrame, paths: DataFrame, window: int, kmer: int) -> DataFrame:
+    """(doc_id, key, head_h, head_v, whole, start, stop, low, high): stretches of a text whose edges follow each other on a path; its words
+    [start, stop), and the windows [low, high] that hold an edge of it. whole: the path from its head to its end."""
+    at = edges.join(paths, ["h", "v"]).select("doc_id", "key", F.struct("first", "size", "head_h", "head_v", "place", "length").alias("at"))
+    at = settle(at.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("at")), "substring-places")  # a text's own edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column("at")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+            flat = held.flatten()
+            first, size, h, v, place, length = (flat.field(i).to_numpy() for i in range(6))
+            follows = np.zeros(len(row), bool)
+            follows[1:] = (row[1:] == row[:-1]) & (first[1:] == first[:-1] + size[:-1] - kmer) & (place[1:] == place[:-1] + 1) & (h[1:] == h[:-1]) & (v[1:] == v[:-1])
+            head = np.nonzero(~follows)[0]
+            tail = np.append(head[1:], len(row)) - 1
+            whole = (place[head] == 0) & (tail - head + 1 == length[head])
+            rows = pa.array(row[head])
+            columns = [pa.array(h[head]), pa.array(v[head]), pa.array(whole), *(pa.array(x.astype(np.int32)) for x in (first[head], first[tail] + size[tail], first[head] + size[head] - window, first[tail]))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), *columns], ["doc_id", "key", "head_h", "head_v", "whole", "start", "stop", "low", "high"])
+
+    return at.mapInArrow(run, "doc_id long, key long, head_h long, head_v long, whole boolean, start int, stop int, low int, high int")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -106,16 +149,19 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
             one, two = Rolling(hashes), Rolling(mix64(hashes, 5), SECOND)
             at, of = [], []
             for i, ranges in enumerate(part.column("open").to_pylist()):
+                wanted = np.zeros(max(0, int(words.counts[i]) - window + 1), bool)
                 for r in ranges or ():
-                    at.append(np.arange(r["first"], r["first"] + r["number"]) + words.offsets[i])
-                    of.append(np.full(r["number"], i))
-            if not at:
-                continue
+                    wanted[max(0, r["first"]) : max(0, r["first"] + r["number"])] = True
+                found = np.nonzero(wanted)[0]
+                at.append(found + words.offsets[i])
+                of.append(np.full(len(found), i))
             at, of = np.concatenate(at), np.concatenate(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one.at(at, window).view(np.int64)), pa.array(two.at(at, window).view(np.int64)), part.column("doc_id").take(pa.array(of)), part.column("key").take(pa.array(of)), pa.array((at - words.offsets[of]).astype(np.int32))],
-                ["h", "v", "doc_id", "key", "first"],
-            )
+            for a in range(0, len(at), 1 << 16):  # small batches for the JVM
+                k, rows_at = at[a : a + (1 << 16)], of[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one.at(k, window).view(np.int64)), pa.array(two.at(k, window).view(np.int64)), part.column("doc_id").take(pa.array(rows_at)), part.column("key").take(pa.array(rows_at)), pa.array((k - words.offsets[rows_at]).astype(np.int32))],
+                    ["h", "v", "doc_id", "key", "first"],
+                )
 
     return rows.mapInArrow(spell, "h long, v long, doc_id long, key long, first int")
 
@@ -150,11 +196,15 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER) -> DataF
     texts = _numbered(docs)
     known = texts.where("doc_id is not null")
     edges = settle(_edges(known, window, kmer), "substring-edges")
-    hits = settle(_found(edges).where((F.col("kind") == ANCHOR) | (F.col("doc_id") > F.col("least"))).select("doc_id", "key", "kind", "first", "number"), "substring-hits")
-    span = F.struct("first", "number")
+    runs = settle(_runs(edges, _paths(edges), window, kmer), "substring-runs")
+    whole = runs.where("whole").groupBy("head_h", "head_v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    marked = runs.join(settle(whole, "substring-whole"), ["head_h", "head_v"], "left")
+    cut = F.col("whole") & F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("stop") - F.col("start") >= window)
+    ranged = lambda first, last: F.struct(first.alias("first"), (last - first + 1).alias("number"))
+    around = F.array(ranged(F.col("low"), F.col("start") - 1), ranged(F.col("stop") - (window - 1), F.col("high")))
+    marked = marked.select("doc_id", "key", F.when(cut, F.array(ranged(F.col("start"), F.col("stop") - window))).alias("gone"), F.when(cut, around).otherwise(F.array(ranged(F.col("low"), F.col("high")))).alias("open"))
     # One row a text, and its ranges are no more than its words.
-    ranges = hits.groupBy("doc_id", "key", "first", "number").agg(F.max((F.col("kind") == EDGE)).alias("whole"))
-    ranges = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("whole"), span)).alias("gone"), F.collect_list(F.when(~F.col("whole"), span)).alias("open"))
+    ranges = marked.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.filter(F.flatten(F.collect_list("open")), lambda r: r["number"] > 0).alias("open"))
     ranges = settle(ranges, "substring-ranges")
     opened = ranges.where(F.size("open") > 0).select("doc_id", "key", "open")
     singles = settle(_windows(part_by(known, opened, "key")[0].join(opened, ["doc_id", "key"]), window), "substring-windows")
