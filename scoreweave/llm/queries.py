@@ -109,7 +109,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/
 
 OP10_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST({_N_WORDS} AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST({_N_WORDS} AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 8) AS spot FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source
 ), run AS (
@@ -130,19 +130,12 @@ WITH sized AS (
   FROM aimed
 ), ranked AS (
   SELECT s.doc_id, s.size, f.*, row_number() OVER (PARTITION BY s.source ORDER BY
-    length(CAST(s.size AS VARCHAR)) * 100 + CAST(substr(CAST(s.size AS VARCHAR), 1, 2) AS INT),
-    ((((coalesce(s.doc_id, -1) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296, s.doc_id NULLS FIRST, s.size) - 1 AS place
+    length(CAST(s.size AS VARCHAR)) * 100 + CAST(substr(CAST(s.size AS VARCHAR), 1, 2) AS INT), s.spot, s.doc_id NULLS FIRST, s.size) - 1 AS place
   FROM sized s JOIN first f ON s.source IS NOT DISTINCT FROM f.source
-), tried AS (
-  SELECT r.*, i, CASE WHEN size = 0 THEN 0 ELSE size * least(3,
-    CAST(floor((start + i / CAST(16 AS DOUBLE)) % 1 + target / source_size * (place + 1)) - floor((start + i / CAST(16 AS DOUBLE)) % 1 + target / source_size * place) AS BIGINT)) END AS taken
-  FROM ranked r, range(16) t(i)
-), off AS (
-  SELECT source, i, abs(sum(taken) - any_value(target)) AS far FROM tried GROUP BY source, i
-), picked AS (
-  SELECT source, i FROM off QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, i) = 1
 )
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM tried t JOIN picked p ON t.source IS NOT DISTINCT FROM p.source AND t.i = p.i
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE size * least(3,
+  CAST(floor(start + target / source_size * (place + 1)) - floor(start + target / source_size * place) AS BIGINT)) END AS taken
+FROM ranked
 """
 
 
