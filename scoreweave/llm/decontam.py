@@ -3,8 +3,9 @@
 Words are stripped of punctuation and case. Numbers, names (capitalised inside a sentence) and units (after a number) become typed
 placeholders, so a question with other numbers and names has the same template. Windows of `window` template words, and the same
 windows of the words as they are, are hash-joined with the benchmark's; windows that follow each other in both texts are a run. A run counts if its slots are
-consistent: an item's number, name or unit stands for one and the same value of the document throughout the run. A run of
-`least` words (or all but two words of a shorter item) is contamination.
+consistent throughout: an item's number, name or unit stands for one and the same value of the document, and a value of the document for one of the
+item. A consistent run of `least` words (or all but two words of a shorter item) is contamination. So are `verbatim` words of an item as
+they are, whatever stands beside them: a run with inconsistent slots may hold a quotation.
 
 A fixed-size bitmap of the benchmark's window hashes (2**22 bits, whatever the benchmark's size) lets windows that can't match
 stay where they are; the join that follows is exact, and Spark chooses its kind by the tables' sizes.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import Rolling, Words, hash_bytes, need, part_by, settle, steps
 
-WIDTH, LEAST, SHORTEST = 8, 13, 5
+WIDTH, LEAST, VERBATIM, SHORTEST = 8, 13, 20, 5
 BITS = 22
 #: Units, after a number (fixed values).
 UNITS = frozenset(
@@ -116,7 +117,7 @@ def _rows(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn("key", F.xxhash64("id", "text"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, verbatim: int = VERBATIM) -> DataFrame:
     """One row for each contaminated text and item: doc_id, key (a hash of doc_id and text), item_id, run_words (longest
     run), item_words, share."""
     need(docs, "doc_id", "text")
@@ -132,22 +133,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Dat
     # Slots of a window are in the order of their places, which are the same in both; in a literal match an item's stand for themselves.
     values = F.when(F.size("slots") == 0, F.col("item_slots")).otherwise(F.col("slots"))
     both = hits.join(items, "h").withColumn("slots", values).withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.split(a, ":", 3)[2].alias("a"), F.split(b, ":", 3)[2].alias("b"))))
-    both = both.select("id", "key", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "pairs").distinct()
-    # Windows at places that follow each other are a run; a window may be there twice, as a template and as its words.
-    line = Window.partitionBy("id", "key", "item_id", "item_words", "shift").orderBy("item_at")
-    both = both.withColumn("run", F.col("item_at") - F.dense_rank().over(line))
-    runs = both.groupBy("id", "key", "item_id", "item_words", "shift", "run").agg((F.max("item_at") - F.min("item_at")).alias("steps"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    lines = runs.where(steady).withColumn("run_words", F.col("steps") + F.least("item_words", F.lit(WIDTH)))
+    same = F.forall("pairs", lambda p: p["a"] == p["b"])  # the item's words as they are
+    both = both.select("id", "key", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "pairs", F.coalesce(same, F.lit(False)).alias("same")).distinct()
+    whole = ["id", "key", "item_id", "item_words", "shift"]
+    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+
+    def runs(rows: DataFrame) -> DataFrame:
+        """Windows at places that follow each other are a run; a window may be there twice, as a template and as its words."""
+        rows = rows.withColumn("run", F.col("item_at") - F.dense_rank().over(Window.partitionBy(*whole).orderBy("item_at")))
+        rows = rows.groupBy(*whole, "run").agg((F.max("item_at") - F.min("item_at")).alias("steps"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+        return rows.withColumn("run_words", F.col("steps") + F.least("item_words", F.lit(WIDTH)))
+
     needed = F.when(F.col("item_words") <= WIDTH, F.col("item_words")).otherwise(F.least(F.lit(least), F.greatest(F.lit(WIDTH), F.col("item_words") - 2)))
-    lines = lines.where(F.col("run_words") >= needed)
+    steady = runs(both).where((values("a") == F.size("pairs")) & (values("b") == F.size("pairs")) & (F.col("run_words") >= needed))
+    lines = steady.unionByName(runs(both.where("same")).where(F.col("run_words") >= verbatim))
     out = lines.groupBy("id", "key", "item_id", "item_words").agg(F.max("run_words").alias("run_words"))
     return out.select(F.col("id").alias("doc_id"), "key", "item_id", "run_words", "item_words", (F.col("run_words") / F.col("item_words")).alias("share"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, verbatim: int = VERBATIM) -> DataFrame:
     """docs without contaminated rows."""
-    found = settle(matches(docs, benchmark, least=least).select("key").distinct(), "decontam-found")
-    own = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    found = settle(matches(docs, benchmark, least=least, verbatim=verbatim).select("doc_id", "key").distinct(), "decontam-found")
+    own = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
     maybe, clear = part_by(own, found, "key")
-    return clear.select("whole.*").unionByName(maybe.join(found, "key", "left_anti").select("whole.*"))
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    left = maybe.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return clear.select("whole.*").unionByName(left.select("whole.*"))

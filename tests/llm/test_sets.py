@@ -187,6 +187,102 @@ def test_slots_are_held_against_each_other_within_a_run(spark, frame):
     assert {r.doc_id: r.run_words for r in decontam.matches(frame([apart, torn, item]), items).collect()} == {0: 14, 2: 28}
 
 
+def test_slots_are_held_against_each_other_both_ways(spark, frame):
+    item = "yesterday afternoon Tom gave 5 apples to Ann and Mary who then walked all the way home along the quiet river"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("Ann", "Eve").replace("Mary", "Sue"), item.replace("Ann", "Eve").replace("Mary", "Eve")]
+    assert {r.doc_id for r in decontam.matches(frame(texts), items).collect()} == {0}
+
+
+def test_quotations_count_whatever_follows(spark, frame):
+    item = "a box of 5 pens costs as much as two books and the shop gives one more book for free to all who buy 5 pens before the end of this month"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    first, last = item.rsplit("5 pens", 1)
+    texts = [first + "9 pens" + last, first + "5 pens" + last, item.replace("5 pens costs", "6 pens costs"), item.replace("5 pens", "8 pens")]
+    assert {r.doc_id: r.run_words for r in decontam.matches(frame(texts), items).collect()} == {0: 24, 1: 32, 2: 28, 3: 32}
+
+
+def brute_matches(docs, items, least=13, verbatim=20):
+    """Every document against every item at every shift, word by word."""
+
+    def read(text):
+        out, before = [], None
+        for i, w in enumerate(re.findall(WORD, text or "")):
+            bare = re.sub(r"^[^\w%€$£]+|[^\w%€$£]+$", "", w)
+            if not bare:
+                continue
+            kind = "number" if re.fullmatch(r"[0-9]+", bare) else "unit" if bare in decontam.UNITS and before == "number" else "name" if re.fullmatch(r"[A-Z][a-z]+", bare) and i and not stopped else None
+            stopped = w[-1] in ".!?:;"
+            before = kind
+            out.append((kind or bare.lower(), bare.lower(), kind is not None))
+        return out
+
+    found = {}
+    for d, text in docs:
+        doc = read(text)
+        for k, told in items:
+            item = read(told)
+            n = len(item)
+            for shift in range(-n, len(doc)):
+                hits = {}
+                for at in range(n - 7):
+                    if at + shift < 0 or at + shift + 8 > len(doc):
+                        continue
+                    a, b = item[at : at + 8], doc[at + shift : at + shift + 8]
+                    pairs = None
+                    if [x[0] for x in a] == [x[0] for x in b] and sum(x[2] for x in a) <= 4:
+                        pairs = {(x[1], y[1]) for x, y in zip(a, b, strict=True) if x[2]}
+                    if [x[1] for x in a] == [x[1] for x in b]:
+                        pairs = (pairs or set()) | {(x[1], x[1]) for x in a if x[2]}
+                    if pairs is not None:
+                        hits[at] = (pairs, all(x == y for x, y in pairs))
+                for only in (False, True):
+                    run, pairs, before = 0, set(), None
+                    for at in [*sorted(hits), None]:
+                        if at is not None and only and not hits[at][1]:
+                            continue
+                        if at is not None and before is not None and at == before + 1:
+                            run, pairs, before = run + 1, pairs | hits[at][0], at
+                            continue
+                        if before is not None:
+                            words = run + 8
+                            steady = len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+                            if words >= verbatim if only else steady and words >= min(least, max(8, n - 2)):
+                                found[d, k] = max(words, found.get((d, k), 0))
+                        if at is not None:
+                            run, pairs, before = 0, set(hits[at][0]), at
+    return found
+
+
+def test_matches_are_those_of_brute_force(spark, frame):
+    rng = random.Random(12)
+    plain = ["box", "pens", "costs", "much", "shop", "gives", "river", "walk", "home", "green", "slow", "train", "leaves", "toward", "waits"]
+    names, units = ["Ann", "Tom", "Eve", "Sue"], ["km", "hours", "miles"]
+
+    def words(n):
+        out = ["so"]
+        while len(out) < n:
+            kind = rng.random()
+            out += [str(rng.randint(2, 5)), rng.choice(units)] if kind < 0.12 else [str(rng.randint(2, 9))] if kind < 0.2 else [rng.choice(names)] if kind < 0.3 else [rng.choice(plain)]
+        return out[:n]
+
+    items = [(i, " ".join(words(rng.randint(10, 40)))) for i in range(12)]
+    docs = []
+    for i in range(150):
+        item = rng.choice(items)[1].split()
+        a = rng.randrange(0, max(1, len(item) - 10))
+        part = item[a : a + rng.randint(10, 40)]
+        if rng.random() < 0.6:  # other values, the same throughout or not
+            swap = {x: rng.choice(names if x in names else units if x in units else "23456789") for x in {*names, *units, *"23456789"}}
+            part = [swap.get(w, w) if rng.random() < 0.9 else w for w in part]
+        docs.append((i, " ".join([*words(rng.randint(1, 12)), *part, *words(rng.randint(0, 12))])))
+    docs += [(200, docs[0][1]), (200, docs[0][1]), (201, items[0][1] + " then " + items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.run_words for r in decontam.matches(frame(docs), bench).collect()}
+    want = brute_matches(docs, items)
+    assert got == want and 30 < len(want) < 200
+
+
 def test_verbatim_copies_full_of_numbers_are_found(spark, frame, prose):
     heavy, short = "Given the list 3 7 9 12 15 21 what is the median of the list", "Add 3 4 5 6"
     items = spark.createDataFrame([(1, heavy), (2, short)], "item_id long, text string")
