@@ -46,7 +46,7 @@ LEAVES = 16
 SUPERS = (ALONE + MANY) // LEAVES
 SHARE = 0.5
 #: Rate of each round; windows a step; windows of a group, and most groups of a round.
-RATES, BATCH, GROUP, MOST_GROUPS = (0.02, 0.01, 0.005), 64, 19_200, 4096
+RATES, BATCH, GROUP, MOST_GROUPS = (0.02, 0.01, 0.005), 128, 19_200, 4096
 KNOWN = 1 << 18
 SPELL_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Freed memory that a worker keeps while it scores or trains.
@@ -304,21 +304,29 @@ def by_kind(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(kinds, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=SUPERS)[:SUPERS])])
 
 
-def leaf_weights(w: np.ndarray) -> np.ndarray:
-    """Weights of each kind's classes: SUPERS x WIDTH x LEAVES."""
-    return np.ascontiguousarray(w.reshape(WIDTH, SUPERS, LEAVES).transpose(1, 0, 2))
+def leaf_weights(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights of each kind's classes, the bias last: SUPERS x (WIDTH + 1) x LEAVES."""
+    return np.ascontiguousarray(np.concatenate([w, b[None]]).reshape(WIDTH + 1, SUPERS, LEAVES).transpose(1, 0, 2))
 
 
-def leaf_logits(h: np.ndarray, cuts: np.ndarray, leaves: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Logits of the classes of each row's kind; rows are in the order of by_kind."""
+def with_one(h: np.ndarray) -> np.ndarray:
+    """Rows with a last 1, which takes the bias."""
+    out = np.ones((len(h), WIDTH + 1), h.dtype)
+    out[:, :WIDTH] = h
+    return out
+
+
+def leaf_logits(h: np.ndarray, cuts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Logits of the classes of each row's kind; rows (with_one) are in the order of by_kind."""
     z = np.empty((len(h), LEAVES), h.dtype)
     for kind, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if stop > start:
             np.matmul(h[start:stop], leaves[kind], out=z[start:stop])
-            z[start:stop] += b[kind * LEAVES : (kind + 1) * LEAVES]
     return z
 
 
+#: Where the weights of each input vector stand in e.
+_SPOTS = np.arange((OWN + 1 + SHARED) * WIDTH).reshape(-1, WIDTH)
 _PAST = (_GAP >= 0)
 _DISTANCE = np.maximum(_GAP, 0)
 
@@ -344,22 +352,22 @@ def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real
     order, cuts = by_kind(y.ravel()[here])
     here = here[order]
     of, at = y.ravel()[here], np.arange(len(here))
-    held, leaves = h[here], leaf_weights(p["w"])
-    one = softmax(held @ p["kw"] + p["kb"])
-    two = softmax(leaf_logits(held, cuts, leaves, p["b"]))
+    held, leaves = with_one(h[here]), leaf_weights(p["w"], p["b"])
+    one = softmax(held @ np.concatenate([p["kw"], p["kb"][None]]))
+    two = softmax(leaf_logits(held, cuts, leaves))
     loss = -float(np.log(np.maximum(1e-30, one[at, of // LEAVES] * two[at, of % LEAVES])).sum()) / n
     one[at, of // LEAVES] -= 1
     two[at, of % LEAVES] -= 1
     one *= kind(1 / n)
     two *= kind(1 / n)
     dheld = one @ p["kw"].T
-    dw, db = np.zeros((SUPERS, WIDTH, LEAVES), held.dtype), np.zeros((SUPERS, LEAVES), held.dtype)
+    dw, dk = np.zeros_like(leaves), held.T @ one
     for i, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if stop > start:
             part = two[start:stop]
-            dheld[start:stop] += part @ leaves[i].T
-            dw[i] = held[start:stop].T @ part
-            db[i] = part.sum(0)
+            dheld[start:stop] += part @ leaves[i, :WIDTH].T
+            np.matmul(held[start:stop].T, part, out=dw[i])
+    dw = dw.transpose(1, 0, 2).reshape(WIDTH + 1, -1)
     dh = np.zeros_like(h)
     dh[here] = dheld
     dh3 = dh.reshape(e.shape)
@@ -367,7 +375,7 @@ def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real
     made_slopes = np.empty_like(made)
     made_slopes[:, 2 * WIDTH :] = flat(a.transpose(0, 2, 1) @ dh3)
     # The softmax's slope: a * (da - sum(da * a)), and that sum is dh times what attention gave.
-    da -= (dh3 * got).sum(-1, keepdims=True)
+    da -= ((dh3 * got) @ np.ones(WIDTH, e.dtype))[..., None]
     da *= a
     dfar = np.bincount(_DISTANCE.ravel(), weights=(da.sum(0) * _PAST).ravel(), minlength=WINDOW)
     made_slopes[:, :WIDTH] = flat(da @ k)
@@ -376,10 +384,9 @@ def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real
     dthree = rows.T @ made_slopes
     out = {
         "q": dthree[:, :WIDTH] * scale, "k": dthree[:, WIDTH : 2 * WIDTH], "v": dthree[:, 2 * WIDTH :], "far": dfar,
-        "w": dw.transpose(1, 0, 2).reshape(WIDTH, -1), "b": db.ravel(), "kw": held.T @ one, "kb": one.sum(0),
+        "w": dw[:WIDTH], "b": dw[WIDTH], "kw": dk[:WIDTH], "kb": dk[WIDTH],
     }
-    spots = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    out["e"] = np.bincount(spots, weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
+    out["e"] = np.bincount(_SPOTS[x.ravel()].ravel(), weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
     return loss, out
 
 
@@ -527,7 +534,7 @@ class Scorer:
     def __init__(self, flat: np.ndarray, layout: Layout) -> None:
         p = unpacked(flat.astype(np.float32))
         e, scale = p["e"], np.float32(1 / np.sqrt(WIDTH))
-        self.e, self.leaves, self.b, self.kw, self.kb, self.layout = e, leaf_weights(p["w"]), p["b"], p["kw"], p["kb"], layout
+        self.e, self.leaves, self.kinds, self.layout = e, leaf_weights(p["w"], p["b"]), np.concatenate([p["kw"], p["kb"][None]]), layout
         # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts.
         self.q, self.k = e @ p["q"] * scale, e @ p["k"]
         self.v = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)
@@ -573,9 +580,8 @@ class Scorer:
         seen = a @ self.v[whole]
         h = (self.e[own] + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH)
         order, cuts = by_kind(target.ravel())
-        h, of, at = h[order], target.ravel()[order], np.arange(len(h))
-        one, two = h @ self.kw, leaf_logits(h, cuts, self.leaves, self.b)
-        one += self.kb
+        h, of, at = with_one(h[order]), target.ravel()[order], np.arange(len(h))
+        one, two = h @ self.kinds, leaf_logits(h, cuts, self.leaves)
         if careful:
             one -= one.max(1, keepdims=True)
             two -= two.max(1, keepdims=True)
