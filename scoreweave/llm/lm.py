@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Words, crc_mod5, keep_memory, mix64, need, settle, steps
+from .shared import Words, crc_mod5, keep_memory, mix64, need, settle, steps
 
 WINDOW, WIDTH = 32, 16
 HALF = WINDOW // 2
@@ -47,7 +47,7 @@ SUPERS = (ALONE + MANY) // LEAVES
 SHARE = 0.5
 #: Rate of each round; windows a step; windows of a group, and most groups of a round.
 RATES, BATCH, GROUP, MOST_GROUPS = (0.02, 0.01, 0.005), 128, 19_200, 4096
-KNOWN = 1 << 18
+KNOWN = 1 << 20
 SPELL_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Freed memory that a worker keeps while it scores or trains.
 ROOM = 64 << 20
@@ -168,14 +168,24 @@ def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Tokens of texts by their symbols. ends: where each stops; hashes: 64 bits of each word's spelling; is_end: the texts' ends;
-    rows: the text of each."""
+    """Tokens of texts by their symbols. ends: where each stops; hashes: 64 bits of each word's spelling (a polynomial of its symbols' values, and
+    its length); is_end: the texts' ends; rows: the text of each."""
+
+    values: np.ndarray = np.zeros(0, np.uint64)
 
     def __init__(self, offsets: np.ndarray, symbols: np.ndarray, end: int) -> None:
+        if len(Tokens.values) <= end:
+            Tokens.values = mix64(np.arange(1, end + 2, dtype=np.uint64))
         self.ends = np.nonzero((symbols & 1 == 1) | (symbols == end))[0] + 1
         self.starts = np.concatenate([np.zeros(min(1, len(self.ends)), np.int64), self.ends[:-1]])
         self.is_end = symbols[self.ends - 1] == end
-        self.hashes = Rolling(mix64(symbols.astype(np.uint64) + np.uint64(1))).at(self.starts, self.ends - self.starts)
+        sizes = self.ends - self.starts
+        powers = np.full(int(sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        told = Tokens.values[symbols] * powers[np.arange(len(symbols)) - np.repeat(self.starts, sizes)]
+        sums = np.add.reduceat(told, self.starts) if len(symbols) else told
+        self.hashes = mix64(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.counts = np.diff(np.searchsorted(self.ends, offsets, "right"))
         self.rows = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
@@ -420,35 +430,54 @@ class Trainer:
         return loss
 
 
-def cut(offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Consecutive windows of texts, rows of WINDOW + 1 symbols (int32, -2 the start, -1 none). A row's first is the symbol before
-    its others, so each symbol is once to be predicted."""
-    n = np.diff(offsets)
-    first = np.concatenate([[0], np.cumsum(-(-n // WINDOW))])
-    turn = np.arange(len(symbols)) - np.repeat(offsets[:-1], n)
-    out = np.full((first[-1], WINDOW + 1), -1, np.int32)
-    out[np.repeat(first[:-1], n) + turn // WINDOW, turn % WINDOW + 1] = symbols
-    out[1:, 0] = out[:-1, WINDOW]
-    out[first[:-1], 0] = -2
+def cut(offsets: np.ndarray, symbols: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Windows of texts, the one of each place (from 0) in its row: WINDOW + 1 symbols (int32, -2 the start, -1 none). A window's first is the
+    symbol before its others, so each symbol is once to be predicted."""
+    at = (offsets[rows] + places * WINDOW)[:, None] + np.arange(-1, WINDOW)
+    out = np.where(at < offsets[rows + 1][:, None], symbols[np.clip(at, 0, max(0, len(symbols) - 1))], -1).astype(np.int32)
+    out[places == 0, 0] = -2
     return out
 
 
-def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES)) -> DataFrame:
-    """(g, deal, w): the training windows of slice `wanted`, dealt to groups by a hash of the document and the window's place."""
+#: Bytes of a window as vectors (16 bits) and classes (8 bits); this class is none.
+PACKED, NONE = 3 * WINDOW, 255
+
+
+def packed(windows: np.ndarray, layout: Layout) -> np.ndarray:
+    """Windows of symbols as rows of PACKED bytes: the vectors of what stands before each symbol, and the symbols' classes."""
+    vector = np.append(layout.vector, [layout.start, layout.start]).astype("<u2")  # -2: the start; -1: none
+    classes = np.where(windows[:, 1:] >= 0, layout.group[np.maximum(0, windows[:, 1:])], NONE).astype(np.uint8)
+    return np.concatenate([np.ascontiguousarray(vector[windows[:, :-1]]).view(np.uint8), classes], 1)
+
+
+def unpacked_windows(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, classes, whether there is one) of rows of packed."""
+    rows = np.frombuffer(held, np.uint8).reshape(-1, PACKED)
+    classes = rows[:, 2 * WINDOW :]
+    real = classes != NONE
+    return np.ascontiguousarray(rows[:, : 2 * WINDOW]).view("<u2").astype(np.int64), np.where(real, classes, 0), real
+
+
+def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES), layout: Layout | None = None) -> DataFrame:
+    """(g, deal, w): the training windows of slice `wanted`, dealt to groups by a hash of the document and the window's place. w: symbols as
+    int32, or packed where a layout is given."""
+    held = table.sparkSession.sparkContext.broadcast(layout)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "s", limit=2 * SCORE_BYTES, room=ROOM):
             offsets, symbols = symbols_of(part.column("s"))
-            rows, each = cut(offsets, symbols), -(-np.diff(offsets) // WINDOW)
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
-            deal = mix64(np.repeat(part.column("key").to_numpy().view(np.uint64), each) ^ mix64(place.astype(np.uint64), 77))
+            each = -(-np.diff(offsets) // WINDOW)
+            rows = np.repeat(np.arange(len(each)), each)
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
+            deal = mix64(part.column("key").to_numpy().view(np.uint64)[rows] ^ mix64(places.astype(np.uint64), 77))
             mine = np.nonzero(deal % np.uint64(slices) == wanted)[0]
-            rows, deal = rows[mine], deal[mine]
-            for at in range(0, len(rows), 8192):
-                some = np.ascontiguousarray(rows[at : at + 8192])
-                ends = np.arange(len(some) + 1, dtype=np.int32) * 4 * (WINDOW + 1)
-                g = (deal[at : at + 8192] // np.uint64(slices) % np.uint64(groups)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(deal[at : at + 8192].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "deal", "w"])
+            for at in range(0, len(mine), 8192):
+                k = mine[at : at + 8192]
+                some = cut(offsets, symbols, rows[k], places[k])
+                some = np.ascontiguousarray(some if held.value is None else packed(some, held.value))
+                ends = np.arange(len(some) + 1, dtype=np.int32) * (some.shape[1] * some.itemsize)
+                g = (deal[k] // np.uint64(slices) % np.uint64(groups)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(deal[k].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "deal", "w"])
 
     return table.select("key", "s").mapInArrow(pick, "g int, deal long, w binary")
 
@@ -456,7 +485,7 @@ def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES
 def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     """(group, windows of a step): rows come group by group; a group's last step may be smaller."""
     now, held = None, b""
-    size = BATCH * 4 * (WINDOW + 1)
+    size = BATCH * PACKED
     for batch in batches:
         groups, rows = batch.column("g").to_numpy(), batch.column("w")
         heads = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1, [len(groups)]]).tolist() if len(groups) else [0]
@@ -473,15 +502,14 @@ def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         yield now, held
 
 
-def _round(windows: DataFrame, groups: int, flat: np.ndarray, layout: Layout, rate: float) -> np.ndarray:
+def _round(windows: DataFrame, groups: int, flat: np.ndarray, rate: float) -> np.ndarray:
     """Each group trains from flat; the mean of what they come to, by symbols seen, in the order of groups."""
-    held = windows.sparkSession.sparkContext.broadcast((flat, layout))
+    held = windows.sparkSession.sparkContext.broadcast(flat)
     parts = max(1, int(np.sqrt(groups)))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, layout = held.value
+        flat = held.value
         keep_memory(ROOM)
-        vector = np.append(layout.vector, [layout.start, layout.start])  # -2: the start; -1: none
         now, trainer, seen = None, None, 0
         emit = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([trainer.flat.tobytes()], pa.binary())], ["g", "seen", "p"])
         for g, rows in _steps_of(batches):
@@ -489,9 +517,8 @@ def _round(windows: DataFrame, groups: int, flat: np.ndarray, layout: Layout, ra
                 if seen:
                     yield emit()
                 now, trainer, seen = g, Trainer(flat, rate), 0
-            s = np.frombuffer(rows, np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
-            real = s[:, 1:] >= 0
-            trainer.step(vector[s[:, :-1]], layout.group[np.maximum(0, s[:, 1:])], real)
+            x, y, real = unpacked_windows(rows)
+            trainer.step(x, y, real)
             seen += int(real.sum())
         if seen:
             yield emit()
@@ -503,7 +530,7 @@ def _round(windows: DataFrame, groups: int, flat: np.ndarray, layout: Layout, ra
         total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows.column("p").to_pylist(), seen, strict=True))
         return pa.table({"g": pa.array([rows.column("g")[0].as_py() % parts], pa.int32()), "seen": pa.array([sum(seen)], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = windows.repartition(groups, "g").sortWithinPartitions("g", "deal", "w")
+    dealt = windows.repartition(groups, "g").sortWithinPartitions("g", "deal")
     rows = dealt.mapInArrow(one, "g int, seen long, p binary").groupBy((F.col("g") % parts).alias("part")).applyInArrow(added, "g int, seen long, p binary").collect()
     if not rows:
         return flat
@@ -524,7 +551,7 @@ def fit(table: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.nd
             layout = Layout(counts, starts, old["e"])
             new = unpacked(initial(layout))
             flat = np.concatenate([(new if n in ("w", "b", "kw", "kb") else old)[n].ravel() for n in SHAPES])
-        flat = _round(_windows(table, groups, turn), groups, flat, layout, rate)
+        flat = _round(_windows(table, groups, turn, layout=layout), groups, flat, rate)
     return flat, layout
 
 
@@ -593,6 +620,30 @@ class Scorer:
         return out.reshape(own.shape)
 
 
+class Known:
+    """Counts of known words, found by their hashes: those of one bucket (their leading bits) stand together."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.bits = max(1, int(len(hashes)).bit_length())
+        self.starts = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """Count of each, -1 of those that aren't known."""
+        out = np.full(len(hashes), -1, np.int64)
+        bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop, left = self.starts[bucket], self.starts[bucket + 1], np.arange(len(hashes))
+        while True:
+            go = at < stop
+            at, stop, left = at[go], stop[go], left[go]
+            if not len(left):
+                return out
+            hit = self.hashes[at] == hashes[left]
+            out[left[hit]] = self.counts[at[hit]]
+            at, stop, left = at[~hit] + 1, stop[~hit], left[~hit]
+
+
 def _frequent(words: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all words that are at least so frequent that no more than `most` are. How many words have each count is
     a small table; only the words chosen leave their tasks."""
@@ -643,26 +694,21 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     rows = numbered(docs)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = settle(symbol_table(rows, path), "lm-symbols")
+    table = settle(symbol_table(rows, path), "lm-symbols", "zstd")
     model = Model(table, path)
     end, words = speller(path).end, model.words
-    hashes, often = _frequent(words)
-    order = np.argsort(hashes)
-    held = spark.sparkContext.broadcast((model.flat, model.layout, hashes[order], often[order], model.below, model.texts))
+    held = spark.sparkContext.broadcast((model.flat, model.layout, Known(*_frequent(words)), model.below, model.texts))
     columns = f"key long, doc_id {kind}, held_out boolean, h long, spelled float, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, layout, known, often, below, texts = held.value
+        flat, layout, known, below, texts = held.value
         scorer = Scorer(flat, layout)
         for part in steps(batches, "s", limit=SCORE_BYTES, room=ROOM):
             n_rows = part.num_rows
             offsets, symbols = symbols_of(part.column("s"))
             tokens = Tokens(offsets, symbols, end)
             word_logs = np.add.reduceat(scorer.score(symbols, offsets).astype(np.float64), tokens.starts)
-            c = np.full(len(word_logs), -1, np.int64)
-            if len(known):
-                spot = np.minimum(np.searchsorted(known, tokens.hashes), len(known) - 1)
-                c = np.where(known[spot] == tokens.hashes, often[spot], -1)
+            c = known.get(tokens.hashes)
             c[tokens.is_end] = texts  # the end is a token, too
             here, of = c >= 0, tokens.rows
             base = (np.maximum(c, 0) + 0.5) / below

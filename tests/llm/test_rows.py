@@ -73,6 +73,22 @@ def test_urls_match_brute_force(spark):
             assert got == {i: brute_rule(u, rules) for i, u in enumerate(seen)}
 
 
+def test_tables_of_rules_match_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["com", "example.com", "a.example.com", "net", "x.net", "notexample.com", "EXAMPLE.com", "org", "", "b..com", "ü.org"]
+    paths = ["", "/", "/en", "/en/", "/en/7", "/en/77/x", "/de/81?q=/en/", "#top", "/é/日本", "/EN/"]
+    seen = [None, "", "http://", "mailto:x"] + [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)] + ["http://example.com/en/"] * 50
+    rules = {(f"{h.lower()}{p}", rng.choice(["block", "allow"])) for h in hosts if h for p in ("", "/", "/en/", "/en/7", "/é/") if rng.random() < 0.6}
+    rules = sorted((v, r) for r, v in dict(rules).items())
+    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(seen)], "page_id long, url string, rule string")
+    table = spark.createDataFrame([*rules, rules[0], (None, "com/"), ("block", None)], "verdict string, rule string")
+    for ranges in (1, 7):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.join_rules(pages, table, ranges=ranges).collect()}
+        assert got == {i: brute_rule(u, rules) for i, u in enumerate(seen)}
+    assert urls.join_rules(pages, table.where("false")).where("rule is not null").count() == 0
+    assert urls.join_rules(pages.where("false"), table).count() == 0
+
+
 def test_urls_replace_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/", "old", 5)], "page_id long, url string, HOST string, other int")
     out = urls.filter_urls(pages, queries.URL_RULES)
@@ -330,6 +346,51 @@ def test_languages_are_told_apart(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def brute_languages(rows, rare=langid.RARE, relative=langid.RELATIVE):
+    """(language, share of n-grams it contains) of each text, by plain sets."""
+    import regex
+
+    def of(text):
+        for w in re.findall(WORD, text or ""):
+            letters = regex.sub(r"\PL+", "", w).lower()
+            for size in langid.SIZES if letters else ():
+                edged = f"^{letters}$"
+                yield from (edged[i : i + size] for i in range(len(edged) - size + 1))
+
+    counts = collections.defaultdict(collections.Counter)
+    for doc_id, text, lang in rows:
+        if lang is not None and text is not None and crc(doc_id):
+            counts[lang].update(of(text))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items() if c}
+    most = collections.defaultdict(float)
+    for c in share.values():
+        for g, v in c.items():
+            most[g] = max(most[g], v)
+    held = {x: {g for g, v in share[x].items() if v >= rare and v >= relative * most[g]} for x in sorted(share)}
+    out = []
+    for _, text, _ in rows:
+        found = list(of(text))
+        told = {x: sum(g in h for g in found) / len(found) for x, h in held.items()} if found else {}
+        best = max(sorted(told), key=told.__getitem__) if told else "und"
+        out.append((best, told.get(best, 0.0), told))
+    return out
+
+
+def test_languages_match_brute_force(spark, odd):
+    rng = random.Random(5)
+    parts = {"aa": ["lo", "mi", "ra", "te", "on"], "bb": ["lo", "kö", "vi", "te", "é"], "cc": ["ña", "mi", "cí", "te", "日本"], "dd": ["lo", "mi", "te", "x"]}
+    rows = [(500 + i, t[1] if isinstance(t, tuple) else t, None) for i, t in enumerate(odd)]
+    for i in range(240):
+        lang = sorted(parts)[i % 4]
+        mixed = parts[lang] if rng.random() < 0.7 else parts[rng.choice(sorted(parts))]
+        rows.append((i, " ".join("".join(rng.choice(mixed) for _ in range(rng.randint(1, 4))) + rng.choice(["", ",", "'s", "7"]) for _ in range(rng.randint(1, 40))), lang))
+    rows += [rows[-1], rows[-1]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()
+    for r, (doc_id, _, _), (best, share, told) in zip(got, rows, brute_languages(rows), strict=True):
+        assert r.doc_id == doc_id and abs(r.score - share) < 0.02
+        assert r.lang_pred == best or told[best] - told[r.lang_pred] < 0.01  # false positives may turn near ties
+
+
 def test_bloom_filters_have_no_false_negatives():
     rng = np.random.default_rng(4)
     keys = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(70)]
@@ -443,6 +504,25 @@ def test_symbols_tell_words(prose, odd):
     assert len(names) == len(words.vocab)
 
 
+def test_known_words_are_found():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    hashes[:50] = np.arange(50, dtype=np.uint64)  # one bucket
+    known = lm.Known(hashes[:3000], np.arange(3000))
+    assert known.get(hashes).tolist() == [*range(3000), *[-1] * 2000]
+    assert lm.Known(hashes[:0], np.arange(0)).get(hashes[:3]).tolist() == [-1] * 3 and known.get(hashes[:0]).tolist() == []
+
+
+def test_windows_are_packed_whole():
+    rng = np.random.default_rng(2)
+    layout = lm.Layout(rng.integers(0, 50, 4001), rng.random(4001) < 0.5)
+    windows = rng.integers(0, 4001, (7, lm.WINDOW + 1)).astype(np.int32)
+    windows[2, 0], windows[3, 9:], windows[4, 1:] = -2, -1, -1
+    x, y, real = lm.unpacked_windows(lm.packed(windows, layout).tobytes())
+    assert (real == (windows[:, 1:] >= 0)).all() and (y[real] == layout.group[windows[:, 1:][real]]).all()
+    assert (x[2, 0], x[3, 10]) == (layout.start, layout.start) and (x[windows[:, :-1] >= 0] == layout.vector[windows[:, :-1][windows[:, :-1] >= 0]]).all()
+
+
 def naive_log(p, layout, symbols, i):
     """Natural log of the probability of symbols[i], one query at a time: what stands before it back to the half window before its own."""
     start = max(0, (i // lm.HALF - 1) * lm.HALF)
