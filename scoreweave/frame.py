@@ -23,19 +23,20 @@ IMPUTERS = {
 @dataclass(frozen=True)
 class ScoreFrame:
     """observations (entity, metric, score, std_dev, source, ord); entities (entity, company, url, release_date, capabilities, ord);
-    cells, once merged: (entity, metric, score, std_dev, source, is_known)."""
+    cells, once merged: (entity, metric, score, std_dev, source, is_known); shown: the entities that filters let pass, all if None."""
 
     observations: DataFrame
     entities: DataFrame
     cells: DataFrame | None = None
+    shown: DataFrame | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> ScoreFrame:
         entities, observations = documents.read_models(spark, path)
         return cls(observations, entities)
 
-    def derive(self, requirements: DataFrame) -> ScoreFrame:
-        return replace(self, observations=derive.derive_all(self.observations, self.entities, requirements))
+    def derive(self, requirements: DataFrame, floor_replaces: bool = False) -> ScoreFrame:
+        return replace(self, observations=derive.derive_all(self.observations, self.entities, requirements, floor_replaces))
 
     def merge(self) -> ScoreFrame:
         return replace(self, cells=C.densify(C.merge_cells(self.observations).drop("n")))
@@ -47,10 +48,13 @@ class ScoreFrame:
         return replace(self, cells=kept.unionByName(filled))
 
     def composite(self, criteria: DataFrame) -> DataFrame:
-        return rank.composite_scores(self.cells, criteria)
+        """Composites of the entities shown; z-scores are over all entities, whatever filters let pass."""
+        out = rank.composite_scores(self.cells, criteria)
+        return out if self.shown is None else out.join(self.shown, "entity", "left_semi")
 
     def filter(self, metric: str | None, value: float | None, below: bool = True) -> ScoreFrame:
-        return replace(self, cells=self.cells.join(rank.passing(self.cells, metric, value, below), "entity", "left_semi"))
+        passing = rank.passing(self.cells, metric, value, below)
+        return replace(self, shown=passing if self.shown is None else self.shown.join(passing, "entity", "left_semi"))
 
     def rank(self, criteria: DataFrame) -> DataFrame:
         return rank.ranking(self.composite(criteria))

@@ -16,7 +16,8 @@ BASE_TOKENS, QUESTION, ANSWER, BANDWIDTH = 7.3, 11, 119, 3.35e12
 #: Price by active parameters and by their ratio to speed: (constant, active, ratio) with speed, (constant, active) without
 #: (fixed values).
 INPUT_FIT, OUTPUT_FIT = ((0.370, -0.00471, 0.738), (0.399, 0.00549)), ((1.323, -0.03356, 3.662), (1.468, 0.01708))
-APPENDED = 1_000_000
+#: Derived observations come after all that were read or fed (schema.FED), in the order of steps.
+APPENDED = 1 << 62
 
 
 def _rows(df: DataFrame, metric: str | Column, score: Column, source: str | Column, step: int) -> DataFrame:
@@ -63,6 +64,13 @@ def capability_floor(entities: DataFrame, requirements: DataFrame) -> DataFrame:
     return _rows(gaps, F.col("metric"), F.col("random_score"), F.concat(F.lit("Missing capability: "), F.concat_ws(", ", "missing")), 3)
 
 
+def with_capability_floor(obs: DataFrame, entities: DataFrame, requirements: DataFrame, replace: bool = False) -> DataFrame:
+    """obs and the random scores; replace: the random score stands instead of what the entity's observations of that metric say."""
+    floor = capability_floor(entities, requirements)
+    kept = obs.join(floor.select("entity", "metric").distinct(), ["entity", "metric"], "left_anti").select(obs.columns) if replace else obs
+    return kept.unionByName(floor)
+
+
 def latency(obs: DataFrame) -> DataFrame:
     """Completion latency from consumed tokens and speed; a speed that isn't known is estimated from active parameters, and is an
     observation too."""
@@ -91,11 +99,11 @@ def cost_of_1k(obs: DataFrame) -> DataFrame:
     return _rows(got, COST, each * 1e3, "Calculated from ArtificialAnalysis Consumed Tokens", 8)
 
 
-def derive_all(obs: DataFrame, entities: DataFrame, requirements: DataFrame) -> DataFrame:
-    """obs with all metrics derived before imputation, each step seeing those before."""
+def derive_all(obs: DataFrame, entities: DataFrame, requirements: DataFrame, replace: bool = False) -> DataFrame:
+    """obs with all metrics derived before imputation, each step seeing those before. replace: see with_capability_floor."""
     obs = obs.unionByName(release_dates(entities))
     obs = obs.unionByName(release_by_size(obs))
-    obs = obs.unionByName(capability_floor(entities, requirements))
+    obs = with_capability_floor(obs, entities, requirements, replace)
     obs = obs.unionByName(latency(obs))
     return obs.unionByName(prices(obs))
 

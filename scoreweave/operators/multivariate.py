@@ -1,7 +1,8 @@
 """Imputers with dense linear algebra: iterated multivariate least squares, and two gradient descents.
 
 Least squares: the Gram matrix of the filled matrix is one grouped aggregate (metrics squared rows, the lower triangle only); it
-is factored once on the driver, after a check of its size, and entities are estimated in batches where they are. So entities may
+is inverted once on the driver, after a check of its size, and that one inverse gives every metric's regression on all others: what is
+broadcast has metrics squared numbers. Entities are estimated in batches where they are. So entities may
 be many, and metrics up to MOST_METRICS.
 
 Gradient descents are one optimisation over all cells with one step size, so a matrix is one task's state; `by` gives many
@@ -32,32 +33,70 @@ def gram_matrix(filled: DataFrame) -> DataFrame:
     return left.join(right, "entity").where("i >= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
+def independent(gram: np.ndarray, least: float = 1e-12) -> list[int]:
+    """Rows of a Gram matrix with unit diagonal that don't depend on each other, as many as there are (Cholesky with pivots)."""
+    n = len(gram)
+    left, factor, chosen = np.diag(gram).copy(), np.zeros((n, n)), []
+    for r in range(n):
+        j = int(np.argmax(left))
+        if left[j] <= least:
+            break
+        factor[:, r] = (gram[:, j] - factor[:, :r] @ factor[j, :r]) / np.sqrt(left[j])
+        left -= factor[:, r] ** 2
+        chosen.append(j)
+        left[chosen] = 0.0
+    return sorted(chosen)
+
+
 class Regressions:
-    """Least squares of each metric on all others, from the Gram matrix of metrics and a last constant column."""
+    """Least squares of each metric on all others, from the Gram matrix of metrics and a last constant column.
+
+    One inverse P, of the columns that don't depend on others, serves all: regressing column k on the rest has coefficients -P[j, k] / P[k, k] and
+    squared error 1 / P[k, k]. A column that depends on others, or that others depend on, is their exact sum, with no error."""
 
     def __init__(self, g: np.ndarray, n_entities: int) -> None:
         size = g.shape[0]
         n = size - 1
-        scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+        self.scale = scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
         normal = g * scale[:, None] * scale[None, :]
-        self.beta, self.sigma2, self.cov = np.zeros((n, size)), np.zeros(n), [None] * n
+        self.basis = basis = np.array(independent(normal), int)
+        rest = np.setdiff1d(np.arange(size), basis)
+        self.inverse = inverse = np.linalg.inv(normal[np.ix_(basis, basis)]) if len(basis) else np.zeros((0, 0))
+        inverse += inverse.T
+        inverse /= 2
+        told = inverse @ normal[np.ix_(basis, rest)]  # what the others are of the basis
+        self.beta, self.sigma2, self.place = np.zeros((n, size)), np.zeros(n), np.full(n, -1)
         free = n_entities - size + 1  # entities less a metric's features and bias
-        for k in range(n):
-            rest = np.array([i for i in range(size) if i != k])
-            inverse = np.linalg.pinv(normal[np.ix_(rest, rest)], rcond=1e-13, hermitian=True) * scale[rest][:, None] * scale[rest][None, :]
-            b = inverse @ g[rest, k]
-            self.beta[k, rest] = b
-            if free > 0:
-                self.sigma2[k] = max(0.0, g[k, k] - 2 * b @ g[rest, k] + b @ g[np.ix_(rest, rest)] @ b) / free
-                self.cov[k] = (rest, self.sigma2[k] * inverse)
-
-    def predict(self, k: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimate and deviation of metric k for rows x (metrics and the constant)."""
-        variance = np.full(len(x), self.sigma2[k])
-        if self.cov[k] is not None:
-            rest, cov = self.cov[k]
-            variance = variance + np.einsum("ij,jk,ik->i", x[:, rest], cov, x[:, rest])
-        return x @ self.beta[k], np.sqrt(np.maximum(0.0, variance))
+        for at, k in enumerate(rest.tolist()):
+            if k < n:
+                self.beta[k, basis] = told[:, at]
+        for at, k in enumerate(basis.tolist()):
+            if k == n:
+                continue
+            by = int(np.argmax(np.abs(told[at]))) if len(rest) else -1
+            if by >= 0 and abs(told[at, by]) > 1e-6:
+                self.beta[k, basis] = -told[:, by] / told[at, by]
+                self.beta[k, rest[by]] = 1 / told[at, by]
+            else:
+                self.beta[k, basis] = -inverse[at] / inverse[at, at]
+                if free > 0:
+                    self.sigma2[k], self.place[k] = 1 / inverse[at, at] / scale[k] ** 2 / free, at
+            self.beta[k, k] = 0.0
+        self.beta *= scale[None, :] / scale[:n, None]
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates and deviations of all metrics for rows x (metrics and the constant). A row's variance is sigma2 (1 + r' Q r), where r is the row
+        without the metric and Q the inverse without it: P less the product of its column over its diagonal."""
+        z = (x * self.scale)[:, self.basis]
+        y = z @ self.inverse
+        whole = (y * z).sum(1, keepdims=True)
+        some = self.place >= 0
+        at = self.place[some]
+        own, diagonal = z[:, at], np.diag(self.inverse)[at]
+        near = y[:, at] - own * diagonal
+        variance = np.zeros((len(x), len(self.beta)))
+        variance[:, some] = self.sigma2[some] * (1 + np.maximum(0.0, whole - 2 * own * y[:, at] + own * own * diagonal - near * near / diagonal))
+        return x @ self.beta.T, np.sqrt(variance)
 
 
 def _regressions(filled: DataFrame, metrics: list[str]) -> Regressions:
@@ -83,19 +122,17 @@ def impute_multivariate(cells: DataFrame, iterations: int = 1) -> DataFrame:
         def estimate(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, model = held.value
             for pdf in frames:
-                x = np.array([[r[m] for m in names] + [1.0] for r in pdf["row"].map(dict)], float)
-                for k, m in enumerate(names):
-                    guess, sd = model.predict(k, x)
-                    yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "metric": m, "guess": guess, "guess_sd": sd})
-
-        rows = fill.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("row"))
-        guesses = rows.mapInPandas(estimate, "entity string, metric string, guess double, guess_sd double")
-        out = fill.join(guesses, ["entity", "metric"], "left")
-        fill = settle(
-            out.select("entity", "metric", F.when(F.col("is_known"), F.col("score")).otherwise(F.col("guess")).alias("score"), F.when(F.col("is_known"), F.col("std_dev")).otherwise(F.col("guess_sd")).alias("std_dev"), F.when(~F.col("is_known"), MULTIVARIATE).alias("source"), "is_known"),
-            "fill",
-        )
-    return fill.withColumn("source", F.when(~F.col("is_known"), MULTIVARIATE))
+                rows = [{c["metric"]: c for c in r} for r in pdf["row"]]
+                score, sd, known = (np.array([[r[m][c] for m in names] for r in rows]) for c in ("score", "std_dev", "is_known"))
+                guess, guess_sd = model.predict(np.hstack([score.astype(float), np.ones((len(rows), 1))]))
+                yield pd.DataFrame({
+                    "entity": np.repeat(pdf["entity"].to_numpy(), len(names)), "metric": np.tile(names, len(rows)),
+                    "score": np.where(known, score, guess).ravel().astype(float), "std_dev": np.where(known, sd, guess_sd).ravel().astype(float), "is_known": known.ravel().astype(bool),
+                })
+
+        rows = fill.groupBy("entity").agg(F.collect_list(F.struct("metric", "score", "std_dev", "is_known")).alias("row"))
+        fill = settle(rows.mapInPandas(estimate, "entity string, metric string, score double, std_dev double, is_known boolean"), "fill")
+    return fill.select("entity", "metric", "score", "std_dev", F.when(~F.col("is_known"), MULTIVARIATE).alias("source"), "is_known")
 
 
 # Gradient descents

@@ -77,6 +77,11 @@ def by_name(entities: DataFrame) -> DataFrame:
     return entities.orderBy(F.collate("entity", "UNICODE"), "entity")
 
 
+def name_places(entities: DataFrame) -> DataFrame:
+    """entities plus place, from 1, in the order of by_name."""
+    return numbered(entities, "place", F.collate("entity", "UNICODE"), F.asc("entity"))
+
+
 def chart_points(cells: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
     """(entity, x, y): a metric's score and the composite, where both are numbers."""
     x = cells.where((F.col("metric") == metric) & F.col("score").isNotNull()).select("entity", F.col("score").alias("x"))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.names import normalize_name
+from ..session import settle
+
+#: Edit distances within which nearest names are sought by shared pieces, one after the other.
+BOUNDS = (2, 6)
 
 
 def not_ignored(external: DataFrame, names: DataFrame | None = None, prefixes: DataFrame | None = None) -> DataFrame:
@@ -40,17 +44,56 @@ def by_equal_name_once(external: DataFrame, entities: DataFrame) -> DataFrame:
     return left.join(right.select("norm", "turn", "entity"), ["norm", "turn"]).select("name", "entity")
 
 
+def _pieces(size: Column, i: Column, bound: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of piece i of bound + 1 of a string of so many characters; the last ones are longer by one."""
+    each, longer = F.floor(size / (bound + 1)), size % (bound + 1)
+    first = bound + 1 - longer
+    return (i * each + F.greatest(F.lit(0), i - first)).cast("int"), (each + (i >= first).cast("int")).cast("int")
+
+
+def within(names: DataFrame, theirs: DataFrame, bound: int) -> DataFrame:
+    """(name, first, distance) for names (name, norm) and others (other, first) at most `bound` edits apart. A string cut into bound + 1
+    pieces keeps one of them whole, so pairs come from joins by pieces: (size, number, piece), which the other side looks for where edits
+    can have moved it. Pairs may be there twice."""
+    i, size, at = F.col("i"), F.col("size"), F.col("at")
+    short = size <= bound  # pieces would be empty: such a string is one piece
+    turns = F.explode(F.when(short, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(bound)))).alias("i")
+    start, length = _pieces(size, i, bound)
+    cut = lambda text, start: F.when(i < 0, "").otherwise(F.substr(text, start + 1, length))
+    right = theirs.select("*", F.length("other").alias("size")).select("*", turns).select("other", "first", "size", "i", cut(F.col("other"), start).alias("piece"))
+    n = F.length("norm")
+    left = names.select("*", F.explode(F.sequence(F.greatest(F.lit(0), n - bound), n + bound)).alias("size")).select("*", turns)
+    # A longer string's first piece is moved by insertions before it, and its last by those after it.
+    low = F.greatest(F.lit(0), start - F.floor((bound - (n - size)) / 2)).cast("int")
+    high = F.least(n - length, start + F.floor((bound + (n - size)) / 2)).cast("int")
+    places = F.when(i < 0, F.array(F.lit(0))).when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    left = left.select("*", F.explode(places).alias("at")).select("name", "norm", "size", "i", cut(F.col("norm"), at).alias("piece")).distinct()
+    both = left.join(right, ["size", "i", "piece"])
+    return both.select("name", "first", F.levenshtein("norm", "other", bound).alias("distance")).where("distance >= 0")
+
+
 def nearest(external: DataFrame, entities: DataFrame, normalized: bool = True, most: float | None = None) -> DataFrame:
-    """(name, entity, distance) of the smallest edit distance, the first entity among equals. Every external name meets every
-    distinct entity name; the smallest is kept as pairs are made, so none of them are shuffled. most: a distance over this
-    share of the name's length is no match."""
+    """(name, entity, distance) of the smallest edit distance, the first entity among equals. Names are joined by shared pieces within the
+    first of BOUNDS, those without a match within the next; a distance found within a bound is the smallest. Only names farther than
+    that from every entity meet all distinct entity names, of which the smallest is kept as pairs are made. most: a distance over this share of
+    the name's length is no match."""
     form = normalize_name if normalized else (lambda c: c)
-    names = external.select("name").distinct().withColumn("norm", form(F.col("name")))
-    theirs = entities.groupBy(form(F.col("entity")).alias("other")).agg(F.min(F.struct("ord", "entity")).alias("first"))
-    both = names.crossJoin(theirs).withColumn("distance", F.levenshtein("norm", "other"))
-    out = both.groupBy("name").agg(F.min(F.struct("distance", "first")).alias("best"))
-    out = out.select("name", F.col("best.first.entity").alias("entity"), F.col("best.distance").cast("long").alias("distance"))
-    return out if most is None else out.where(F.col("distance") <= most * F.length("name"))
+    left = settle(external.select("name").distinct().withColumn("norm", form(F.col("name"))), "names")
+    theirs = settle(entities.groupBy(form(F.col("entity")).alias("other")).agg(F.min(F.struct("ord", "entity")).alias("first")), "names")
+    best = lambda pairs: pairs.groupBy("name").agg(F.min(F.struct("distance", "first")).alias("best"))
+    out = []
+    for bound in BOUNDS:
+        out.append(settle(best(within(left, theirs, bound)), "nearest"))
+        left = settle(left.join(out[-1].select("name"), "name", "left_anti"), "names")
+        if left.isEmpty():
+            break
+    else:
+        out.append(best(left.crossJoin(theirs).withColumn("distance", F.levenshtein("norm", "other"))))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    found = found.select("name", F.col("best.first.entity").alias("entity"), F.col("best.distance").cast("long").alias("distance"))
+    return found if most is None else found.where(F.col("distance") <= most * F.length("name"))
 
 
 def match(external: DataFrame, entities: DataFrame, dictionary: DataFrame, once: bool = False) -> DataFrame:

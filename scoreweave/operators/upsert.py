@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import FED
+
 
 def _merged(existing: DataFrame, updates: DataFrame, keys: list[str], order: int) -> DataFrame:
     """The first existing observation of a key takes the update's score and source; a key without one gets a new observation."""
@@ -21,9 +23,9 @@ def _merged(existing: DataFrame, updates: DataFrame, keys: list[str], order: int
 
 def upsert_by_source(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Observations after an upsert keyed by entity, metric and source, with the action taken."""
-    return _merged(existing, updates, ["entity", "metric", "source"], 2_000_000)
+    return _merged(existing, updates, ["entity", "metric", "source"], FED)
 
 
 def upsert_by_metric(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """The same keyed by entity and metric: the first observation of a metric is replaced, whatever its source."""
-    return _merged(existing, updates, ["entity", "metric"], 2_000_000)
+    return _merged(existing, updates, ["entity", "metric"], FED)

@@ -317,6 +317,40 @@ def ranking_by_metric(spark, sf):
     return rank.by_metric(X.cells(spark, sf), "Brand#7").select("entity", _r("score"))
 
 
+def _composite(cells: str) -> str:
+    """CTEs up to the balanced composite over a CTE of cells."""
+    return COMPOSITE[len(CELLS) :].replace("FROM cells", f"FROM {cells}").replace("cells.metric", f"{cells}.metric")
+
+
+@_register(f"WITH {GRID}, {_bivariate('grid', 'f')}{_composite('f')} SELECT entity, composite, row_number() OVER (ORDER BY composite DESC, entity) AS rank FROM balanced")
+def ranking_imputed(spark, sf):
+    """A ranking with every cell filled: z-scores are over imputed cells, too."""
+    criteria = X.criteria(spark).where("metric_name = 'balanced'")
+    filled = impute.impute_bivariate(X.grid(spark, sf))
+    return rank.ranking(rank.composite_scores(filled, criteria).select("entity", _r("composite")))
+
+
+@_register("SELECT CAST(s_suppkey AS VARCHAR) AS entity, row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) AS place FROM supplier")
+def entity_order(spark, sf):
+    names = X.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("entity"))
+    return rank.name_places(names)
+
+
+@_register(f"""WITH {COMPOSITE}, {ENTITIES}, points AS (SELECT c.entity, e.company FROM cells c JOIN balanced b ON b.entity = c.entity JOIN ent e ON e.entity = c.entity WHERE metric = 'Brand#5')
+  SELECT entity, company, 'others hidden' AS shown FROM points WHERE company NOT IN ('FRANCE', 'CHINA', 'PERU') UNION ALL SELECT entity, company, 'alone' FROM points WHERE company = 'CANADA'""")
+def company_visibility(spark, sf):
+    points = rank.chart_points(X.cells(spark, sf), _balanced(spark, sf), "Brand#5").join(X.entities(spark, sf).select("entity", "company"), "entity").select("entity", "company")
+    some, one = rank.visible(points, hidden=["FRANCE", "CHINA", "PERU"]), rank.visible(points, isolated="CANADA")
+    return some.withColumn("shown", F.lit("others hidden")).unionByName(one.withColumn("shown", F.lit("alone")))
+
+
+@_register(f"""WITH {CELLS}, r AS (SELECT entity, metric, round(score, 6) AS score, round(std_dev, 6) AS std_dev FROM cells), told AS (
+  SELECT entity, metric, CAST(CAST(trunc(score) AS BIGINT) AS VARCHAR) || CASE WHEN std_dev <> 0 THEN '±' || CAST(CAST(round(2 * std_dev) AS BIGINT) AS VARCHAR) ELSE '' END AS text FROM r WHERE metric IN ('Brand#7', 'Brand#8'))
+  SELECT rpad(entity, 12, ' ') || ' ' || rpad(coalesce(max(text) FILTER (WHERE metric = 'Brand#7'), ''), 12, ' ') || ' ' || rpad(coalesce(max(text) FILTER (WHERE metric = 'Brand#8'), ''), 12, ' ') AS line FROM told GROUP BY entity""")
+def text_table(spark, sf):
+    return rank.text_table(X.cells(spark, sf).select("entity", "metric", _r("score"), _r("std_dev")), ["Brand#7", "Brand#8"])
+
+
 _LN = "ln(1 - CAST(0.99 AS DOUBLE) * CAST(0.99 AS DOUBLE))"
 _T = f"(2 / (3.141592653589793 * CAST(0.147 AS DOUBLE)) + {_LN} / 2)"
 _ERF = f"sqrt(sqrt({_T} * {_T} - {_LN} / CAST(0.147 AS DOUBLE)) - {_T})"
@@ -385,6 +419,22 @@ def capability_floor(spark, sf):
     return out.select("entity", "metric", "n", _r("score"))
 
 
+@_register(f"""WITH {OBS}, {_GAPS}, floors AS (SELECT entity, metric, random_score FROM gaps WHERE len(missing) > 0), every AS (
+  SELECT entity, metric, score FROM obs o WHERE NOT EXISTS (SELECT 1 FROM floors f WHERE f.entity = o.entity AND f.metric = o.metric) UNION ALL SELECT * FROM floors)
+  SELECT entity, metric, count(*) AS n, round(CASE WHEN count(*) > 1 THEN avg(score) ELSE max(score) END, 6) AS score FROM every GROUP BY entity, metric""")
+def capability_floor_replacing(spark, sf):
+    out = C.merge_cells(derive.with_capability_floor(X.observations(spark, sf), X.entities(spark, sf), X.requirements(spark), replace=True))
+    return out.select("entity", "metric", "n", _r("score"))
+
+
+@_register(f"WITH {ENTITIES} SELECT company AS entity, array_to_string(arg_max(input, ord) FILTER (WHERE input IS NOT NULL), ',') AS input, array_to_string(arg_max(output, ord) FILTER (WHERE input IS NOT NULL), ',') AS output FROM ent GROUP BY company")
+def capabilities_attached(spark, sf):
+    known = X.entities(spark, sf).select(F.col("company").alias("entity"), "capabilities", "ord")
+    out = derive.with_capabilities(known.select("entity", F.lit(None).alias("capabilities")).distinct(), known)
+    listed = lambda c: F.when(F.col("capabilities").isNotNull(), F.array_join(f"capabilities.{c}", ",")).alias(c)
+    return out.select("entity", listed("input"), listed("output"))
+
+
 @_register(f"""WITH {_RENAMED}, {_firsts(tokens=derive.TOKENS, speed=derive.SPEED, active=derive.ACTIVE)}, used AS (SELECT *, coalesce(speed, CAST(3.35e12 AS DOUBLE) / (active * 1e9 * 2)) AS used FROM firsts WHERE tokens IS NOT NULL)
   SELECT entity, 'Output speed' AS metric, round(used, 6) AS score, 'Estimated from Active Parameters and H100 SXM Memory Bandwidth' AS source FROM used WHERE speed IS NULL AND active IS NOT NULL
   UNION ALL SELECT entity, 'Completion Latency', round(tokens / CAST(7.3 AS DOUBLE) * 119 / used, 6), 'Calculated from ArtificialAnalysis Consumed Tokens and Active Parameters' FROM used WHERE used > 0""")
@@ -513,6 +563,14 @@ def match_summary(spark, sf):
     return resolve.summary(_matches(spark, sf))
 
 
+@_register(f"""WITH {_MATCH}, fields AS (SELECT p_name AS entity, arg_min(p_type, p_partkey) AS company, arg_min(p_brand, p_partkey) AS url, CAST(arg_min(p_size, p_partkey) AS VARCHAR) AS release_date FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name)
+  SELECT e.name, m.entity, f.company, f.url, f.release_date FROM ext e LEFT JOIN matched m ON m.name = e.name LEFT JOIN fields f ON f.entity = m.entity
+  WHERE NOT coalesce(m.entity IS NOT NULL AND (m.kind = 'dictionary' OR {_NORM.format('e.name')} = {_NORM.format('m.entity')}), false)""")
+def match_ambiguous(spark, sf):
+    part = X.table(spark, sf, "part").where("p_partkey % 2 = 0").groupBy(F.col("p_name").alias("entity")).agg(F.min_by(F.struct(F.col("p_type").alias("company"), F.col("p_brand").alias("url"), F.col("p_size").cast("string").alias("release_date")), "p_partkey").alias("f"))
+    return resolve.ambiguous_report(_matches(spark, sf), part.select("entity", "f.*")).select("name", "entity", "company", "url", "release_date")
+
+
 @_register("SELECT p_partkey, p_name FROM part WHERE p_name <> 'red bolt' AND NOT starts_with(p_name, 'small') AND NOT starts_with(p_name, 'old r')")
 def name_ignore_lists(spark, sf):
     names = X.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
@@ -617,21 +675,21 @@ def _mse(errors: DataFrame) -> DataFrame:
     return evaluate.mean_squared_error(errors).select("tests", _r("mse", 5), _r("rmse", 5))
 
 
-@_register(f"""WITH {_heldout(40)}, {_STATS}, hmeans AS (SELECT holdout, metric, coalesce(avg(score), 0) AS mean FROM hgrid GROUP BY holdout, metric),
+@_register(f"""WITH {_heldout(100)}, {_STATS}, hmeans AS (SELECT holdout, metric, coalesce(avg(score), 0) AS mean FROM hgrid GROUP BY holdout, metric),
   errors AS (SELECT (h.mean - s.mean) / s.sd - (p.truth - s.mean) / s.sd AS error FROM picked p JOIN hmeans h ON h.holdout = p.holdout AND h.metric = p.metric JOIN stats s ON s.metric = p.metric) {_MSE}""")
 def holdout_mse_mean(spark, sf):
     obs = X.observations(spark, sf)
-    return _mse(evaluate.evaluate(obs, evaluate.holdout_sample(obs, 40), impute.impute_mean, whole_cell=True))
+    return _mse(evaluate.evaluate_mean(obs, evaluate.holdout_sample(obs), whole_cell=True))
 
 
-@_register(f"""WITH {_heldout(8)}, {_STATS}, {_bivariate('hgrid', 'f', 'holdout, ')},
+@_register(f"""WITH {_heldout(100)}, {_STATS}, {_bivariate('hgrid', 'f', 'holdout, ')},
   errors AS (SELECT (f.score - s.mean) / s.sd - (p.truth - s.mean) / s.sd AS error FROM picked p JOIN f ON f.holdout = p.holdout AND f.entity = p.entity AND f.metric = p.metric JOIN stats s ON s.metric = p.metric) {_MSE}""")
 def holdout_mse_bivariate(spark, sf):
     obs = X.observations(spark, sf)
-    return _mse(evaluate.evaluate(obs, evaluate.holdout_sample(obs, 8), whole_cell=True))
+    return _mse(evaluate.evaluate_bivariate(obs, evaluate.holdout_sample(obs), whole_cell=True))
 
 
-# All 100 hold-outs of a sample. The two above keep the 40 and 8 of their SQL.
+# The same by refitting all of the matrix for each hold-out, which takes any imputer.
 
 
 @_register()
@@ -646,8 +704,15 @@ def holdout_mse_bivariate_all(spark, sf):
     return _mse(evaluate.evaluate(obs, evaluate.holdout_sample(obs), whole_cell=True))
 
 
-@_register()
+# One observation is held out, so a cell that has others stays known, and their mean is what is predicted for it.
+
+_LEFT = """lefts AS (SELECT p.holdout, avg(o.score) AS score FROM picked p JOIN obs o ON o.entity = p.entity AND o.metric = p.metric AND o.ord <> p.ord GROUP BY p.holdout)"""
+
+
+@_register(f"""WITH {_heldout(100)}, {_STATS}, {_LEFT}, {_bivariate('hgrid', 'f', 'holdout, ')},
+  errors AS (SELECT (coalesce(l.score, f.score) - s.mean) / s.sd - (p.truth - s.mean) / s.sd AS error
+    FROM picked p JOIN stats s ON s.metric = p.metric LEFT JOIN lefts l ON l.holdout = p.holdout LEFT JOIN f ON f.holdout = p.holdout AND f.entity = p.entity AND f.metric = p.metric
+    WHERE coalesce(l.score, f.score) IS NOT NULL) {_MSE}""")
 def holdout_mse_observation(spark, sf):
-    """The reference's form: one observation is held out, so a cell that has others stays known."""
     obs = X.observations(spark, sf)
-    return _mse(evaluate.evaluate(obs, evaluate.holdout_sample(obs)))
+    return _mse(evaluate.evaluate_bivariate(obs, evaluate.holdout_sample(obs)))

@@ -25,11 +25,15 @@ FEED_A = _struct(
         )
     )
 )
-FEED_B_ENTRY = _struct(rating=D, modelOrganization=S, ratingUpper=D, ratingLower=D, license=S, modelUrl=S)
+FEED_B_ENTRY = _struct(rating=D, modelOrganization=S, ratingUpper=D, ratingLower=D, license=S, modelUrl=S, modelName=S, modelId=S, arenaId=S, leaderboardId=S)
 FEED_B = MapType(S, MapType(S, FEED_B_ENTRY))
-FEED_B_RAW = ArrayType(_struct(modelDisplayName=S, rating=D, modelOrganization=S, ratingUpper=D, ratingLower=D, license=S, modelUrl=S))
+FEED_B_RAW = ArrayType(StructType([StructField("modelDisplayName", S), *FEED_B_ENTRY.fields]))
+PAGE_PARTS = _struct(arena=S, listed=S)
 COMPOSITES = ArrayType(_struct(name=S, criteria=ArrayType(_struct(bench=S, weight=D))))
 
+#: Bits of an entry's place in its entity, and of an entity's place in its file, in ord; observations that a feed adds come after them.
+ENTRY_BITS, PLACE_BITS, FED = 18, 22, 1 << 61
+
 OBSERVATIONS = _struct(entity=S, metric=S, score=D, std_dev=D, source=S, ord=L)
 ENTITIES = _struct(entity=S, company=S, url=S, release_date=S, capabilities=CAPABILITIES, ord=L)
 CELLS = _struct(entity=S, metric=S, score=D, std_dev=D, source=S, is_known=B)

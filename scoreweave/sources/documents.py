@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +34,20 @@ def read_models(spark: SparkSession, path: str, strict: bool = True) -> tuple[Da
     models = _exploded(documents)
     # Places are numbered by file name; files are as many as companies.
     files = models.select("file").distinct()
-    numbers = files.select("file", (F.row_number().over(_by("file")) * F.lit(1 << 20)).alias("file_ord"))
-    models = models.join(numbers, "file").withColumn("ord", (F.col("file_ord") + F.col("place")).cast("long"))
+    numbers = files.select("file", F.row_number().over(_by("file")).cast("long").alias("file_ord"))
+    models = models.join(numbers, "file").withColumn("ord", _packed(_packed(F.lit(0), "file_ord", 20), "place", schema.PLACE_BITS))
     entities = models.select(F.col("model.name").alias("entity"), "model.company", "model.url", "model.release_date", "model.capabilities", "ord")
     entries = models.select(F.col("model.name").alias("entity"), "ord", F.posexplode("model.benchmarks").alias("i", "b"))
-    obs = entries.select("entity", F.col("b.name").alias("metric"), "b.score", F.col("b.stdDev").alias("std_dev"), "b.source", (F.col("ord") * F.lit(1 << 16) + F.col("i")).alias("ord"))
+    obs = entries.select("entity", F.col("b.name").alias("metric"), "b.score", F.col("b.stdDev").alias("std_dev"), "b.source", _packed(F.col("ord"), "i", schema.ENTRY_BITS).alias("ord"))
     return entities, obs
 
 
+def _packed(high: Column, low: str, bits: int) -> Column:
+    """high and a number of so many bits as one number; a larger one stops the read, since orders would collide."""
+    fits = F.when(F.col(low) < (1 << bits), F.col(low).cast("long")).otherwise(F.raise_error(F.lit(f"more than 2**{bits} places: {low}")).cast("long"))
+    return high.cast("long") * F.lit(1 << bits) + fits
+
+
 def _by(column: str):
     from pyspark.sql import Window
 
@@ -63,6 +72,21 @@ def read_candidate_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(kind).json(path).select(F.posexplode("benchmarks").alias("ord", "b")).select(F.col("b.name").alias("name"), F.col("ord").cast("long").alias("ord"))
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(name, entity), as `resolve.match` takes a dictionary: from a JSON object of external names and ours, or a Parquet table."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select(F.col("name").cast("string"), F.col("entity").cast("string"))
+    told = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "entity"))
+    return told.where("entity is not null")
+
+
+def read_ignored(spark: SparkSession, path: str, column: str = "name") -> DataFrame:
+    """One column of names (or prefixes), as `resolve.not_ignored` takes them: from a JSON list of strings, or a text file of one a line."""
+    if path.endswith(".json"):
+        return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias(column)).where(f"`{column}` is not null")
+    return read_names(spark, path).select(F.col("name").alias(column))
+
+
 def read_feed_a(spark: SparkSession, path: str) -> DataFrame:
     """One row a model of feed A, as `flatten_feed_a` takes it."""
     rows = spark.read.option("multiLine", True).schema(schema.FEED_A).json(path).select(F.posexplode("data").alias("ord", "d"))
@@ -76,21 +100,60 @@ def read_feed_b(spark: SparkSession, path: str) -> DataFrame:
     return arenas.select("arena", F.explode("models").alias("name", "m")).select("arena", "name", "m.*")
 
 
-def parse_feed_b_page(page: DataFrame) -> DataFrame:
-    """The same from the page that carries feed B (column value): the arena's slug (`text` without one) and its list of entries,
-    without trailing commas. Entries need a display name and a rating; ratings are rounded half up."""
+#: A string, a bracket, a comma, or what stands between them.
+_PIECES = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]|,|[^"\[\]{},]+', re.S)
+
+
+def _balanced(text: str, start: int) -> list[str]:
+    """Pieces of the object or list that opens at text[start], to its end; commas before a closing bracket are left out."""
+    out: list[str] = []
+    depth = 0
+    for m in _PIECES.finditer(text, start):
+        piece = m.group()
+        if piece in "]}":
+            depth -= 1
+            while out and (out[-1] == "," or not out[-1].strip()):
+                out.pop()
+        depth += piece in "[{"
+        out.append(piece)
+        if not depth:
+            return out
+    return []
+
+
+def _member(text: str, holder: str, name: str, opens: str) -> str | None:
+    """JSON of the first member `name` within the first object called holder: a list if opens is [, a string if it is \"."""
+    for found in re.finditer(rf'"{holder}"\s*:\s*(?={{)', text):
+        pieces = _balanced(text, found.end())
+        for i, piece in enumerate(pieces[:-2]):
+            if piece == f'"{name}"' and pieces[i + 1].strip() == ":" and pieces[i + 2].startswith(opens):
+                return "".join(_balanced("".join(pieces[i + 2 :]), 0)) if opens == "[" else pieces[i + 2][1:-1]
+    return None
+
+
+@F.arrow_udf(schema.PAGE_PARTS)
+def _page_parts(pages: pa.Array) -> pa.Array:
+    told = [(_member(t or "", "arena", "slug", '"'), _member(t or "", "leaderboard", "entries", "[")) for t in pages.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())], ["arena", "listed"])
+
+
+def parse_feed_b_page(page: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """The same from the page that carries feed B (column value): the arena's slug (`text` without one) and its list of entries, found by
+    balanced brackets. Entries need a display name and a rating; ratings are rounded half up. saved: a page to read where this one has no entries."""
     from ..functions.numbers import half_up
 
-    text = F.col("value")
-    arena = F.regexp_extract(text, r'(?s)"arena"\s*:\s*\{.*?"slug"\s*:\s*"([^"]+)".*?\}', 1)
-    listed = F.regexp_extract(text, r'(?s)"leaderboard"\s*:\s*\{.*?"entries"\s*:\s*(\[.*?\]).*?\}', 1)
-    clean = F.regexp_replace(F.regexp_replace(listed, r",\s*\}", "}"), r",\s*\]", "]")
-    rows = page.select(F.when(arena == "", "text").otherwise(arena).alias("arena"), F.explode(F.from_json(clean, schema.FEED_B_RAW)).alias("e"))
+    parts = lambda df: df.select(_page_parts(F.col("value")).alias("p")).select("p.arena", F.from_json("p.listed", schema.FEED_B_RAW).alias("listed")).where(F.size("listed") > 0)
+    told = parts(page)
+    if saved is not None:
+        there = told.select(F.lit(1).alias("one")).limit(1)
+        told = told.unionByName(parts(saved).withColumn("one", F.lit(1)).join(there, "one", "left_anti").drop("one"))
+    rows = told.select(F.coalesce(F.nullif("arena", F.lit("")), F.lit("text")).alias("arena"), F.explode("listed").alias("e"))
     rows = rows.where("e.modelDisplayName is not null and e.modelDisplayName <> '' and e.rating is not null")
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     return rows.select(
         "arena", F.col("e.modelDisplayName").alias("name"), half_up(F.col("e.rating")).alias("rating"), empty("e.modelOrganization").alias("modelOrganization"),
         half_up(F.col("e.ratingUpper")).alias("ratingUpper"), half_up(F.col("e.ratingLower")).alias("ratingLower"), empty("e.license").alias("license"), empty("e.modelUrl").alias("modelUrl"),
+        *[F.nullif(f"e.{c}", F.lit("")).alias(c) for c in ("modelName", "modelId", "arenaId", "leaderboardId")],
     )
 
 

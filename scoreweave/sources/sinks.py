@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import slug
@@ -56,3 +56,25 @@ def write_composites(criteria: DataFrame, path: str, defaults: list[str] = ()) -
     own = criteria.where(~F.col("metric_name").isin(list(defaults))) if defaults else criteria
     out = own.groupBy("metric_name").agg(F.collect_list(F.struct("bench", "weight")).alias("criteria")).select(F.col("metric_name").alias("name"), "criteria")
     out.write.mode("overwrite").json(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()), held
+
+
+def clear_composites(spark: SparkSession, path: str) -> bool:
+    """Remove stored composite metrics; whether there were any."""
+    system, held = _folder(spark, path)
+    return bool(system.delete(held, True))
+
+
+def composites_info(spark: SparkSession, path: str) -> DataFrame:
+    """One row: whether there are stored composite metrics, their size in bytes, and how many there are."""
+    system, held = _folder(spark, path)
+    kind = "is_there boolean, size long, metrics long"
+    if not system.exists(held):
+        return spark.createDataFrame([(False, 0, 0)], kind)
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size"))
+    count = spark.read.schema("name string").json(path).agg(F.count(F.lit(1)).alias("metrics"))
+    return size.crossJoin(count).select((F.col("size") > 0).alias("is_there"), "size", "metrics")  # a row each

@@ -156,6 +156,30 @@ def test_regressions():
     assert model.beta[1, [0, 2]] == pytest.approx(want, abs=1e-8)
 
 
+@pytest.mark.parametrize("kind", ["full", "constant", "copy", "sum", "few"])
+def test_regressions_are_least_squares_of_each_metric(kind):
+    rng = np.random.default_rng(8)
+    s = rng.normal(size=(5 if kind == "few" else 40, 6)) * [1, 10, 0.1, 3, 5, 2] + [0, 5, 1, 0, 100, 2]
+    if kind == "constant":
+        s[:, 2] = 4
+    if kind == "copy":
+        s[:, 4] = s[:, 1]
+    if kind == "sum":
+        s[:, 5] = s[:, 0] - 2 * s[:, 3] + 1
+    x = np.hstack([s, np.ones((len(s), 1))])
+    model = V.Regressions(x.T @ x, len(s))
+    guess, sd = model.predict(x)
+    free = len(s) - 6
+    for k in range(6):
+        rest = [i for i in range(7) if i != k]
+        found = np.linalg.lstsq(x[:, rest], x[:, k], rcond=None)[0]
+        want = x[:, rest] @ found
+        assert guess[:, k] == pytest.approx(want, rel=1e-5, abs=1e-5)
+        sigma2 = ((x[:, k] - want) ** 2).sum() / free if free > 0 else 0.0
+        spread = sigma2 * (1 + np.einsum("ij,jk,ik->i", x[:, rest], np.linalg.pinv(x[:, rest].T @ x[:, rest]), x[:, rest]))
+        assert sd[:, k] ** 2 == pytest.approx(spread, rel=1e-4, abs=1e-6)
+
+
 def test_stats_and_names(spark):
     obs = frame(spark, [("a", "m", 1), ("b", "m", 1), ("a", "n", 2), ("b", "n", 4), ("a", "", 9)])
     raw = {r.metric: (r.mean, r.std_dev) for r in C.raw_stats(obs).collect()}

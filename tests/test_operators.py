@@ -1,6 +1,7 @@
 """Derivations, resolution, upserts, rankings and hold-outs."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,38 @@ def test_suggestions(spark):
     assert {(r.closest, r.distance) for r in got} == {("", None)}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_nearest_names_match_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    ours = sorted({word(rng.randint(0, 14)) for _ in range(60)})
+    names = {word(rng.randint(0, 16)) for _ in range(60)} | {"", "zzzzzzzzzzzzzzzzzzzz"}
+    for x in rng.sample(ours, 20):  # near ones
+        y = list(x)
+        for _ in range(rng.randint(1, 7)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z", "c"])
+        names.add("".join(y))
+    rng.shuffle(ours)
+    ext = spark.createDataFrame([(n, i) for i, n in enumerate(sorted(names))], "name string, ord long")
+    ent = spark.createDataFrame([(n, i) for i, n in enumerate(ours)], "entity string, ord long")
+    got = {r.name: (r.distance, r.entity) for r in S.nearest(ext, ent, normalized=False).collect()}
+    want = {n: min((edits(n, o), i, o) for i, o in enumerate(ours)) for n in names}
+    assert got == {n: (d, o) for n, (d, _, o) in want.items()}
+    for bound in (1, 2, 3, 6):
+        rows = S.within(ext.withColumn("norm", F.col("name")), ent.select(F.col("entity").alias("other"), F.col("entity").alias("first")), bound).distinct().collect()
+        assert {(r.name, r.first): r.distance for r in rows} == {(n, o): d for n in names for o in ours if (d := edits(n, o)) <= bound}
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("a", "m", 1.0, 0.5, "s", 0), ("a", "m", 2.0, None, "t", 1), ("a", "n", 3.0, None, "s", 2)], OBS)
     new = spark.createDataFrame([("a", "m", 9.0, "t", 0), ("a", "n", 3.0, "s", 1), ("b", "m", 4.0, "t", 2)], "entity string, metric string, score double, source string, ord long")
@@ -179,3 +212,36 @@ def test_hold_outs(spark):
     assert got.tests == 4 and got.mse < 1e-6  # the metrics are exact lines of each other
     worse = E.mean_squared_error(E.evaluate(rows, sample, I.impute_mean)).first()
     assert worse.mse > got.mse
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_one_fit_serves_all_hold_outs(spark, whole):
+    rng = random.Random(3)
+    rows = [(f"e{i}", m, rng.gauss(0, 1) + k * i * 0.1) for i in range(12) for k, m in enumerate("ABCDE") if rng.random() < 0.7]
+    rows += [(e, m, s + 1) for e, m, s in rng.sample(rows, 8)] + [("alone", "A", 1.0), ("e1", "rare", 2.0), ("e2", "rare", 3.0), ("e3", "flat", 1.0), ("e4", "flat", 1.0)]
+    table = obs(spark, *rows)
+    sample = E.holdout_sample(table, 60)
+    key = lambda df: {r.holdout: (r.predicted, r.error) for r in df.collect()}
+    for quick, impute in ((E.evaluate_mean, I.impute_mean), (E.evaluate_bivariate, I.impute_bivariate)):
+        got, want = key(quick(table, sample, whole)), key(E.evaluate(table, sample, impute, whole))
+        assert set(got) == set(want) and len(want) > 30
+        for k in want:
+            assert got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-9)
+
+
+def test_reports_and_lists(spark, tmp_path):
+    from scoreweave.sources import sinks
+
+    ours = spark.createDataFrame([("A B", "c", "u", "2024", 0), ("other", "d", "v", "2023", 1)], "entity string, company string, url string, release_date string, ord long")
+    ext = spark.createDataFrame([("a-b", 0), ("othr", 1)], "name string, ord long")
+    matches = S.match(ext, ours.select("entity", "ord"), spark.createDataFrame([], "name string, entity string"))
+    report = S.ambiguous_report(matches, ours)
+    assert [(r.name, r.entity, r.company) for r in report.collect()] == [("othr", "other", "d")]
+    sinks.write_report(report, str(tmp_path / "r"))
+    assert [r.url for r in spark.read.json(str(tmp_path / "r")).collect()] == ["v"]
+    caps = spark.createDataFrame([("x", (["a"], []), 0), ("x", (["b"], []), 1), ("x", None, 2)], "entity string, capabilities struct<input: array<string>, output: array<string>>, ord long")
+    assert D.with_capabilities(spark.createDataFrame([("x", 1), ("y", 2)], "entity string, capabilities int"), caps).orderBy("entity").collect()[0].capabilities.input == ["b"]
+    assert [r.entity for r in R.by_name(spark.createDataFrame([("b",), ("A",), ("a",)], "entity string")).collect()] == ["a", "A", "b"]
+    points = spark.createDataFrame([("a", "x"), ("b", "y")], "entity string, company string")
+    assert [r.entity for r in R.visible(points, hidden=["x"]).collect()] == ["b"] and [r.entity for r in R.visible(points, isolated="x").collect()] == ["a"]
+    assert R.visible(points).count() == 2

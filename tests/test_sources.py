@@ -55,6 +55,43 @@ def test_frame(spark, folder, tmp_path):
     assert spark.read.json(str(tmp_path / "doc")).count() == out.count()
 
 
+def test_derived_observations_come_after_those_read(spark, tmp_path):
+    from scoreweave.operators import derive, upsert
+
+    (tmp_path / "a.json").write_text(json.dumps({"models": [model("m", ("B", 75), (derive.SIZE, 10), (derive.SIZE, 20))]}))
+    rules = spark.createDataFrame([("B", 25.0, (["image"], []))], "metric string, random_score double, capabilities struct<input: array<string>, output: array<string>>")
+    frame = ScoreFrame.read(spark, str(tmp_path))
+    told = {r.metric: r for r in frame.derive(rules).merge().cells.collect()}
+    assert told["B"].source == "Multiple: Score 75 at s; Score 25 at Missing capability: input:image"
+    assert told[derive.RELEASE_SIZE].score == pytest.approx(2024.4972677595628 * 2.302585092994046)  # the first size
+    alone = {r.metric: r for r in frame.derive(rules, floor_replaces=True).merge().cells.collect()}
+    assert (alone["B"].score, alone["B"].source) == (25.0, "Missing capability: input:image")
+    # What a feed adds stands between what was read and what is derived.
+    new = spark.createDataFrame([("m", "B", 5.0, "feed", 0)], "entity string, metric string, score double, source string, ord long")
+    fed = upsert.upsert_by_source(frame.observations, new).drop("action")
+    told = {r.metric: r for r in ScoreFrame(fed, frame.entities).derive(rules).merge().cells.collect()}
+    assert told["B"].source == "Multiple: Score 75 at s; Score 5 at feed; Score 25 at Missing capability: input:image"
+
+
+def test_orders_that_don_t_fit_stop_the_read(spark, folder, monkeypatch):
+    monkeypatch.setattr(schema, "ENTRY_BITS", 0)
+    with pytest.raises(Exception, match="more than 2"):
+        S.read_models(spark, str(folder))[1].collect()
+
+
+def test_filters_leave_statistics(spark):
+    obs = spark.createDataFrame([("a", "x", 1.0, None, "s", 0), ("b", "x", 2.0, None, "s", 1), ("c", "x", 9.0, None, "s", 2)], schema.OBSERVATIONS)
+    entities = spark.createDataFrame([(e, "c", "u", "2024-01-01", None, i) for i, e in enumerate("abc")], schema.ENTITIES)
+    criteria = CompositeMetric("t", {"x": 1.0}).frame(spark)
+    frame = ScoreFrame(obs, entities).merge()
+    every = {r.entity: r.composite for r in frame.composite(criteria).collect()}
+    some = frame.filter("x", 5.0)
+    assert {r.entity: r.composite for r in some.composite(criteria).collect()} == {e: every[e] for e in "ab"}
+    assert every["a"] == pytest.approx(-0.8429272, abs=1e-6) and every["b"] == pytest.approx(-0.5619515, abs=1e-6)
+    assert [r.entity for r in some.rank(criteria).orderBy("rank").collect()] == ["b", "a"]
+    assert [r.entity for r in some.filter("x", 1.5, below=False).rank(criteria).collect()] == ["b"]
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "names.txt").write_text("MMLU\n\n  GPQA \n \n")
     assert [(r.name) for r in S.read_names(spark, str(tmp_path / "names.txt")).orderBy("ord").collect()] == ["MMLU", "  GPQA "]
@@ -80,6 +117,15 @@ def test_feed_b(spark, tmp_path):
     assert [(r.arena, r.name, r.rating, r.license) for r in got] == [("vision", "m", 11.0, "l")]
     none = S.parse_feed_b_page(spark.createDataFrame([('"leaderboard": {"entries": [{"modelDisplayName": "m", "rating": 1}]}',)], "value string")).collect()
     assert [r.arena for r in none] == ["text"]
+    # Brackets in texts and lists in entries don't end the list; fields that a page may carry come along; a saved page stands in.
+    deep = '"leaderboard": {"data": {"entries": [{"modelDisplayName": "a ] \\" }", "rating": 1, "tags": [1, [2]], "modelId": "7"}, {"modelDisplayName": "b", "rating": 2}]}}'
+    page = spark.createDataFrame([(deep,)], "value string")
+    assert [(r.name, r.rating, r.modelId) for r in S.parse_feed_b_page(page).collect()] == [('a ] " }', 1.0, "7"), ("b", 2.0, None)]
+    for empty in ("nothing", '"leaderboard": {"entries": []}', '"leaderboard": {"entries": [{"modelDisplayName": "x", "rating": 1}', None):
+        told = spark.createDataFrame([(empty,)], "value string")
+        assert S.parse_feed_b_page(told).count() == 0
+        assert [r.name for r in S.parse_feed_b_page(told, saved=page).collect()] == ['a ] " }', "b"]
+    assert [r.rating for r in S.parse_feed_b_page(page, saved=spark.createDataFrame([('"leaderboard": {"entries": [{"modelDisplayName": "m", "rating": 9}]}',)], "value string")).collect()] == [1.0, 2.0]
 
 
 def test_composites(spark, tmp_path):
@@ -91,6 +137,22 @@ def test_composites(spark, tmp_path):
     assert S.read_composites(spark, str(tmp_path / "bad.json")).count() == 0
     sinks.write_composites(rows.drop("ord").unionByName(spark.createDataFrame([("default", "y", 1.0)], "metric_name string, bench string, weight double")), str(tmp_path / "out"), ["default"])
     assert [r.name for r in spark.read.json(str(tmp_path / "out")).collect()] == ["mine"]
+    info = sinks.composites_info(spark, str(tmp_path / "out")).first()
+    assert info.is_there and info.size > 20 and info.metrics == 1
+    assert sinks.clear_composites(spark, str(tmp_path / "out")) and not sinks.clear_composites(spark, str(tmp_path / "out"))
+    assert tuple(sinks.composites_info(spark, str(tmp_path / "out")).first()) == (False, 0, 0)
+
+
+def test_dictionaries_and_ignore_lists(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"Their Name": "Our Name", "none": None}))
+    told = S.read_dictionary(spark, str(tmp_path / "d.json"))
+    assert [tuple(r) for r in told.collect()] == [("Their Name", "Our Name")]
+    told.write.parquet(str(tmp_path / "d.parquet"))
+    assert S.read_dictionary(spark, str(tmp_path / "d.parquet")).collect() == told.collect()
+    (tmp_path / "i.json").write_text('["a", "b"]')
+    (tmp_path / "i.txt").write_text("a\n\nb\n")
+    for name in ("i.json", "i.txt"):
+        assert sorted(r.prefix for r in S.read_ignored(spark, str(tmp_path / name), "prefix").collect()) == ["a", "b"]
 
 
 def test_nested_has_no_odd_numbers(spark):
