@@ -7,7 +7,7 @@ the symbol in its class follows counts over all training texts. That gives a wor
 the word's own count over all training texts (the base). The score mixes both:
 p(word) = SHARE * base(word) + (1 - SHARE) * spelling(word | symbols before).
 
-Texts are spelled once, to a table of symbols that all steps read: spellings tell words apart, so words are counted by them, too.
+Texts are spelled once, to a table of symbols that all steps read, with the counts of words and symbols; spellings tell words apart.
 
 Scoring. A text's symbols are cut into windows that overlap by half; each symbol is scored once, in the window where it has at least
 half a window of context, and windows of many texts are scored in one batch under one mask.
@@ -45,6 +45,7 @@ ALONE, MANY = 128, 64
 LEAVES = 16
 SUPERS = (ALONE + MANY) // LEAVES
 SHARE = 0.5
+LN10 = float(np.log(10))
 #: Rate of each round; windows a step; windows of a group, and most groups of a round.
 RATES, BATCH, GROUP, MOST_GROUPS = (0.02, 0.01, 0.005), 128, 19_200, 4096
 KNOWN = 1 << 20
@@ -129,33 +130,75 @@ def speller(path: str) -> Speller:
 # Symbols
 
 
-def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts, each text's followed by the end: (offsets by text, symbols)."""
-    offsets, spelled = coder.recall(words.listed())
-    offsets, spelled = np.append(offsets, len(spelled) + 1), np.append(spelled, coder.end)
+def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of texts, each text's followed by the end: (offsets by text, symbols); and of their distinct words: (offsets, symbols)."""
+    cuts, each_word = coder.recall(words.listed())
+    offsets, spelled = np.append(cuts, len(each_word) + 1), np.append(each_word, coder.end)
     ids = np.insert(words.ids, words.offsets[1:], len(words.vocab))
     each = np.diff(offsets)[ids]
     ends = np.cumsum(each)
     at = np.repeat(offsets[ids] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-    return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at]
+    return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at], cuts, each_word
+
+
+#: Rows of a symbol table: counts of words by hash, of symbols, of texts; and texts.
+WORD_COUNT, SYMBOL_COUNT, TEXT_COUNT, TEXT = range(4)
 
 
 def symbol_table(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, held_out, key, n, s) for each row of docs (doc_id, held_out, key, text): number of symbols, and symbols as int32."""
+    """(kind, doc_id, held_out, key, n, s) of rows (doc_id, held_out, key, text). A TEXT is a row of docs with its number of symbols and the
+    symbols, as int32. Others count training texts in parts: a word's hash, or a symbol, as key, and how often as n."""
+    kind = docs.schema["doc_id"].dataType
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = speller(path)
+        symbols_seen, texts, id_type = np.zeros(mine.n_symbols, np.int64), 0, None
+        names = ["kind", "doc_id", "held_out", "key", "n", "s"]
+
+        def counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.nulls(len(keys), id_type), pa.nulls(len(keys), pa.bool_()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary())], names)
+
         for part in steps(batches, limit=SPELL_BYTES, room=ROOM):
-            offsets, symbols = spelled_out(Words(part.column("text"), lower=True), mine)
+            words = Words(part.column("text"), lower=True)
+            offsets, symbols, cuts, each_word = spelled_out(words, mine)
+            learned = ~part.column("held_out").to_numpy(zero_copy_only=False)
+            texts += int(learned.sum())
+            id_type = part.column("doc_id").type
+            n = np.bincount(words.ids[learned[words.rows()]], minlength=len(words.vocab))
+            symbols_seen += np.bincount(each_word, weights=np.repeat(n, np.diff(cuts)), minlength=mine.n_symbols).astype(np.int64)
+            seen = n > 0
+            if seen.any():
+                yield counted(WORD_COUNT, spelling_hashes(each_word, cuts[:-1], np.diff(cuts), mine.end)[seen], n[seen])
             held = symbols.astype(np.int32)
             for at in range(0, part.num_rows, 1000):  # small batches for the JVM
-                cuts = offsets[at : at + 1001]
-                s = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * 4), pa.py_buffer(held)])
+                ends = offsets[at : at + 1001]
+                s = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(held)])
                 own = part.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(cuts), pa.int64()), s.cast(pa.binary())], ["doc_id", "held_out", "key", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, TEXT, np.int8)), own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(ends), pa.int64()), s.cast(pa.binary())], names)
+        if id_type is not None:
+            symbols_seen[mine.end] = texts
+            seen = np.nonzero(symbols_seen)[0]
+            yield counted(SYMBOL_COUNT, seen, symbols_seen[seen])
+            yield counted(TEXT_COUNT, np.zeros(1, np.int64), np.array([texts]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"doc_id {kind}, held_out boolean, key long, n long, s binary")
+    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"kind byte, doc_id {kind.simpleString()}, held_out boolean, key long, n long, s binary")
+
+
+def spelling_hashes(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """64 bits of each word's spelling (stretches that follow each other): a polynomial of its symbols' values, and its length."""
+    global _values
+    if len(_values) <= end:
+        _values = mix64(np.arange(1, end + 2, dtype=np.uint64))
+    if not len(symbols):
+        return np.zeros(len(starts), np.uint64)
+    powers = np.full(int(sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    told = _values[symbols] * powers[np.arange(len(symbols)) - np.repeat(starts, sizes)]
+    return mix64(np.add.reduceat(told, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_values = np.zeros(0, np.uint64)
 
 
 def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,52 +211,18 @@ def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Tokens of texts by their symbols. ends: where each stops; hashes: 64 bits of each word's spelling (a polynomial of its symbols' values, and
-    its length); is_end: the texts' ends; rows: the text of each."""
-
-    values: np.ndarray = np.zeros(0, np.uint64)
+    """Tokens of texts by their symbols. ends: where each stops; hashes: those of their spelling; is_end: the texts' ends; rows: the text
+    of each."""
 
     def __init__(self, offsets: np.ndarray, symbols: np.ndarray, end: int) -> None:
-        if len(Tokens.values) <= end:
-            Tokens.values = mix64(np.arange(1, end + 2, dtype=np.uint64))
         self.ends = np.nonzero((symbols & 1 == 1) | (symbols == end))[0] + 1
         self.starts = np.concatenate([np.zeros(min(1, len(self.ends)), np.int64), self.ends[:-1]])
         self.is_end = symbols[self.ends - 1] == end
-        sizes = self.ends - self.starts
-        powers = np.full(int(sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        told = Tokens.values[symbols] * powers[np.arange(len(symbols)) - np.repeat(self.starts, sizes)]
-        sums = np.add.reduceat(told, self.starts) if len(symbols) else told
-        self.hashes = mix64(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hashes = spelling_hashes(symbols, self.starts, self.ends - self.starts, end)
         self.counts = np.diff(np.searchsorted(self.ends, offsets, "right"))
         self.rows = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
 
-# Counts
-
-
-def _counts(table: DataFrame, end: int) -> DataFrame:
-    """(kind, h, c) over training rows of a symbol table: kind 0 words by hash, 1 symbols, 2 texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, texts = np.zeros(end + 1, np.int64), 0
-        emit = lambda kind, h, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
-        for part in steps(batches, "s", limit=2 * SPELL_BYTES, room=ROOM):
-            offsets, held = symbols_of(part.column("s"))
-            texts += part.num_rows
-            symbols += np.bincount(held, minlength=end + 1)
-            tokens = Tokens(offsets, held, end)
-            hashes, n = np.unique(tokens.hashes[~tokens.is_end], return_counts=True)
-            if len(hashes):
-                yield emit(0, hashes.view(np.int64), n.astype(np.int64))
-        seen = np.nonzero(symbols)[0]
-        yield emit(1, seen.astype(np.int64), symbols[seen])
-        yield emit(2, np.zeros(1, np.int64), np.array([texts], np.int64))
-
-    return table.select("s").mapInArrow(count, "kind byte, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
-
-
 # The model
 
 
@@ -479,7 +488,7 @@ def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES
                 g = (deal[k] // np.uint64(slices) % np.uint64(groups)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(deal[k].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "deal", "w"])
 
-    return table.select("key", "s").mapInArrow(pick, "g int, deal long, w binary")
+    return table.where(f"kind = {TEXT} and not held_out").select("key", "s").mapInArrow(pick, "g int, deal long, w binary")
 
 
 def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -539,9 +548,9 @@ def _round(windows: DataFrame, groups: int, flat: np.ndarray, rate: float) -> np
 
 
 def fit(table: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, Layout]:
-    """Weights and layout from a symbol table of training texts: a round on classes by count; then classes by likeness of the vectors
+    """Weights and layout from a symbol table's training texts: a round on classes by count; then classes by likeness of the vectors
     learned, and a round for each rate left. Every window is in one round."""
-    n = table.agg(F.coalesce(F.sum(F.ceil(F.col("n") / WINDOW)), F.lit(0))).first()[0]
+    n = table.where(f"kind = {TEXT} and not held_out").agg(F.coalesce(F.sum(F.ceil(F.col("n") / WINDOW)), F.lit(0))).first()[0]
     groups = int(min(MOST_GROUPS, max(1, -(-n // (len(RATES) * GROUP)))))
     layout = Layout(counts, starts)
     flat = initial(layout)
@@ -573,38 +582,39 @@ class Scorer:
         n = np.diff(offsets)
         blocks = -(-n // HALF)
         first = np.concatenate([[0], np.cumsum(blocks + 1)])  # a text has a masked half window before it
-        rows = np.repeat(np.arange(len(n)), n)
-        place = (first[rows] + 1) * HALF + np.arange(len(symbols)) - offsets[rows]
-        x = np.full(first[-1] * HALF, self.layout.start, np.int64)
-        inside = np.ones(len(symbols), bool)
-        inside[offsets[1:] - 1] = False
-        x[place[inside] + 1] = self.layout.vector[symbols[inside]]  # a symbol is scored from those before it
+        place = np.arange(len(symbols)) + np.repeat((first[:-1] + 1) * HALF - offsets[:-1], n)
+        x = np.full(first[-1] * HALF + 1, self.layout.start, np.int64)
+        x[place + 1] = self.layout.vector[symbols]  # a symbol is scored from those before it
+        x[place[offsets[1:] - 1] + 1] = self.layout.start  # nothing comes after an end
+        x = x[:-1]
         target = np.zeros(len(x), np.int64)
         target[place] = self.layout.group[symbols]
-        heads = np.ones(first[-1], bool)
-        heads[first[:-1]] = False
-        heads = np.nonzero(heads)[0]  # blocks that are scored, each with the block before it
-        fresh = np.zeros(first[-1], bool)
-        fresh[first[:-1] + 1] = True
-        x, target, out = x.reshape(-1, HALF), target.reshape(-1, HALF), np.empty(x.shape, np.float32).reshape(-1, HALF)
+        fresh = np.zeros(first[-1], bool)  # blocks that see nothing of the block before: a text's first, and its masked ones
+        fresh[first[:-1]] = fresh[first[:-1] + 1] = True
+        x, target, out = x.reshape(-1, HALF), target.reshape(-1, HALF), np.zeros(x.shape, np.float32).reshape(-1, HALF)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            for at in range(0, len(heads), batch):
-                block = heads[at : at + batch]
-                found = self._batch(x[block - 1], x[block], target[block], fresh[block], False)
+            for at in range(1, len(x), batch):
+                block = slice(at, min(len(x), at + batch))
+                found = self._batch(x[at - 1 : block.stop], target[block], fresh[block], False)
                 if not np.isfinite(found).all():  # too large for exp as it stands
-                    found = self._batch(x[block - 1], x[block], target[block], fresh[block], True)
+                    found = self._batch(x[at - 1 : block.stop], target[block], fresh[block], True)
                 out[block] = found
         return (out.ravel()[place] + self.layout.inside[symbols]) / np.float32(np.log(10))
 
-    def _batch(self, before: np.ndarray, own: np.ndarray, target: np.ndarray, fresh: np.ndarray, careful: bool) -> np.ndarray:
-        whole = np.concatenate([before, own], 1)
-        a = self.q[own] @ self.k[whole].transpose(0, 2, 1)
+    def _batch(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, careful: bool) -> np.ndarray:
+        """Scores of all blocks of x but the first, each of which sees the one before."""
+        own = x[1:]
+
+        def pairs(t: np.ndarray) -> np.ndarray:  # each block with the one before, without a copy
+            return np.lib.stride_tricks.as_strided(t, (len(own), WINDOW, t.shape[2]), (HALF * t.strides[1], t.strides[1], t.strides[2]))
+
+        a = self.q[own] @ pairs(self.k[x]).transpose(0, 2, 1)
         a += self.bias
         if careful:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a[fresh, :, :HALF] = 0
-        seen = a @ self.v[whole]
+        seen = a @ pairs(self.v[x])
         h = (self.e[own] + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH)
         order, cuts = by_kind(target.ravel())
         h, of, at = with_one(h[order]), target.ravel()[order], np.arange(len(h))
@@ -665,16 +675,16 @@ class Model:
 
     def __init__(self, table: DataFrame, path: str) -> None:
         """table: symbol_table of all documents."""
-        mine, seen = speller(path), table.where(~F.col("held_out"))
-        counts = settle(_counts(seen, mine.end), "lm-counts")
-        self.words = counts.where("kind = 0").select("h", "c")
+        mine = speller(path)
+        counts = settle(table.where(f"kind <> {TEXT}").groupBy("kind", F.col("key").alias("h")).agg(F.sum("n").alias("c")), "lm-counts")
+        self.words = counts.where(f"kind = {WORD_COUNT}").select("h", "c")
         told = self.words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-        self.texts = int(counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        self.texts = int(counts.where(f"kind = {TEXT_COUNT}").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
         self.v, self.n = told.v + (self.texts > 0), told.n + self.texts
         of = np.zeros(mine.n_symbols, np.int64)
-        for r in counts.where("kind = 1").select("h", "c").collect():  # symbols of the vocabulary at most
+        for r in counts.where(f"kind = {SYMBOL_COUNT}").select("h", "c").collect():  # symbols of the vocabulary at most
             of[r.h] = r.c
-        self.flat, self.layout = fit(seen, of, mine.starts)
+        self.flat, self.layout = fit(table, of, mine.starts)
 
     @property
     def below(self) -> float:
@@ -712,11 +722,11 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
             c[tokens.is_end] = texts  # the end is a token, too
             here, of = c >= 0, tokens.rows
             base = (np.maximum(c, 0) + 0.5) / below
-            both = np.log10(share * base + (1 - share) * 10.0 ** np.maximum(word_logs, -300))
+            both = np.log(share * base + (1 - share) * np.exp(np.maximum(word_logs, -300) * LN10)) / LN10
             add = lambda x: np.bincount(of[here], weights=x[here], minlength=n_rows)
             none = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("doc_id"), part.column("held_out"), part.column("key"), none(n_rows, pa.float32()), pa.array(tokens.counts, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(add(np.log10(base))), pa.array(add(both))],
+                [part.column("key"), part.column("doc_id"), part.column("held_out"), part.column("key"), none(n_rows, pa.float32()), pa.array(tokens.counts, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(add(np.log(base) / LN10)), pa.array(add(both))],
                 names=columns_of,
             )
             rare = np.nonzero(~here)[0]
@@ -728,7 +738,7 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
                 )
 
     columns_of = [c.strip().split(" ")[0] for c in columns.split(",")]
-    out = table.select("doc_id", "held_out", "key", "s").mapInArrow(run, columns).withColumn("rare", F.col("spelled").isNotNull())
+    out = table.where(f"kind = {TEXT}").select("doc_id", "held_out", "key", "s").mapInArrow(run, columns).withColumn("rare", F.col("spelled").isNotNull())
     out = out.join(words.withColumn("rare", F.lit(True)), ["h", "rare"], "left")
     base = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.below)
     both = F.log10(F.lit(share) * base + F.lit(1 - share) * F.pow(F.lit(10.0), F.greatest(F.col("spelled"), F.lit(-300.0)).cast("double")))

@@ -33,6 +33,32 @@ def test_tokens_match_the_library(spark, frame, odd, prose):
     assert [r.over_limit for r in got] == [n > 512 for n in want]
 
 
+def test_tokens_beside_other_columns_and_repeated_rows(frame):
+    rows = frame([(1, "some words here")] * 3).withColumn("n_tokens", F.lit("clash")).withColumn("n_bytes", F.lit(0))
+    got = tokens.count_tokens(rows, queries.vocabulary())
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and {(r.n_bytes, r.n_tokens) for r in got.collect()} == {(15, 3)} and got.count() == 3
+
+
+def test_texts_beyond_a_step_are_whole(spark, frame, prose):
+    """A text longer than what one vectorised step takes, between short ones."""
+    from tokenizers import Tokenizer
+
+    from scoreweave.llm.shared import STEP_BYTES
+
+    rng = random.Random(4)
+    lines = [prose(i, 200) for i in range(40)]
+    long = "\n".join(rng.choice(lines) for _ in range(1 + int(1.3 * STEP_BYTES / 1000)))
+    assert len(long) > STEP_BYTES
+    rows = frame([prose(90, 50), long, prose(91, 50)])
+    got = {r.doc_id: r for r in quality.judge(rows).collect()}
+    assert (got[1].n_words, got[1].word_chars, got[1].n_symbols, got[1].n_dup_lines, got[1].n_repeat_words) == brute_quality(long)
+    counted = {r.doc_id: r.n_tokens for r in tokens.count_tokens(rows, queries.vocabulary()).collect()}
+    assert counted[1] == len(Tokenizer.from_file(queries.vocabulary()).encode(long, add_special_tokens=False).ids)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(rows.withColumn("lang", F.lit("aa"))).collect()}[1] == "aa"
+    scored = {r.doc_id: r.n_tokens for r in lm.score(rows, queries.vocabulary("byte_bpe_50k.tiktoken")).collect()}
+    assert scored[1] == len(re.findall(WORD, long)) + 1
+
+
 def test_merging_takes_the_lowest_rank_first():
     counter = tokens.Counter({"merges": [("b", "c"), ("a", "b"), ("a", "bc")], "special": [], "name": "t"})
     assert [counter.merged(x) for x in (b"", b"a", b"ab", b"abc", b"abab", b"bcbc")] == [0, 1, 1, 1, 2, 2]
@@ -474,7 +500,7 @@ def test_training_windows_hold_every_symbol(frame, prose):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     coder = lm.speller(path)
     texts = [prose(1, 900), prose(2, 20), "", None]
-    table = lm.symbol_table(lm.numbered(frame(texts)), path)
+    table = lm.symbol_table(lm.numbered(frame(texts)).withColumn("held_out", F.lit(False)), path)
     rows = [np.frombuffer(r.w, np.int32) for r in lm._windows(table, 3, 0, slices=1).collect()]
     want = []
     for t in texts:
@@ -495,13 +521,14 @@ def test_symbols_tell_words(prose, odd):
     coder = lm.speller(queries.vocabulary("byte_bpe_50k.tiktoken"))
     texts = [t[1] if isinstance(t, tuple) else t for t in odd] + [prose(1, 500)]
     words = Words(pa.array(texts, pa.string()), lower=True)
-    offsets, symbols = lm.spelled_out(words, coder)
+    offsets, symbols, cuts, each = lm.spelled_out(words, coder)
     found = lm.Tokens(offsets, symbols, coder.end)
     assert found.counts.tolist() == (words.counts + 1).tolist() and found.is_end.sum() == len(texts)
     names = {}
     for h, w in zip(found.hashes[~found.is_end].tolist(), words.ids.tolist(), strict=True):
         assert names.setdefault(h, w) == w
     assert len(names) == len(words.vocab)
+    assert lm.spelling_hashes(each, cuts[:-1], np.diff(cuts), coder.end).tolist() == [h for h, _ in sorted(names.items(), key=lambda x: x[1])]
 
 
 def test_known_words_are_found():
