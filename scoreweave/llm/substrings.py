@@ -11,9 +11,9 @@ left then are circles (text that repeats itself).
 
 Verification. Occurrences of repeated edges get their path by a join; edges that follow each other in a document and on the path
 are a run. A run over a whole path is the same words in every document that has one, so all of its windows but those of the
-smallest doc_id go. All other windows that hold a repeated edge (first copies, paths cut short, the ends of passages) are
-joined one by one by 128 bits. The first document of a window is always among these: if its run were one that goes, a smaller doc_id
-would have the window. So the joins miss none.
+smallest doc_id go. All other windows that hold a repeated edge (paths cut short, first copies of such, the ends of passages) are
+joined one by one by 128 bits. The first document of a window is among these, unless the window stands in whole runs alone: if its
+run were one that goes, a smaller doc_id would have the window. So the joins miss none.
 
 The smallest doc_id of a hash is found by a grouped minimum, which Spark combines before it shuffles; a passage shared by a third of
 all documents is one row of that table. Spark splits the join back where it is skewed.
@@ -93,15 +93,18 @@ def compacted(edges: DataFrame) -> DataFrame:
     first = F.col("before").isNull()
     now = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("before", "edge").alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done"))
     now = settle(now, "substring-pointers")
-    left = now.where("not done").count()
+    # Each round writes only the edges that weren't at their heads before it.
+    there, now = now.where("done"), now.where("not done")
+    left = now.count()
     while left:
-        ahead = now.select(F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("place").alias("more"), F.col("done").alias("there"))
-        moved = now.where("not done").join(ahead, "to").select("edge", F.col("beyond").alias("to"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"))
-        now = settle(now.where("done").unionByName(moved), "substring-pointers")
-        before, left = left, now.where("not done").count()
+        ahead = there.unionByName(now).select(F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("place").alias("more"), F.col("done").alias("there"))
+        moved = now.join(ahead, "to").select("edge", F.col("beyond").alias("to"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"))
+        moved = settle(moved, "substring-pointers")
+        there, now = there.unionByName(moved.where("done")), moved.where("not done")
+        before, left = left, now.count()
         if left == before:  # edges of a path come to its head at least one a round
             break
-    now = now.select("edge", F.when(F.col("done"), F.col("to")).otherwise(F.col("edge")).alias("head"), F.when(F.col("done"), F.col("place")).otherwise(0).alias("place"), F.col("done").cast("long").alias("line"))
+    now = there.unionByName(now).select("edge", F.when(F.col("done"), F.col("to")).otherwise(F.col("edge")).alias("head"), F.when(F.col("done"), F.col("place")).otherwise(0).alias("place"), F.col("done").cast("long").alias("line"))
     lengths = now.groupBy("head").agg((F.max("place") + F.max("line")).alias("length"))
     return now.drop("line").join(lengths, "head")
 
@@ -197,12 +200,16 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER) -> DataF
     known = texts.where("doc_id is not null")
     edges = settle(_edges(known, window, kmer), "substring-edges")
     runs = settle(_runs(edges, _paths(edges), window, kmer), "substring-runs")
-    whole = runs.where("whole").groupBy("head_h", "head_v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    by = F.when(F.col("whole"), F.col("doc_id"))
+    whole = runs.groupBy("head_h", "head_v").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.bool_and("whole").alias("closed")).where("least < most").drop("most")
     marked = runs.join(settle(whole, "substring-whole"), ["head_h", "head_v"], "left")
-    cut = F.col("whole") & F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("stop") - F.col("start") >= window)
+    full = F.col("whole") & (F.col("stop") - F.col("start") >= window) & F.col("least").isNotNull()
+    cut = full & (F.col("doc_id") > F.col("least"))
+    # Where all runs of a path are whole, others with a window inside the first copy's run are cut by their own runs.
+    inside = full & (F.col("closed") | (F.col("doc_id") > F.col("least")))
     ranged = lambda first, last: F.struct(first.alias("first"), (last - first + 1).alias("number"))
     around = F.array(ranged(F.col("low"), F.col("start") - 1), ranged(F.col("stop") - (window - 1), F.col("high")))
-    marked = marked.select("doc_id", "key", F.when(cut, F.array(ranged(F.col("start"), F.col("stop") - window))).alias("gone"), F.when(cut, around).otherwise(F.array(ranged(F.col("low"), F.col("high")))).alias("open"))
+    marked = marked.select("doc_id", "key", F.when(cut, F.array(ranged(F.col("start"), F.col("stop") - window))).alias("gone"), F.when(inside, around).otherwise(F.array(ranged(F.col("low"), F.col("high")))).alias("open"))
     # One row a text, and its ranges are no more than its words.
     ranges = marked.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.filter(F.flatten(F.collect_list("open")), lambda r: r["number"] > 0).alias("open"))
     ranges = settle(ranges, "substring-ranges")
