@@ -9,10 +9,10 @@ from .shared import settle
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) plus m: the smallest of u and its v. Grouped first, so that a hub's links are combined before they move;
-    the join back is one that Spark can split."""
+    """edges (u, v) plus m: the smallest of u and its v. Grouped first, so that a hub's links are combined before they move; the
+    groups are a table, since Spark splits a skewed join between tables but not one with a grouping."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(settle(least, "least"), "u")
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ Pairs are taken in two turns, and never all pairs of a group. First every bucket
 verified links are joined into components. A bucket whose classes now are one component is done. In the others, components whose
 signatures may be similar are gathered into families (one row a component, not one a pair), and a family's full sets are joined
 exactly: two sets of similarity t share a shingle among the rarest (1 - t) + 1 of each, so only such pairs are compared, and
-only between components not yet linked. Buckets and families larger than a block are dealt into blocks, of which each two meet. So no
+only between components not yet linked. Buckets and families larger than a block are dealt into blocks: those of the largest component, which
+meet all others but not each other, and the rest, of which each two meet. So a large group and its stragglers take work by its size, and no
 candidate is dropped, whatever the size of a bucket. A link counts once the full sets confirm it.
 
+Groupings are written as tables before they are joined back: Spark splits a skewed join between tables, but not one with a grouping.
+
 Defined results: a null text, and one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; a document with a null doc_id is left alone (component null, kept); rows that share a doc_id
 are one document; repeated rows each get a row; an empty table gives an empty one; other columns play no part.
@@ -183,11 +186,16 @@ def _families(members: DataFrame, block: int, least: float) -> DataFrame:
 
 
 def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
-    """members with own, i and j: a large group is dealt into blocks, and each two blocks meet in a task of their own."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    """members with own, i and j: a large group is dealt into blocks, and two blocks meet in a task of their own. Members of the group's largest
+    component (hub) have blocks of their own, which don't meet each other, since they are linked already."""
+    sizes = members.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max(F.struct("n", "component")).alias("hub"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = settle(sizes.select(key, F.col("hub.component").alias("hub"), blocks(F.col("hub.n")).alias("hubs"), blocks(F.col("n") - F.col("hub.n")).alias("rests")).where("rests > 0"), "near-sizes")
+    within, dealt = F.col("component") == F.col("hub"), members.join(sizes, key)
+    turn = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("own", F.when(within, turn("hubs")).otherwise(F.col("hubs") + turn("rests")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(within, F.col("hubs")).otherwise(0), F.col("hubs") + F.col("rests") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "hub", "hubs", "rests")
     # Else Spark would be content with the join's partitions, which hold all blocks of a group in one task.
     return dealt.repartition(key, "i", "j")
 
@@ -260,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     led = settle(led.select(F.col("doc_id").alias("id"), "band", "low"), "near-led")
     in_bands = led.select("id", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("k"), "band").select("id", F.xxhash64("k", F.substring("band", F.col("k") * 8 + 1, F.lit(8))).alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
-    members = settle(in_bands.join(shared, "bucket"), "near-buckets")
+    members = settle(in_bands.join(settle(shared, "near-shared"), "bucket"), "near-buckets")
     low = lambda c: led.select(F.col("id").alias(c), F.col("low").alias(f"low_{c}"))
     stars = members.where("id > first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     stars = settle(_maybe(stars.join(low("u"), "u").join(low("v"), "v").select("u", "v", "low_u", "low_v"), MAYBE), "near-stars")
@@ -272,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     placed = members.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed.select("bucket", "id", "component"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("bucket")
-    left = settle(placed.join(mixed, "bucket", "left_semi").join(led.select("id", "low"), "id").select("bucket", "id", "component", "low"), "near-left")
+    left = settle(placed.join(settle(mixed, "near-mixed"), "bucket", "left_semi").join(led.select("id", "low"), "id").select("bucket", "id", "component", "low"), "near-left")
     if not left.isEmpty():
         families = components(_families(left, 2 * block, MAYBE)).select(F.col("node").alias("component"), F.col("component").alias("family"))
         inside = left.select("id", "component").distinct().join(families, "component")
@@ -284,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
                 groups = components(links.unionByName(more))
     # Two classes can lead with the same doc_id only if rows share it; they are one document then.
     known = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
-    known = known.select("k1", "k2", F.coalesce("component", "id").alias("found"))
+    known = settle(known.select("k1", "k2", F.coalesce("component", "id").alias("found")), "near-known")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left")
     found = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", found.alias("component_id"))
