@@ -357,6 +357,43 @@ def test_mixing_nothing(spark, frame):
 # Pipeline
 
 
+def test_long_texts_are_compared_whole(spark, frame, prose):
+    from scoreweave.llm.shared import STEP_BYTES
+
+    long = " ".join(prose(i, 150) for i in range(300, 300 + int(1.2 * STEP_BYTES / 800)))
+    assert len(long) > STEP_BYTES
+    tail = " ".join(long.split()[-60:])
+    rows = frame([long, "short words " + tail, long + " and more", ITEMS[0][1], long + " " + ITEMS[0][1]])
+    held = [(r.doc_id, r.text) for r in rows.collect()]
+    got = substrings.repeat_counts(rows)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_removed(held, 50)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 0}
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(rows, items).collect()} == {(3, 1), (4, 1)}
+
+
+def test_pipeline_keeps_odd_rows_and_columns(spark, frame, prose, tmp_path):
+    """Nulls, repeated rows and columns with names that the stages use; and no rows at all."""
+    texts = [(None, prose(1, 60)), (None, prose(2, 60)), (3, prose(3, 60)), (3, prose(3, 60)), (3, prose(4, 60)), (5, None), (6, ""), (7, prose(7, 60)), (8, "so " + prose(7, 60))]
+    docs = frame(texts)
+    for name in ("kept", "key", "spot", "size", "k", "whole", "n", "gone", "figures", "wanted", "mark", "component_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, str(tmp_path))
+        assert rows.columns == docs.columns
+    left = sorted((r.doc_id is None, r.doc_id or 0, r.kept) for r in rows.collect())
+    assert left == [(False, 3, "kept"), (False, 7, "kept"), (True, 0, "kept"), (True, 0, "kept")]
+    assert {r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r.text for r in rows.collect()}
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
+
+
 def test_pipeline_matches_brute_force(spark, frame, prose, tmp_path):
     """Each stage against its plain version, on the rows that the stage before kept."""
     rng = random.Random(8)
