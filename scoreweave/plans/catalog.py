@@ -236,7 +236,34 @@ def gram_matrix(spark, sf):
     return multivariate.gram_matrix(impute.impute_consolidated(X.grid(spark, sf))).select("i", "j", _r("g", 4))
 
 
-@_register()
+def _multivariate(cells: str, name: str) -> str:
+    """CTEs of one pass of least squares of every metric on all others over a CTE, for missing cells; the last is `name`. The Gram matrix
+    (metrics, and a constant) is inverted by sweeping one row after the other, so it must have full rank; WITH must be RECURSIVE."""
+    at = "k + 1"
+    return f"""{name}_x AS (SELECT entity, metric AS m, score FROM {cells} UNION ALL SELECT DISTINCT entity, '~', CAST(1 AS DOUBLE) FROM {cells}
+), {name}_i AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM (SELECT DISTINCT m FROM {name}_x)
+), {name}_v AS (SELECT x.entity, i.i, x.score FROM {name}_x x JOIN {name}_i i ON i.m = x.m
+), {name}_n AS (SELECT count(*) AS size, (SELECT count(DISTINCT entity) FROM {cells}) - count(*) + 1 AS free FROM {name}_i
+), {name}_g AS (SELECT a.i, b.i AS j, sum(a.score * b.score) AS g FROM {name}_v a JOIN {name}_v b ON a.entity = b.entity GROUP BY a.i, b.i
+), {name}_s AS (
+  SELECT CAST(0 AS BIGINT) AS k, i, j, g FROM {name}_g
+  UNION ALL SELECT {at}, i, j, CASE WHEN i = {at} AND j = {at} THEN -1 / p WHEN i = {at} THEN c / p WHEN j = {at} THEN r / p ELSE g - r * c / p END
+  FROM (SELECT k, i, j, g, max(CASE WHEN i = {at} THEN g END) OVER (PARTITION BY j) AS c, max(CASE WHEN j = {at} THEN g END) OVER (PARTITION BY i) AS r, max(CASE WHEN i = {at} AND j = {at} THEN g END) OVER () AS p FROM {name}_s WHERE k < (SELECT size FROM {name}_n))
+), {name}_p AS (SELECT i, j, -g AS p FROM {name}_s WHERE k = (SELECT size FROM {name}_n)
+), {name}_y AS (SELECT v.entity, p.j AS i, sum(v.score * p.p) AS y FROM {name}_v v JOIN {name}_p p ON p.i = v.i GROUP BY v.entity, p.j
+), {name}_w AS (SELECT v.entity, sum(v.score * y.y) AS whole FROM {name}_v v JOIN {name}_y y ON y.entity = v.entity AND y.i = v.i GROUP BY v.entity
+), {name}_e AS (
+  SELECT v.entity, i.m AS metric, -(y.y - v.score * d.p) / d.p AS guess,
+    sqrt(1 / d.p / n.free * (1 + greatest(0, w.whole - 2 * v.score * y.y + v.score * v.score * d.p - (y.y - v.score * d.p) * (y.y - v.score * d.p) / d.p))) AS guess_sd
+  FROM {name}_v v JOIN {name}_i i ON i.i = v.i JOIN {name}_y y ON y.entity = v.entity AND y.i = v.i JOIN {name}_w w ON w.entity = v.entity JOIN {name}_p d ON d.i = v.i AND d.j = v.i CROSS JOIN {name}_n n
+), {name} AS (
+  SELECT c.entity, c.metric, CASE WHEN is_known THEN score ELSE guess END AS score, CASE WHEN is_known THEN std_dev ELSE guess_sd END AS std_dev, is_known
+  FROM {cells} c JOIN {name}_e e ON e.entity = c.entity AND e.metric = c.metric
+)"""
+
+
+#: Needs more entities than metrics, as from sf0.01 on.
+@_register(f"WITH RECURSIVE {GRID}, {_bivariate('grid', 'f')}, {_multivariate('f', 'm1')}, {_multivariate('m1', 'm2')} SELECT entity, metric, round(score, 6) AS score, round(std_dev, 6) AS std_dev, is_known FROM m2")
 def impute_multivariate(spark, sf):
     return _filled(multivariate.impute_multivariate(X.grid(spark, sf), 2))
 
@@ -337,10 +364,10 @@ def entity_order(spark, sf):
 
 
 @_register(f"""WITH {COMPOSITE}, {ENTITIES}, points AS (SELECT c.entity, e.company FROM cells c JOIN balanced b ON b.entity = c.entity JOIN ent e ON e.entity = c.entity WHERE metric = 'Brand#5')
-  SELECT entity, company, 'others hidden' AS shown FROM points WHERE company NOT IN ('FRANCE', 'CHINA', 'PERU') UNION ALL SELECT entity, company, 'alone' FROM points WHERE company = 'CANADA'""")
+  SELECT entity, company, 'others hidden' AS shown FROM points WHERE company NOT IN ('NATION_1', 'NATION_2', 'NATION_3') UNION ALL SELECT entity, company, 'alone' FROM points WHERE company = 'NATION_4'""")
 def company_visibility(spark, sf):
     points = rank.chart_points(X.cells(spark, sf), _balanced(spark, sf), "Brand#5").join(X.entities(spark, sf).select("entity", "company"), "entity").select("entity", "company")
-    some, one = rank.visible(points, hidden=["FRANCE", "CHINA", "PERU"]), rank.visible(points, isolated="CANADA")
+    some, one = rank.visible(points, hidden=["NATION_1", "NATION_2", "NATION_3"]), rank.visible(points, isolated="NATION_4")
     return some.withColumn("shown", F.lit("others hidden")).unionByName(one.withColumn("shown", F.lit("alone")))
 
 

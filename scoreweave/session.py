@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         return told
     if spark.sparkContext.master.startswith("local["):
         told = tempfile.mkdtemp(prefix="scoreweave-")
+        atexit.register(shutil.rmtree, told, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", told)
         return told
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"

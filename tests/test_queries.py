@@ -24,7 +24,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not n.startswith(("op", "pipeline"))])
+#: SQL that inverts a matrix, which has not full rank with as few entities as here.
+DEEP = ("impute_multivariate",)
+
+
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not n.startswith(("op", "pipeline")) and n not in DEEP])
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     want = duck.sql(entry.oracle_sql()[name])
@@ -35,6 +39,19 @@ def test_query(spark, duck, name):
     assert rows([x[c] for c in columns] for x in got.collect()) == rows([x[i] for i in places] for x in want.fetchall())
 
 
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_query(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(entry.oracle_sql()[name])
+    columns = sorted(want.columns)
+    rows = lambda r: sorted((tuple(x) for x in r), key=str)
+    places = [want.columns.index(c) for c in columns]
+    assert rows(tuple(r[c] for c in columns) for r in entry.queries()[name](spark, sf).collect()) == rows([x[i] for i in places] for x in want.fetchall())
+
+
 @pytest.mark.parametrize("name", ["impute_multivariate", "impute_multivariate_gd", "impute_consolidated_gd"])
 def test_dense_imputers_fill_everything(spark, name):
     out = entry.queries()[name](spark, SF)
