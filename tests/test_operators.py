@@ -1,6 +1,7 @@
 """Derivations, resolution, upserts, rankings and hold-outs."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -229,6 +230,26 @@ def test_one_fit_serves_all_hold_outs(spark, whole):
             assert got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-9)
 
 
+@pytest.mark.parametrize(("whole", "odd"), [(True, []), (False, []), (True, ["spoilt", "rare"])])
+def test_refits_match_evaluate(spark, whole, odd, monkeypatch):
+    from scoreweave.operators import refit
+
+    rng = random.Random(5)
+    rows = [(f"e{i}", m, rng.gauss(0, 1) + k * i * 0.1) for i in range(12) for k, m in enumerate("ABCD") if rng.random() < 0.7]
+    rows += [(e, m, s + 1) for e, m, s in rng.sample(rows, 8)] + [(f"e{i}", "const", 0.1) for i in range(9)] + [("e3", None, 3.0), (None, "A", 3.0), ("e9", "A", None)]
+    rows += [("alone", "A", 1.0), ("n1", "A", None), ("n1", "B", 3.0), ("n2", "lone", 4.0), ("n2", "A", 1.5), ("e1", "rare", 2.0), ("e2", "rare", 3.0), *[("e7", m, math.nan) for m in odd]]
+    table = obs(spark, *rows)
+    sample = E.holdout_sample(table.where("entity is not null and metric is not null"), 90)
+    key = lambda df: {r.holdout: (r.predicted, r.error) for r in df.collect()}
+    want = key(E.evaluate(table, sample, I.impute_bivariate, whole))
+    for most in (refit.MOST_PAIRS, 700, 7):  # one turn, several, and more metrics than fit
+        monkeypatch.setattr(refit, "MOST_PAIRS", most)
+        got = key(refit.refit_bivariate(table, sample, whole))
+        assert set(got) == set(want) and len(want) > 30
+        for k in want:
+            assert got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-9, nan_ok=True)
+
+
 def test_reports_and_lists(spark, tmp_path):
     from scoreweave.sources import sinks
 

@@ -69,3 +69,16 @@ def test_dense_imputers_take_the_whole_grid(spark, name):
 @pytest.mark.parametrize("name", ["holdout_mse_mean_all", "holdout_mse_bivariate_all", "holdout_mse_observation"])
 def test_accuracy_rests_on_all_holdouts(spark, name):
     assert entry.queries()[name](spark, SF).first().tests == 100
+
+
+def test_refits_write_no_copies_for_hold_outs(spark):
+    """100 copies of the grid were what filled the disk."""
+    from pathlib import Path
+
+    from scoreweave.plans import fixtures as X
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    assert entry.queries()["holdout_mse_bivariate_all"](spark, SF).first().tests == 100
+    written = [spark.read.parquet(str(p)).count() for p in set(folder.iterdir()) - before]
+    assert written and max(written) <= X.observations(spark, SF).count()
