@@ -8,35 +8,29 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) plus m: the smallest of u and its v. Grouped first, so that a hub's links are combined before they move; the
-    groups are a table, since Spark splits a skewed join between tables but not one with a grouping."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(settle(least, "least"), "u")
+def _large(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Larger neighbours linked with the least one. Links may repeat; there are as many as edges."""
+    return edges.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    led = _least(down)
+def _small(down: DataFrame) -> DataFrame:
+    """Smaller neighbours, and the node itself, linked with the least one."""
+    led = down.join(settle(down.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
     moved = led.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(led.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (u, v): the smallest node that it reaches. Nodes without links are left out.
-    Each round's links are a table in the shared folder; rounds end when a round changes none."""
+    Each round's links (u > v) are a table in the shared folder; rounds end when they are stars: no node has two links down, or links both up
+    and down. Least neighbours are grouped first, so that a hub's links are combined before they move; the groups are a table, since
+    Spark splits a skewed join between tables but not one with a grouping."""
     edges = settle(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = state(edges)
-    while now[0]:
-        edges = settle(_small(_large(edges)), "links")
-        before, now = now, state(edges)
-        if before == now:
-            break
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    while True:
+        ends = edges.select("u", "v", F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        least = ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum("down").alias("down"), F.max("up").alias("up"))
+        least = settle(least, "least")
+        if least.where("down > 1 or (down = 1 and up = 1)").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        edges = settle(_small(settle(_large(edges, least), "large")), "links")

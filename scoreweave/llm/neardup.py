@@ -159,7 +159,7 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
 
 def _families(members: DataFrame, block: int, least: float) -> DataFrame:
     """(u, v) components of which some classes share an unresolved bucket (bucket, id, component, low) and may be similar. A
-    component is reached once, so there are fewer rows than members."""
+    component is reached once a block, so there are fewer rows than members; a pair may come from several buckets."""
 
     def reach(rows: pa.Table) -> pa.Table:
         low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
@@ -182,7 +182,7 @@ def _families(members: DataFrame, block: int, least: float) -> DataFrame:
                         out.append((names[now], names[g]))
         return _pairs(out)
 
-    return _dealt(members, "bucket", block).groupBy("bucket", "i", "j").applyInArrow(reach, "u long, v long").distinct()
+    return _dealt(members, "bucket", block).groupBy("bucket", "i", "j").applyInArrow(reach, "u long, v long")
 
 
 def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -273,10 +273,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     stars = members.where("id > first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     stars = settle(_maybe(stars.join(low("u"), "u").join(low("v"), "v").select("u", "v", "low_u", "low_v"), MAYBE), "near-stars")
 
-    ids = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))).distinct()
+    ids = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id")))
     sets = settle(_sets(docs, ids, size), "near-sets")
     links = settle(_confirmed(stars, sets, percent), "near-links")
-    groups = settle(components(links), "near-groups")
+    groups = components(links)
     placed = members.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed.select("bucket", "id", "component"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("bucket")
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
             sets = settle(_sets(docs, inside.select("id"), size).join(inside, "id"), "near-family-sets")
             more = settle(_within(sets.dropDuplicates(["family", "id"]), block, percent), "near-more")
             if not more.isEmpty():
-                groups = components(links.unionByName(more))
+                groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # Two classes can lead with the same doc_id only if rows share it; they are one document then.
     known = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
     known = settle(known.select("k1", "k2", F.coalesce("component", "id").alias("found")), "near-known")

@@ -58,6 +58,20 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars take no round, and a round without a change isn't made to see the end: each costs several shuffles, however few its links."""
+    made, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: made.append(name) or settle(df, name))
+    for links, want, tables in (
+        ([(9, 1), (1, 5), (7, 2), (2, 2)], {1: 1, 5: 1, 9: 1, 2: 2, 7: 2}, 2),
+        ([(5, 4), (4, 3), (3, 5), (8, 6)], {3: 3, 4: 3, 5: 3, 6: 6, 8: 6}, 6),
+        ([(2, 1), (3, 2)], {1: 1, 2: 1, 3: 1}, 6),
+    ):
+        made.clear()
+        assert {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()} == want
+        assert len(made) == tables, made
+
+
 # Near-duplicates
 
 
