@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components_of_table
 from .shared import Rolling, Words, bitmap, held_by, mix64, need, part_by, settle, steps, with_spot
 
 BANDS, ROWS = 40, 5
 #: Signatures below this estimate can't be of similar sets: 0.8 less 7 standard deviations of 200 minima.
 MAYBE = 0.6
 BLOCK = 1024
+#: Shingles that are held against a set at once.
+AT_ONCE = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -215,31 +217,31 @@ def similar(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None,
     keys = np.concatenate(prefix)
     order = np.argsort(keys, kind="stable")
     keys, of = keys[order], of[order]
-    parent = {int(g): int(g) for g in group}
-
-    def find(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
-
+    label = np.unique(group, return_inverse=True)[1]  # of groups that pairs found so far join
+    mine = np.zeros(len(tokens), bool)  # the shingles of the set that others are held against
     out = []
     for i in range(len(sets)):
         lo, hi = np.searchsorted(keys, prefix[i], "left"), np.searchsorted(keys, prefix[i], "right")
         if not (hi - lo).sum() > len(prefix[i]):
             continue
         near = np.unique(np.concatenate([of[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b - a > 1]))
-        near = near[(near > i) & (group[near] != group[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
+        near = near[(near > i) & (label[near] != label[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
         if side is not None:
             near = near[side[near] != side[i]]
-        for j in near.tolist():
-            a, b = find(int(group[i])), find(int(group[j]))
-            if a == b:
-                continue
-            union = len(np.unique(np.concatenate([sets[i], sets[j]])))
-            if 100 * (n[i] + n[j] - union) >= percent * union:
-                parent[a] = b
-                out.append((i, j))
+        own = token[starts[i] : starts[i + 1]]
+        mine[own] = True
+        while len(near):
+            now = near[: max(1, int(np.searchsorted(np.cumsum(n[near]), AT_ONCE, "right")))]
+            ends = np.cumsum(n[now])
+            held = token[np.repeat(starts[now] - (ends - n[now]), n[now]) + np.arange(ends[-1])]
+            both = np.add.reduceat(mine[held], ends - n[now], dtype=np.int64)
+            for j in now[100 * both >= percent * (n[i] + n[now] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+            near = near[len(now) :]
+            near = near[label[near] != label[i]]
+        mine[own] = False
     return out
 
 
@@ -276,20 +278,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     ids = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id")))
     sets = settle(_sets(docs, ids, size), "near-sets")
     links = settle(_confirmed(stars, sets, percent), "near-links")
-    groups = components(links)
+    groups = components_of_table(links)
     placed = members.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed.select("bucket", "id", "component"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("bucket")
     left = settle(placed.join(settle(mixed, "near-mixed"), "bucket", "left_semi").join(led.select("id", "low"), "id").select("bucket", "id", "component", "low"), "near-left")
     if not left.isEmpty():
-        families = components(_families(left, 2 * block, MAYBE)).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        families = components_of_table(settle(_families(left, 2 * block, MAYBE), "near-maybe")).select(F.col("node").alias("component"), F.col("component").alias("family"))
         inside = left.select("id", "component").distinct().join(families, "component")
         inside = settle(inside, "near-families")
         if not inside.isEmpty():
             sets = settle(_sets(docs, inside.select("id"), size).join(inside, "id"), "near-family-sets")
             more = settle(_within(sets.dropDuplicates(["family", "id"]), block, percent), "near-more")
             if not more.isEmpty():
-                groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+                groups = components_of_table(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # Two classes can lead with the same doc_id only if rows share it; they are one document then.
     known = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
     known = settle(known.select("k1", "k2", F.coalesce("component", "id").alias("found")), "near-known")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,9 +73,63 @@ def test_components_stop_at_stars(spark, monkeypatch):
         assert len(made) == tables, made
 
 
+@pytest.mark.parametrize("few", [graph.FEW, 3])
+def test_components_of_a_table(spark, few):
+    """Few links are joined in one task, more by rounds, with the same results."""
+    rng = random.Random(2)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i + 1, i) for i in range(1000, 1040)] + [(9000, 2000 + i) for i in range(30)] + [(7, 7)]
+    table = spark.createDataFrame(links, "u long, v long")
+    want = {r.node: r.component for r in graph.components(table).collect()}
+    assert {r.node: r.component for r in graph.components_of_table(table, few).collect()} == want
+    assert graph.components_of_table(spark.createDataFrame([], "u long, v long"), few).count() == 0
+
+
+def test_few_links_take_no_rounds(spark, frame, prose, monkeypatch):
+    """A chain of near copies took three tables a round, each of as many files as there are shuffle partitions."""
+    made, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: made.append(name) or settle(df, name))
+    words, texts = prose(3, 100).split(" "), []
+    for i in range(30):
+        words[i * 3 % 100] = f"new{i}"
+        texts.append(" ".join(words))
+    got = neardup.near_duplicates(frame(texts), size=2).collect()
+    assert {r.component_id for r in got} == {0}
+    assert len(made) <= 3, made
+
+
 # Near-duplicates
 
 
+@pytest.mark.parametrize("at_once", [1, 500, 1 << 18])
+@pytest.mark.parametrize("sided", [False, True])
+def test_similar_joins_what_pairs_join(monkeypatch, at_once, sided):
+    monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+    rng = random.Random(4)
+    base = [sorted(rng.sample(range(1000), 40)) for _ in range(6)]
+    sets = []
+    for i in range(90):
+        held = set(base[i % 6])
+        for _ in range(rng.randint(0, 8)):
+            held ^= {rng.randrange(1000) if rng.random() < 0.5 else rng.choice(base[i % 6])}
+        sets.append(held | {1001 + i % 2})
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    group, side = np.array([i if i % 5 else 1000 for i in range(90)]), np.array([i // 6 % 2 for i in range(90)])
+    found = neardup.similar(arrays, group, side if sided else None, 80)
+    every = [(i, j) for j in range(90) for i in range(j) if group[i] != group[j] and (not sided or side[i] != side[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert set(found) <= set(every) and len(every) > len(found) > 0
+    joins = lambda pairs: set(zip(*(x.tolist() for x in graph.joined(*np.array([(group[i], group[j]) for i, j in pairs]).T)), strict=True))
+    assert joins(found) == joins(every)
+
+
+def test_alike_sets_are_compared_at_once(monkeypatch):
+    """Sets that are alike but not similar are candidates of each other; each pair made and sorted its union."""
+    sets = [np.array([*range(70), *range(1000 + 30 * i, 1030 + 30 * i)], np.uint64) for i in range(120)]
+    calls, unique = [], np.unique
+    monkeypatch.setattr(neardup.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    assert neardup.similar(sets, np.arange(120), None, 60) == []
+    assert len(calls) <= 3 * 120, len(calls)
+
+
 def brute_components(rows, size, percent=80):
     sets = {}
     for d, t in rows:
