@@ -8,6 +8,7 @@ the word's own count over all training texts (the base). The score mixes both:
 p(word) = SHARE * base(word) + (1 - SHARE) * spelling(word | symbols before).
 
 Texts are spelled once, to a table of symbols that all steps read, with the counts of words and symbols; spellings tell words apart.
+Counts and windows travel many in a row, by part of the hashes or by group, and are added up or put in order where they arrive.
 
 Scoring. A text's symbols are cut into windows that overlap by half; each symbol is scored once, in the window where it has at least
 half a window of context, and windows of many texts are scored in one batch under one mask.
@@ -52,8 +53,8 @@ KNOWN = 1 << 20
 SPELL_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Freed memory that a worker keeps while it scores or trains.
 ROOM = 64 << 20
-#: Words whose spelling a worker remembers.
-REMEMBERED = 150_000
+#: Parts that words are counted in, by hash; symbols of a part.
+COUNT_PARTS, COUNT_SYMBOLS = 1024, 1024
 
 
 class Speller:
@@ -72,8 +73,6 @@ class Speller:
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
-        self.known: dict[bytes, bytes] = {}
-
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets by word, symbols)."""
         if not words:
@@ -81,9 +80,10 @@ class Speller:
         ids = self._ids((b" " + b" ".join(words)).decode())
         starts = np.nonzero(self.spaced[ids])[0]
         if len(starts) != len(words):  # odd white space in a word
-            each = [self._ids(" " + w.decode()) for w in words]
-            starts = np.concatenate([[0], np.cumsum([len(e) for e in each])])[:-1].astype(np.int64)
-            ids = np.concatenate(each)
+            if len(words) > 1:
+                (a, first), (b, second) = self.spell(words[: len(words) // 2]), self.spell(words[len(words) // 2 :])
+                return np.append(a[:-1], b + len(first)), np.append(first, second)
+            starts = np.zeros(1, np.int64)
         offsets = np.append(starts, len(ids))
         symbols = ids * 2
         symbols[offsets[1:] - 1] += 1
@@ -92,18 +92,6 @@ class Speller:
     def _ids(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
-    def recall(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, remembering words while there is room; frequent words come early."""
-        fresh = [w for w in words if w not in self.known]
-        offsets, symbols = self.spell(fresh)
-        held, cuts = symbols.astype(np.uint32), offsets.tolist()
-        new = {w: held[a:b].tobytes() for w, a, b in zip(fresh, cuts, cuts[1:], strict=False)}
-        if room := REMEMBERED - len(self.known):
-            self.known.update(list(new.items())[:room])
-        told = [self.known.get(w) or new[w] for w in words]
-        ends = np.cumsum(np.fromiter(map(len, told), np.int64, len(told)) // 4)
-        return np.concatenate([np.zeros(1, np.int64), ends]), np.frombuffer(b"".join(told), np.uint32).astype(np.int64)
-
     @property
     def starts(self) -> np.ndarray:
         """Whether each symbol starts a word."""
@@ -132,7 +120,7 @@ def speller(path: str) -> Speller:
 
 def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of texts, each text's followed by the end: (offsets by text, symbols); and of their distinct words: (offsets, symbols)."""
-    cuts, each_word = coder.recall(words.listed())
+    cuts, each_word = coder.spell(words.listed())
     offsets, spelled = np.append(cuts, len(each_word) + 1), np.append(each_word, coder.end)
     ids = np.insert(words.ids, words.offsets[1:], len(words.vocab))
     each = np.diff(offsets)[ids]
@@ -141,49 +129,83 @@ def spelled_out(words: Words, coder: Speller) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.counts + 1)])], spelled[at], cuts, each_word
 
 
-#: Rows of a symbol table: counts of words by hash, of symbols, of texts; and texts.
-WORD_COUNT, SYMBOL_COUNT, TEXT_COUNT, TEXT = range(4)
+#: Rows of a symbol table: counts of words by hash, of symbols; and texts.
+WORD_COUNT, SYMBOL_COUNT, TEXT = range(3)
 
 
 def symbol_table(docs: DataFrame, path: str) -> DataFrame:
     """(kind, doc_id, held_out, key, n, s) of rows (doc_id, held_out, key, text). A TEXT is a row of docs with its number of symbols and the
-    symbols, as int32. Others count training texts in parts: a word's hash, or a symbol, as key, and how often as n."""
+    symbols, as int32. Others count training texts: s has n hashes of words, or symbols, and then how often each occurs, as int64; all that
+    count the same have the same key."""
     kind = docs.schema["doc_id"].dataType
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = speller(path)
-        symbols_seen, texts, id_type = np.zeros(mine.n_symbols, np.int64), 0, None
+        symbols_seen, id_type = np.zeros(mine.n_symbols, np.int64), None
         names = ["kind", "doc_id", "held_out", "key", "n", "s"]
 
-        def counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.nulls(len(keys), id_type), pa.nulls(len(keys), pa.bool_()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary())], names)
+        def counted(kind: int, parts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(parts, kind="stable")
+            parts, told = parts[order], np.stack([keys.view(np.int64)[order], n[order]])
+            heads = np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0]
+            s = [told[:, a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int8)), pa.nulls(len(s), id_type), pa.nulls(len(s), pa.bool_()), pa.array(parts[heads].astype(np.int64)), pa.array(np.diff(np.append(heads, len(parts)))), pa.array(s, pa.binary())], names)
 
         for part in steps(batches, limit=SPELL_BYTES, room=ROOM):
             words = Words(part.column("text"), lower=True)
             offsets, symbols, cuts, each_word = spelled_out(words, mine)
             learned = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            texts += int(learned.sum())
+            symbols_seen[mine.end] += int(learned.sum())
             id_type = part.column("doc_id").type
             n = np.bincount(words.ids[learned[words.rows()]], minlength=len(words.vocab))
             symbols_seen += np.bincount(each_word, weights=np.repeat(n, np.diff(cuts)), minlength=mine.n_symbols).astype(np.int64)
             seen = n > 0
             if seen.any():
-                yield counted(WORD_COUNT, spelling_hashes(each_word, cuts[:-1], np.diff(cuts), mine.end)[seen], n[seen])
+                hashes = spelling_hashes(each_word, cuts[:-1], np.diff(cuts), mine.end)[seen]
+                yield counted(WORD_COUNT, (hashes % np.uint64(COUNT_PARTS)).astype(np.uint16), hashes, n[seen])
             held = symbols.astype(np.int32)
             for at in range(0, part.num_rows, 1000):  # small batches for the JVM
                 ends = offsets[at : at + 1001]
                 s = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(held)])
                 own = part.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, TEXT, np.int8)), own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(ends), pa.int64()), s.cast(pa.binary())], names)
-        if id_type is not None:
-            symbols_seen[mine.end] = texts
-            seen = np.nonzero(symbols_seen)[0]
-            yield counted(SYMBOL_COUNT, seen, symbols_seen[seen])
-            yield counted(TEXT_COUNT, np.zeros(1, np.int64), np.array([texts]))
+        seen = np.nonzero(symbols_seen)[0]
+        if len(seen):
+            yield counted(SYMBOL_COUNT, seen // COUNT_SYMBOLS, seen, symbols_seen[seen])
 
     return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"kind byte, doc_id {kind.simpleString()}, held_out boolean, key long, n long, s binary")
 
 
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, h, c), each hash or symbol once, of a symbol table's counts (kind, key, s) that come key by key."""
+
+    def merged(told: list[np.ndarray]) -> np.ndarray:
+        told = np.concatenate(told, 1)
+        told = told[:, np.argsort(told[0], kind="stable")]
+        heads = np.nonzero(np.append(True, told[0, 1:] != told[0, :-1]))[0]
+        return np.stack([told[0, heads], np.add.reduceat(told[1], heads)])
+
+    now, held, size, limit = None, [], 0, KNOWN
+    for batch in batches:
+        for kind, key, s in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), batch.column("s"), strict=True):
+            if held and now != (kind, key):
+                yield _counts(now[0], merged(held))
+                held, size, limit = [], 0, KNOWN
+            now = (kind, key)
+            held.append(np.frombuffer(s.as_buffer(), np.int64).reshape(2, -1))
+            size += held[-1].shape[1]
+            if size > limit:  # what occurs again and again isn't kept again and again
+                held = [merged(held)]
+                size = held[0].shape[1]
+                limit = max(KNOWN, 2 * size)
+    if held:
+        yield _counts(now[0], merged(held))
+
+
+def _counts(kind: int, told: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(told.shape[1], kind, np.int8)), pa.array(told[0]), pa.array(told[1])], ["kind", "h", "c"])
+
+
 def spelling_hashes(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """64 bits of each word's spelling (stretches that follow each other): a polynomial of its symbols' values, and its length."""
     global _values
@@ -305,22 +327,28 @@ def initial(layout: Layout, seed: int = 3) -> np.ndarray:
 _GAP = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    ones = np.ones(z.shape[-1], z.dtype)
+def sound(total: np.ndarray) -> bool:
+    """Whether sums of exp are neither too large nor too small to divide by, and so the logits can be taken as they stand."""
+    return total.min(initial=1) > 1e-20 and total.max(initial=1) < 1e20
+
+
+def chances(z: np.ndarray, share: np.floating) -> np.ndarray:
+    """Softmax of each column of z, times share. Places stand in columns, so sums and quotients go along rows of memory."""
     with np.errstate(over="ignore"):
         out = np.exp(z)
-        total = out @ ones
-    if not (np.isfinite(total).all() and total.min(initial=1) > 1e-30):  # too large or small for exp as it stands
-        out = np.exp(z - z.max(-1, keepdims=True))
-        total = out @ ones
-    out /= total[..., None]
+        total = out.sum(0)
+    if not sound(total):
+        np.exp(z - z.max(0), out=out)
+        total = out.sum(0)
+    out *= share / total
     return out
 
 
-def by_kind(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of classes by kind, and where each kind starts in it."""
+def by_kind(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of classes by kind, and each kind there is with its start and stop in it."""
     kinds = (classes // LEAVES).astype(np.uint8)
-    return np.argsort(kinds, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=SUPERS)[:SUPERS])])
+    cuts = np.cumsum(np.bincount(kinds, minlength=SUPERS)).tolist()
+    return np.argsort(kinds, kind="stable"), [(i, a, b) for i, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)) if b > a]
 
 
 def leaf_weights(w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -335,12 +363,11 @@ def with_one(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_logits(h: np.ndarray, cuts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """Logits of the classes of each row's kind; rows (with_one) are in the order of by_kind."""
-    z = np.empty((len(h), LEAVES), h.dtype)
-    for kind, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if stop > start:
-            np.matmul(h[start:stop], leaves[kind], out=z[start:stop])
+def leaf_logits(h: np.ndarray, spans: list[tuple[int, int, int]], leaves: np.ndarray) -> np.ndarray:
+    """Logits of the classes of each row's kind, LEAVES x rows; rows (with_one) are in the order of by_kind."""
+    z = np.empty((LEAVES, len(h)), h.dtype)
+    for kind, start, stop in spans:
+        np.matmul(leaves[kind].T, h[start:stop].T, out=z[:, start:stop])
     return z
 
 
@@ -352,61 +379,74 @@ _DISTANCE = np.maximum(_GAP, 0)
 
 def loss_and_slopes(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of classes y after vectors x (batch x WINDOW), where real, and its gradients."""
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    e = p["e"][x]
-    rows = flat(e)
-    kind = rows.dtype.type
+    kind = p["e"].dtype.type
     scale = kind(1 / np.sqrt(WIDTH))
+    by_window = lambda t: t.reshape(len(x), WINDOW, t.shape[-1])
+    rows = p["e"].take(x.ravel(), 0)
     three = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
-    made = rows @ three
-    q, k, v = (made[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_PAST, p["far"][_DISTANCE], kind(-1e9))
-    a = softmax(a)
-    got = a @ v
-    h = rows + flat(got)
+    made = np.empty((len(rows), 3 * WIDTH + 1), kind)
+    np.matmul(rows, three, out=made[:, :-1])
+    made[:, -1] = 1  # what stands beside a value gives the sum of the weights
+    q, k, v = np.split(by_window(made), [WIDTH, 2 * WIDTH], 2)
+    z = q @ k.transpose(0, 2, 1)
+    z += np.where(_PAST, p["far"][_DISTANCE], kind(-1e9))
+    with np.errstate(over="ignore", invalid="ignore"):
+        a = np.exp(z)
+        seen = a @ v
+    if not sound(seen[..., WIDTH]):
+        np.exp(z - z.max(2, keepdims=True), out=a)
+        seen = a @ v
+    less = 1 / seen[..., WIDTH:]
+    got = seen[..., :WIDTH] * less
+    h = rows + got.reshape(-1, WIDTH)
     # Only real places have a class; they are taken kind by kind.
     here = np.nonzero(real.ravel())[0]
     n = max(1, len(here))
-    order, cuts = by_kind(y.ravel()[here])
-    here = here[order]
-    of, at = y.ravel()[here], np.arange(len(here))
-    held, leaves = with_one(h[here]), leaf_weights(p["w"], p["b"])
-    one = softmax(held @ np.concatenate([p["kw"], p["kb"][None]]))
-    two = softmax(leaf_logits(held, cuts, leaves))
-    loss = -float(np.log(np.maximum(1e-30, one[at, of // LEAVES] * two[at, of % LEAVES])).sum()) / n
-    one[at, of // LEAVES] -= 1
-    two[at, of % LEAVES] -= 1
-    one *= kind(1 / n)
-    two *= kind(1 / n)
-    dheld = one @ p["kw"].T
-    dw, dk = np.zeros_like(leaves), held.T @ one
-    for i, (start, stop) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if stop > start:
-            part = two[start:stop]
-            dheld[start:stop] += part @ leaves[i, :WIDTH].T
-            np.matmul(held[start:stop].T, part, out=dw[i])
+    of = y.ravel().take(here)
+    order, spans = by_kind(of)
+    here, leaf, at = here.take(order), of.take(order) % LEAVES, np.arange(len(here))
+    held, leaves, share = with_one(h.take(here, 0)), leaf_weights(p["w"], p["b"]), kind(1 / n)
+    one = chances(np.concatenate([p["kw"], p["kb"][None]]).T @ held.T, share)
+    two = chances(leaf_logits(held, spans, leaves), share)
+    spots, told = leaf.astype(np.int64) * len(here) + at, two.ravel()
+    hit = told.take(spots)
+    told[spots] = hit - share
+    for i, start, stop in spans:
+        hit[start:stop] *= one[i, start:stop]
+        one[i, start:stop] -= share
+    loss = -float(np.log(np.maximum(1e-30, hit * (kind(n) * kind(n)))).sum()) / n
+    dheld = np.zeros((len(here) + 1, WIDTH), kind)  # the last is for places that aren't real
+    np.matmul(one.T, p["kw"].T, out=dheld[:-1])
+    dw, dk = np.zeros_like(leaves), held.T @ one.T
+    for i, start, stop in spans:
+        part = two[:, start:stop].T
+        dheld[start:stop] += part @ leaves[i, :WIDTH].T
+        np.matmul(held[start:stop].T, part, out=dw[i])
     dw = dw.transpose(1, 0, 2).reshape(WIDTH + 1, -1)
-    dh = np.zeros_like(h)
-    dh[here] = dheld
-    dh3 = dh.reshape(e.shape)
-    da = dh3 @ v.transpose(0, 2, 1)
-    made_slopes = np.empty_like(made)
-    made_slopes[:, 2 * WIDTH :] = flat(a.transpose(0, 2, 1) @ dh3)
-    # The softmax's slope: a * (da - sum(da * a)), and that sum is dh times what attention gave.
-    da -= ((dh3 * got) @ np.ones(WIDTH, e.dtype))[..., None]
+    back = np.full(len(rows), len(here))
+    back[here] = at
+    dh = dheld.take(back, 0)
+    # The softmax's slope: a / sum * (da - what attention gave times dh), where a / sum are the weights; v's ones take the second.
+    d = np.empty(seen.shape, kind)
+    np.multiply(by_window(dh), less, out=d[..., :WIDTH])
+    np.negative(np.einsum("bij,bij->bi", d[..., :WIDTH], got), out=d[..., WIDTH])
+    made_slopes = np.empty((len(rows), 3 * WIDTH), kind)
+    dq, dk_, dv = np.split(by_window(made_slopes), 3, 2)
+    np.matmul(a.transpose(0, 2, 1), d[..., :WIDTH], out=dv)
+    da = d @ v.transpose(0, 2, 1)
     da *= a
     dfar = np.bincount(_DISTANCE.ravel(), weights=(da.sum(0) * _PAST).ravel(), minlength=WINDOW)
-    made_slopes[:, :WIDTH] = flat(da @ k)
-    made_slopes[:, WIDTH : 2 * WIDTH] = flat(da.transpose(0, 2, 1) @ q)
-    de = dh + made_slopes @ three.T
-    dthree = rows.T @ made_slopes
-    out = {
+    np.matmul(da, k, out=dq)
+    np.matmul(da.transpose(0, 2, 1), q, out=dk_)
+    dh += made_slopes @ three.T
+    parts = int(np.gcd(len(x), 16))  # sums of fewer rows stay near
+    dthree = (rows.reshape(parts, -1, WIDTH).transpose(0, 2, 1) @ made_slopes.reshape(parts, -1, 3 * WIDTH)).sum(0)
+    de = np.zeros(p["e"].size, kind)
+    np.add.at(de, _SPOTS.take(x.ravel(), 0).ravel(), dh.ravel())
+    return loss, {
         "q": dthree[:, :WIDTH] * scale, "k": dthree[:, WIDTH : 2 * WIDTH], "v": dthree[:, 2 * WIDTH :], "far": dfar,
-        "w": dw[:WIDTH], "b": dw[WIDTH], "kw": dk[:WIDTH], "kb": dk[WIDTH],
+        "w": dw[:WIDTH], "b": dw[WIDTH], "kw": dk[:WIDTH], "kb": dk[WIDTH], "e": de.reshape(p["e"].shape),
     }
-    out["e"] = np.bincount(_SPOTS[x.ravel()].ravel(), weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
-    return loss, out
 
 
 class Trainer:
@@ -459,7 +499,7 @@ def packed(windows: np.ndarray, layout: Layout) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(vector[windows[:, :-1]]).view(np.uint8), classes], 1)
 
 
-def unpacked_windows(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked_windows(held: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, classes, whether there is one) of rows of packed."""
     rows = np.frombuffer(held, np.uint8).reshape(-1, PACKED)
     classes = rows[:, 2 * WINDOW :]
@@ -467,9 +507,10 @@ def unpacked_windows(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.ascontiguousarray(rows[:, : 2 * WINDOW]).view("<u2").astype(np.int64), np.where(real, classes, 0), real
 
 
-def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES), layout: Layout | None = None) -> DataFrame:
-    """(g, deal, w): the training windows of slice `wanted`, dealt to groups by a hash of the document and the window's place. w: symbols as
-    int32, or packed where a layout is given."""
+def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES), layout: Layout | None = None, spans: int = 1) -> DataFrame:
+    """(g, span, w): the training windows of slice `wanted`, dealt to groups by a hash (deal) of the document and the window's place; a span is
+    one of `spans` stretches of deals. w: symbols as int32, a window a row; where a layout is given, the windows of a group and span in
+    a step, each its deal (int64) and then packed."""
     held = table.sparkSession.sparkContext.broadcast(layout)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,34 +521,56 @@ def _windows(table: DataFrame, groups: int, wanted: int, slices: int = len(RATES
             places = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
             deal = mix64(part.column("key").to_numpy().view(np.uint64)[rows] ^ mix64(places.astype(np.uint64), 77))
             mine = np.nonzero(deal % np.uint64(slices) == wanted)[0]
-            for at in range(0, len(mine), 8192):
-                k = mine[at : at + 8192]
-                some = cut(offsets, symbols, rows[k], places[k])
-                some = np.ascontiguousarray(some if held.value is None else packed(some, held.value))
-                ends = np.arange(len(some) + 1, dtype=np.int32) * (some.shape[1] * some.itemsize)
+            for at in range(0, len(mine), 1 << 15):
+                k = mine[at : at + (1 << 15)]
                 g = (deal[k] // np.uint64(slices) % np.uint64(groups)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(deal[k].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "deal", "w"])
+                # Deals are in the order of int64.
+                span = (((deal[k] ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)).astype(np.int32)
+                heads = np.arange(len(k))
+                if held.value is not None:
+                    order = np.lexsort([span, g])
+                    k, g, span = k[order], g[order], span[order]
+                    heads = np.nonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (span[1:] != span[:-1])]))[0]
+                some = cut(offsets, symbols, rows[k], places[k])
+                some = np.ascontiguousarray(some if held.value is None else np.concatenate([deal[k, None].view(np.uint8), packed(some, held.value)], 1))
+                ends = (np.append(heads, len(k)) * (some.shape[1] * some.itemsize)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g[heads]), pa.array(span[heads]), pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(some)])], ["g", "span", "w"])
 
-    return table.where(f"kind = {TEXT} and not held_out").select("key", "s").mapInArrow(pick, "g int, deal long, w binary")
+    return table.where(f"kind = {TEXT} and not held_out").select("key", "s").mapInArrow(pick, "g int, span int, w binary")
 
 
-def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    """(group, windows of a step): rows come group by group; a group's last step may be smaller."""
-    now, held = None, b""
-    size = BATCH * PACKED
+def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its packed windows of a span in the order of deals); rows come by group and span."""
+    now, held = None, []
+
+    def ordered() -> np.ndarray:
+        rows = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 8 + PACKED)
+        return rows[np.argsort(np.ascontiguousarray(rows[:, :8]).view(np.int64).ravel(), kind="stable"), 8:]
+
     for batch in batches:
-        groups, rows = batch.column("g").to_numpy(), batch.column("w")
-        heads = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1, [len(groups)]]).tolist() if len(groups) else [0]
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            if groups[a] != now:
-                if held:
-                    yield now, held
-                now, held = int(groups[a]), b""
-            held += b"".join(rows.slice(a, b - a).to_pylist())
-            for at in range(0, len(held) - size + 1, size):
-                yield now, held[at : at + size]
-            held = held[len(held) // size * size :]
+        for g, span, w in zip(batch.column("g").to_pylist(), batch.column("span").to_pylist(), batch.column("w"), strict=True):
+            if held and now != (g, span):
+                yield now[0], ordered()
+                held = []
+            now = (g, span)
+            held.append(w.as_buffer())
     if held:
+        yield now[0], ordered()
+
+
+def _steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, windows of a step): rows come by group and span; a group's last step may be smaller."""
+    now, held = None, None
+    for g, rows in _spans_of(batches):
+        if g != now:
+            if now is not None and len(held):
+                yield now, held
+            now, held = g, rows[:0]
+        held = np.concatenate([held, rows])
+        for at in range(0, len(held) - BATCH + 1, BATCH):
+            yield now, held[at : at + BATCH]
+        held = held[len(held) // BATCH * BATCH :]
+    if now is not None and len(held):
         yield now, held
 
 
@@ -539,7 +602,7 @@ def _round(windows: DataFrame, groups: int, flat: np.ndarray, rate: float) -> np
         total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows.column("p").to_pylist(), seen, strict=True))
         return pa.table({"g": pa.array([rows.column("g")[0].as_py() % parts], pa.int32()), "seen": pa.array([sum(seen)], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = windows.repartition(groups, "g").sortWithinPartitions("g", "deal")
+    dealt = windows.repartition(groups, "g").sortWithinPartitions("g", "span")
     rows = dealt.mapInArrow(one, "g int, seen long, p binary").groupBy((F.col("g") % parts).alias("part")).applyInArrow(added, "g int, seen long, p binary").collect()
     if not rows:
         return flat
@@ -552,6 +615,7 @@ def fit(table: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     learned, and a round for each rate left. Every window is in one round."""
     n = table.where(f"kind = {TEXT} and not held_out").agg(F.coalesce(F.sum(F.ceil(F.col("n") / WINDOW)), F.lit(0))).first()[0]
     groups = int(min(MOST_GROUPS, max(1, -(-n // (len(RATES) * GROUP)))))
+    spans = int(max(1, -(-n // (len(RATES) * GROUP * groups))))  # so a task holds some GROUP windows at once, however large a group is
     layout = Layout(counts, starts)
     flat = initial(layout)
     for turn, rate in enumerate(RATES):
@@ -560,7 +624,7 @@ def fit(table: DataFrame, counts: np.ndarray, starts: np.ndarray) -> tuple[np.nd
             layout = Layout(counts, starts, old["e"])
             new = unpacked(initial(layout))
             flat = np.concatenate([(new if n in ("w", "b", "kw", "kb") else old)[n].ravel() for n in SHAPES])
-        flat = _round(_windows(table, groups, turn, layout=layout), groups, flat, rate)
+        flat = _round(_windows(table, groups, turn, layout=layout, spans=spans), groups, flat, rate)
     return flat, layout
 
 
@@ -570,10 +634,11 @@ class Scorer:
     def __init__(self, flat: np.ndarray, layout: Layout) -> None:
         p = unpacked(flat.astype(np.float32))
         e, scale = p["e"], np.float32(1 / np.sqrt(WIDTH))
-        self.e, self.leaves, self.kinds, self.layout = e, leaf_weights(p["w"], p["b"]), np.concatenate([p["kw"], p["kb"][None]]), layout
-        # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts.
-        self.q, self.k = e @ p["q"] * scale, e @ p["k"]
-        self.v = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)
+        self.leaves, self.kinds, self.layout = leaf_weights(p["w"], p["b"]), np.concatenate([p["kw"], p["kb"][None]]).T, layout
+        # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts, and
+        # that of a symbol's own vector is empty. What is looked up together stands together.
+        self.own = np.concatenate([e @ p["q"] * scale, e, np.zeros((len(e), 1), np.float32)], 1)
+        self.past = np.concatenate([e @ p["k"], e @ p["v"], np.ones((len(e), 1), np.float32)], 1)
         gap = np.arange(HALF)[:, None] + HALF - np.arange(WINDOW)[None, :]
         self.bias = np.where(gap < 0, np.float32(-1e9), p["far"][np.clip(gap, 0, WINDOW - 1)]).astype(np.float32)
 
@@ -584,11 +649,11 @@ class Scorer:
         first = np.concatenate([[0], np.cumsum(blocks + 1)])  # a text has a masked half window before it
         place = np.arange(len(symbols)) + np.repeat((first[:-1] + 1) * HALF - offsets[:-1], n)
         x = np.full(first[-1] * HALF + 1, self.layout.start, np.int64)
-        x[place + 1] = self.layout.vector[symbols]  # a symbol is scored from those before it
+        x[place + 1] = self.layout.vector.take(symbols)  # a symbol is scored from those before it
         x[place[offsets[1:] - 1] + 1] = self.layout.start  # nothing comes after an end
         x = x[:-1]
         target = np.zeros(len(x), np.int64)
-        target[place] = self.layout.group[symbols]
+        target[place] = self.layout.group.take(symbols)
         fresh = np.zeros(first[-1], bool)  # blocks that see nothing of the block before: a text's first, and its masked ones
         fresh[first[:-1]] = fresh[first[:-1] + 1] = True
         x, target, out = x.reshape(-1, HALF), target.reshape(-1, HALF), np.zeros(x.shape, np.float32).reshape(-1, HALF)
@@ -599,35 +664,38 @@ class Scorer:
                 if not np.isfinite(found).all():  # too large for exp as it stands
                     found = self._batch(x[at - 1 : block.stop], target[block], fresh[block], True)
                 out[block] = found
-        return (out.ravel()[place] + self.layout.inside[symbols]) / np.float32(np.log(10))
+        return (out.ravel().take(place) + self.layout.inside.take(symbols)) / np.float32(np.log(10))
 
     def _batch(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, careful: bool) -> np.ndarray:
         """Scores of all blocks of x but the first, each of which sees the one before."""
-        own = x[1:]
+        own, past = self.own.take(x[1:], 0), self.past.take(x, 0)
 
         def pairs(t: np.ndarray) -> np.ndarray:  # each block with the one before, without a copy
             return np.lib.stride_tricks.as_strided(t, (len(own), WINDOW, t.shape[2]), (HALF * t.strides[1], t.strides[1], t.strides[2]))
 
-        a = self.q[own] @ pairs(self.k[x]).transpose(0, 2, 1)
+        a = own[..., :WIDTH] @ pairs(past[..., :WIDTH]).transpose(0, 2, 1)
         a += self.bias
         if careful:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a[fresh, :, :HALF] = 0
-        seen = a @ pairs(self.v[x])
-        h = (self.e[own] + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH)
-        order, cuts = by_kind(target.ravel())
-        h, of, at = with_one(h[order]), target.ravel()[order], np.arange(len(h))
-        one, two = h @ self.kinds, leaf_logits(h, cuts, self.leaves)
+        seen = a @ pairs(past[..., WIDTH:])
+        seen /= seen[..., WIDTH:].copy()  # the last becomes 1, which takes the bias
+        seen += own[..., WIDTH:]
+        order, spans = by_kind(target.ravel())
+        h, leaf, at = seen.reshape(-1, WIDTH + 1).take(order, 0), target.ravel().take(order) % LEAVES, np.arange(target.size)
+        one, two = self.kinds @ h.T, leaf_logits(h, spans, self.leaves)
         if careful:
-            one -= one.max(1, keepdims=True)
-            two -= two.max(1, keepdims=True)
-        hit = one[at, of // LEAVES] + two[at, of % LEAVES]
+            one -= one.max(0)
+            two -= two.max(0)
+        hit = two.ravel().take(leaf * target.size + at)
+        for i, start, stop in spans:
+            hit[start:stop] += one[i, start:stop]
         np.exp(one, out=one)
         np.exp(two, out=two)
         out = np.empty_like(hit)
-        out[order] = hit - np.log(one @ np.ones(SUPERS, np.float32) * (two @ np.ones(LEAVES, np.float32)))
-        return out.reshape(own.shape)
+        out[order] = hit - np.log(one.sum(0) * two.sum(0))
+        return out.reshape(target.shape)
 
 
 class Known:
@@ -676,14 +744,15 @@ class Model:
     def __init__(self, table: DataFrame, path: str) -> None:
         """table: symbol_table of all documents."""
         mine = speller(path)
-        counts = settle(table.where(f"kind <> {TEXT}").groupBy("kind", F.col("key").alias("h")).agg(F.sum("n").alias("c")), "lm-counts")
+        parts = table.where(f"kind <> {TEXT}").select("kind", "key", "s").repartition("kind", "key").sortWithinPartitions("kind", "key")
+        counts = settle(parts.mapInArrow(added_up, "kind byte, h long, c long"), "lm-counts")
         self.words = counts.where(f"kind = {WORD_COUNT}").select("h", "c")
         told = self.words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-        self.texts = int(counts.where(f"kind = {TEXT_COUNT}").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-        self.v, self.n = told.v + (self.texts > 0), told.n + self.texts
+        seen = counts.where(f"kind = {SYMBOL_COUNT}").select("h", "c").toArrow()  # symbols of the vocabulary at most
         of = np.zeros(mine.n_symbols, np.int64)
-        for r in counts.where(f"kind = {SYMBOL_COUNT}").select("h", "c").collect():  # symbols of the vocabulary at most
-            of[r.h] = r.c
+        of[seen.column("h").to_numpy()] = seen.column("c").to_numpy()
+        self.texts = int(of[mine.end])
+        self.v, self.n = told.v + (self.texts > 0), told.n + self.texts
         self.flat, self.layout = fit(table, of, mine.starts)
 
     @property

@@ -550,6 +550,48 @@ def test_windows_are_packed_whole():
     assert (x[2, 0], x[3, 10]) == (layout.start, layout.start) and (x[windows[:, :-1] >= 0] == layout.vector[windows[:, :-1][windows[:, :-1] >= 0]]).all()
 
 
+def test_windows_of_a_group_come_together(frame, prose):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    table = lm.symbol_table(lm.numbered(frame([prose(i, 700) for i in range(8)])).withColumn("held_out", F.lit(False)), path).coalesce(1)
+    layout = lm.Layout(np.arange(lm.speller(path).n_symbols) % 50, lm.speller(path).starts)
+    want = sorted(lm.packed(np.frombuffer(r.w, np.int32)[None], layout).tobytes() for r in lm._windows(table, 3, 0, slices=1).collect())
+    found = []
+    for spans in (1, 4):
+        rows = lm._windows(table, 3, 0, slices=1, layout=layout, spans=spans)
+        assert rows.count() <= 3 * spans < len(want)
+        groups = collections.defaultdict(bytes)
+        for g, steps in lm._steps_of(rows.orderBy("g", "span").toArrow().to_batches()):
+            groups[g] += steps.tobytes()
+        found.append(groups)
+    assert found[0] == found[1]  # spans leave the order of training as it is
+    held = b"".join(found[0].values())
+    assert sorted(held[i : i + lm.PACKED] for i in range(0, len(held), lm.PACKED)) == want
+
+
+@pytest.mark.parametrize("known", [5, lm.KNOWN])
+def test_counts_are_added_up(frame, prose, odd, known, monkeypatch):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    coder, texts = lm.speller(path), [(t[1] if isinstance(t, tuple) else t) or "" for t in odd] + [prose(i, 300) for i in range(20)]
+    table = lm.symbol_table(lm.numbered(frame(texts)).repartition(4).withColumn("held_out", F.lit(False)), path)
+    parts = table.where(f"kind <> {lm.TEXT}").orderBy("kind", "key").toArrow()
+    assert len(parts) <= 4 * (lm.COUNT_PARTS + coder.n_symbols // lm.COUNT_SYMBOLS + 1)
+    monkeypatch.setattr(lm, "KNOWN", known)
+    got = {(k, h): c for b in lm.added_up(parts.to_batches()) for k, h, c in zip(*(x.to_pylist() for x in b.columns), strict=True)}
+    words = collections.Counter(w.encode() for t in texts for w in re.findall(WORD, lower(t)))
+    symbols = collections.Counter({coder.end: len(texts)})
+    for w, n in words.items():
+        symbols.update({s: n * k for s, k in collections.Counter(coder.spell([w])[1].tolist()).items()})
+    assert {h: c for (k, h), c in got.items() if k == lm.SYMBOL_COUNT} == dict(symbols)
+    assert sorted(c for (k, _), c in got.items() if k == lm.WORD_COUNT) == sorted(words.values())
+
+
+def test_odd_words_are_spelled_as_alone():
+    coder = lm.speller(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    words = [w.encode() for w in ("one", "a\u00a0b", "\u00a0", "\u3000x", "y\u2003", "\u0085\u00a0", "two", "it's", "é")]
+    offsets, symbols = coder.spell(words)
+    assert [symbols[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [coder.spell([w])[1].tolist() for w in words]
+
+
 def naive_log(p, layout, symbols, i):
     """Natural log of the probability of symbols[i], one query at a time: what stands before it back to the half window before its own."""
     start = max(0, (i // lm.HALF - 1) * lm.HALF)
