@@ -134,22 +134,22 @@ WORD_COUNT, SYMBOL_COUNT, TEXT = range(3)
 
 
 def symbol_table(docs: DataFrame, path: str) -> DataFrame:
-    """(kind, doc_id, held_out, key, n, s) of rows (doc_id, held_out, key, text). A TEXT is a row of docs with its number of symbols and the
-    symbols, as int32. Others count training texts: s has n hashes of words, or symbols, and then how often each occurs, as int64; all that
-    count the same have the same key."""
+    """(kind, doc_id, held_out, key, n, s, counts) of rows (doc_id, held_out, key, text). A TEXT is a row of docs with its number of symbols
+    and the symbols, as int32. Others count training texts: counts has n hashes of words, or symbols, and then how often each occurs, as
+    int64; all that count the same have the same key."""
     kind = docs.schema["doc_id"].dataType
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = speller(path)
         symbols_seen, id_type = np.zeros(mine.n_symbols, np.int64), None
-        names = ["kind", "doc_id", "held_out", "key", "n", "s"]
+        names = ["kind", "doc_id", "held_out", "key", "n", "s", "counts"]
 
         def counted(kind: int, parts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(parts, kind="stable")
             parts, told = parts[order], np.stack([keys.view(np.int64)[order], n[order]])
             heads = np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0]
             s = [told[:, a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int8)), pa.nulls(len(s), id_type), pa.nulls(len(s), pa.bool_()), pa.array(parts[heads].astype(np.int64)), pa.array(np.diff(np.append(heads, len(parts)))), pa.array(s, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int8)), pa.nulls(len(s), id_type), pa.nulls(len(s), pa.bool_()), pa.array(parts[heads].astype(np.int64)), pa.array(np.diff(np.append(heads, len(parts)))), pa.nulls(len(s), pa.binary()), pa.array(s, pa.binary())], names)
 
         for part in steps(batches, limit=SPELL_BYTES, room=ROOM):
             words = Words(part.column("text"), lower=True)
@@ -168,16 +168,16 @@ def symbol_table(docs: DataFrame, path: str) -> DataFrame:
                 ends = offsets[at : at + 1001]
                 s = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(held)])
                 own = part.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, TEXT, np.int8)), own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(ends), pa.int64()), s.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, TEXT, np.int8)), own.column("doc_id"), own.column("held_out"), own.column("key"), pa.array(np.diff(ends), pa.int64()), s.cast(pa.binary()), pa.nulls(own.num_rows, pa.binary())], names)
         seen = np.nonzero(symbols_seen)[0]
         if len(seen):
             yield counted(SYMBOL_COUNT, seen // COUNT_SYMBOLS, seen, symbols_seen[seen])
 
-    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"kind byte, doc_id {kind.simpleString()}, held_out boolean, key long, n long, s binary")
+    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(spell, f"kind byte, doc_id {kind.simpleString()}, held_out boolean, key long, n long, s binary, counts binary")
 
 
 def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, h, c), each hash or symbol once, of a symbol table's counts (kind, key, s) that come key by key."""
+    """(kind, h, c), each hash or symbol once, of a symbol table's (kind, key, counts) that come key by key."""
 
     def merged(told: list[np.ndarray]) -> np.ndarray:
         told = np.concatenate(told, 1)
@@ -187,12 +187,12 @@ def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, held, size, limit = None, [], 0, KNOWN
     for batch in batches:
-        for kind, key, s in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), batch.column("s"), strict=True):
+        for kind, key, told in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), batch.column("counts"), strict=True):
             if held and now != (kind, key):
                 yield _counts(now[0], merged(held))
                 held, size, limit = [], 0, KNOWN
             now = (kind, key)
-            held.append(np.frombuffer(s.as_buffer(), np.int64).reshape(2, -1))
+            held.append(np.frombuffer(told.as_buffer(), np.int64).reshape(2, -1))
             size += held[-1].shape[1]
             if size > limit:  # what occurs again and again isn't kept again and again
                 held = [merged(held)]
@@ -635,6 +635,7 @@ class Scorer:
         p = unpacked(flat.astype(np.float32))
         e, scale = p["e"], np.float32(1 / np.sqrt(WIDTH))
         self.leaves, self.kinds, self.layout = leaf_weights(p["w"], p["b"]), np.concatenate([p["kw"], p["kb"][None]]).T, layout
+        self.group = layout.group.astype(np.uint8)
         # Input vectors are of symbols alone, so queries, keys and values are made once for each; a value's last place counts, and
         # that of a symbol's own vector is empty. What is looked up together stands together.
         self.own = np.concatenate([e @ p["q"] * scale, e, np.zeros((len(e), 1), np.float32)], 1)
@@ -652,8 +653,8 @@ class Scorer:
         x[place + 1] = self.layout.vector.take(symbols)  # a symbol is scored from those before it
         x[place[offsets[1:] - 1] + 1] = self.layout.start  # nothing comes after an end
         x = x[:-1]
-        target = np.zeros(len(x), np.int64)
-        target[place] = self.layout.group.take(symbols)
+        target = np.zeros(len(x), np.uint8)
+        target[place] = self.group.take(symbols)
         fresh = np.zeros(first[-1], bool)  # blocks that see nothing of the block before: a text's first, and its masked ones
         fresh[first[:-1]] = fresh[first[:-1] + 1] = True
         x, target, out = x.reshape(-1, HALF), target.reshape(-1, HALF), np.zeros(x.shape, np.float32).reshape(-1, HALF)
@@ -688,7 +689,7 @@ class Scorer:
         if careful:
             one -= one.max(0)
             two -= two.max(0)
-        hit = two.ravel().take(leaf * target.size + at)
+        hit = two.ravel().take(leaf * np.int64(target.size) + at)
         for i, start, stop in spans:
             hit[start:stop] += one[i, start:stop]
         np.exp(one, out=one)
@@ -698,10 +699,20 @@ class Scorer:
         return out.reshape(target.shape)
 
 
+#: Bits of the places for the most frequent known words.
+NEAR = 16
+
+
 class Known:
-    """Counts of known words, found by their hashes: those of one bucket (their leading bits) stand together."""
+    """Counts of known words, found by their hashes: those of one bucket (their leading bits) stand together. Frequent words are looked for
+    first, each in one place (its last bits), in a small table that stays in the cache."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        top = np.argsort(counts, kind="stable")[-(1 << NEAR) :]
+        self.near = ~np.arange(1 << NEAR, dtype=np.uint64)  # a place without a word has a hash of another place
+        self.near_counts = np.zeros(1 << NEAR, np.int64)
+        at = (hashes[top] & np.uint64((1 << NEAR) - 1)).astype(np.int64)
+        self.near[at], self.near_counts[at] = hashes[top], counts[top]
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.bits = max(1, int(len(hashes)).bit_length())
@@ -709,6 +720,13 @@ class Known:
 
     def get(self, hashes: np.ndarray) -> np.ndarray:
         """Count of each, -1 of those that aren't known."""
+        at = (hashes & np.uint64((1 << NEAR) - 1)).astype(np.int64)
+        out = self.near_counts.take(at)
+        left = np.nonzero(self.near.take(at) != hashes)[0]
+        out[left] = self._far(hashes.take(left))
+        return out
+
+    def _far(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         at, stop, left = self.starts[bucket], self.starts[bucket + 1], np.arange(len(hashes))
@@ -744,7 +762,7 @@ class Model:
     def __init__(self, table: DataFrame, path: str) -> None:
         """table: symbol_table of all documents."""
         mine = speller(path)
-        parts = table.where(f"kind <> {TEXT}").select("kind", "key", "s").repartition("kind", "key").sortWithinPartitions("kind", "key")
+        parts = table.where(f"kind <> {TEXT}").select("kind", "key", "counts").repartition("kind", "key").sortWithinPartitions("kind", "key")
         counts = settle(parts.mapInArrow(added_up, "kind byte, h long, c long"), "lm-counts")
         self.words = counts.where(f"kind = {WORD_COUNT}").select("h", "c")
         told = self.words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -773,7 +791,7 @@ def score(docs: DataFrame, path: str, *, share: float = SHARE) -> DataFrame:
     rows = numbered(docs)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = settle(symbol_table(rows, path), "lm-symbols", "zstd")
+    table = settle(symbol_table(rows, path), "lm-symbols", "zstd", 1)
     model = Model(table, path)
     end, words = speller(path).end, model.words
     held = spark.sparkContext.broadcast((model.flat, model.layout, Known(*_frequent(words)), model.below, model.texts))

@@ -42,16 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = "1000"
 
 
-def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str | None = None, level: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it. codec: how to compress
-    it, if not as the session does."""
+    it, if not as the session does; level: of zstd, if not Parquet's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, BATCH_ROWS)
     try:
-        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+        told = {"compression": codec, "parquet.compression.codec.zstd.level": level}
+        df.write.options(**{k: v for k, v in told.items() if v is not None}).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

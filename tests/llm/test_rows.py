@@ -540,6 +540,17 @@ def test_known_words_are_found():
     assert lm.Known(hashes[:0], np.arange(0)).get(hashes[:3]).tolist() == [-1] * 3 and known.get(hashes[:0]).tolist() == []
 
 
+@pytest.mark.parametrize("near", [1, 4, 12])
+def test_frequent_words_are_found_near(near, monkeypatch):
+    monkeypatch.setattr(lm, "NEAR", near)
+    hashes = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    counts = np.arange(len(hashes)) * 7919 % 4001 + 1
+    known = lm.Known(hashes, counts)
+    assert known.get(hashes).tolist() == counts.tolist() and (known.get(hashes ^ np.uint64(1 << 40)) == -1).all()
+    empty = lm.Known(hashes[:0], counts[:0])  # what fills empty places is no word
+    assert (empty.get(~np.arange(1 << near, dtype=np.uint64)) == -1).all() and (empty.get(np.arange(1 << near, dtype=np.uint64)) == -1).all()
+
+
 def test_windows_are_packed_whole():
     rng = np.random.default_rng(2)
     layout = lm.Layout(rng.integers(0, 50, 4001), rng.random(4001) < 0.5)
