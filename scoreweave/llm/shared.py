@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle  # noqa: F401  (the operators take it from here)
+from ..session import forget, settle  # noqa: F401  (the operators take them from here)
 
 #: A word is a run of characters other than these six (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"

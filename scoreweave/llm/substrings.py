@@ -15,6 +15,9 @@ smallest doc_id go. All other windows that hold a repeated edge (paths cut short
 joined one by one by 128 bits. The first document of a window is among these, unless the window stands in whole runs alone: if its
 run were one that goes, a smaller doc_id would have the window. So the joins miss none.
 
+Disk. A table goes as soon as the one made of it is there, and shuffle files go with the write that made them, so edges and windows
+are never on disk together.
+
 The smallest doc_id of a hash is found by a grouped minimum, which Spark combines before it shuffles; a passage shared by a third of
 all documents is one row of that table. Spark splits the join back where it is skewed.
 
@@ -33,12 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Words, bitmap, held_by, maybe_in, mix64, need, part_by, settle, sliding, steps, with_spot
+from .shared import Rolling, Words, bitmap, forget, held_by, maybe_in, mix64, need, part_by, settle, sliding, steps, with_spot
 
 WINDOW, KMER = 50, 12
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 
 
+def _settle(df: DataFrame, name: str, made: list | None = None) -> DataFrame:
+    """df as a table, which made, if given, gets too. Most of this operator's disk are shuffles of edges and windows: they go with the write."""
+    out = settle(df, name, tidy=True)
+    if made is not None:
+        made.append(out)
+    return out
+
+
 class Graph:
     """Anchors and edges of a slice of texts. Of each edge: row, first word (in all of the slice's words), words, node it leaves, node it enters."""
 
@@ -83,23 +94,23 @@ def _edges(docs: DataFrame, window: int, kmer: int) -> DataFrame:
     return docs.mapInArrow(cut, "h long, v long, out long, into long, doc_id long, key long, first int, size int")
 
 
-def compacted(edges: DataFrame) -> DataFrame:
+def compacted(edges: DataFrame, made: list | None = None) -> DataFrame:
     """(edge, head, place, length) of edges (edge, out, into), each once: the first edge of its nonbranching path, the edges before it there, and
-    the path's edges. On a circle an edge is its own head, and place and length are 0."""
+    the path's edges. On a circle an edge is its own head, and place and length are 0. made gets the tables that these rows are read from."""
     # A node without branches is one row on either side of the join.
     leaving = edges.groupBy(F.col("out").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("edge")).where("n = 1").drop("n")
     entering = edges.groupBy(F.col("into").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("before")).where("n = 1").drop("n")
     links = leaving.join(entering, "node").select("edge", "before")
     first = F.col("before").isNull()
     now = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("before", "edge").alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done"))
-    now = settle(now, "substring-pointers")
+    now = _settle(now, "substring-pointers", made)
     # Each round writes only the edges that weren't at their heads before it.
     there, now = now.where("done"), now.where("not done")
     left = now.count()
     while left:
         ahead = there.unionByName(now).select(F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("place").alias("more"), F.col("done").alias("there"))
         moved = now.join(ahead, "to").select("edge", F.col("beyond").alias("to"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"))
-        moved = settle(moved, "substring-pointers")
+        moved = _settle(moved, "substring-pointers", made)
         there, now = there.unionByName(moved.where("done")), moved.where("not done")
         before, left = left, now.count()
         if left == before:  # edges of a path come to its head at least one a round
@@ -112,15 +123,18 @@ def compacted(edges: DataFrame) -> DataFrame:
 def _paths(edges: DataFrame) -> DataFrame:
     """(h, v, head, place, length) of each repeated edge; head is two columns."""
     shared = edges.groupBy("h", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("out").alias("out"), F.min("into").alias("into"))
-    shared = settle(shared.where("least < most").select(F.struct("h", "v").alias("edge"), "out", "into"), "substring-repeated")
-    return settle(compacted(shared).select("edge.h", "edge.v", F.col("head.h").alias("head_h"), F.col("head.v").alias("head_v"), "place", "length"), "substring-paths")
+    made = []
+    shared = _settle(shared.where("least < most").select(F.struct("h", "v").alias("edge"), "out", "into"), "substring-repeated", made)
+    paths = _settle(compacted(shared, made).select("edge.h", "edge.v", F.col("head.h").alias("head_h"), F.col("head.v").alias("head_v"), "place", "length"), "substring-paths")
+    forget(*made)
+    return paths
 
 
-def _runs(edges: DataFrame, paths: DataFrame, window: int, kmer: int) -> DataFrame:
+def _runs(edges: DataFrame, paths: DataFrame, window: int, kmer: int, made: list | None = None) -> DataFrame:
     """(doc_id, key, head_h, head_v, whole, start, stop, low, high): stretches of a text whose edges follow each other on a path; its words
-    [start, stop), and the windows [low, high] that hold an edge of it. whole: the path from its head to its end."""
+    [start, stop), and the windows [low, high] that hold an edge of it. whole: the path from its head to its end. made: as in compacted."""
     at = edges.join(paths, ["h", "v"]).select("doc_id", "key", F.struct("first", "size", "head_h", "head_v", "place", "length").alias("at"))
-    at = settle(at.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("at")), "substring-places")  # a text's own edges
+    at = _settle(at.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("at")), "substring-places", made)  # a text's own edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +183,11 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(spell, "h long, v long, doc_id long, key long, first int")
 
 
-def _found(rows: DataFrame) -> DataFrame:
+def _found(rows: DataFrame, made: list | None = None) -> DataFrame:
     """rows plus least: the smallest doc_id with the same hashes, of hashes that more doc_ids than one have. These are a table of
-    their own, since Spark splits a skewed join between tables but not one with a grouping."""
+    their own, since Spark splits a skewed join between tables but not one with a grouping. made: as in compacted."""
     shared = rows.groupBy("h", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "v", "least")
-    return rows.join(settle(shared, "substring-shared"), ["h", "v"])
+    return rows.join(_settle(shared, "substring-shared", made), ["h", "v"])
 
 
 def covered_words(ranges: list, n: int, window: int) -> np.ndarray:
@@ -198,11 +212,15 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER) -> DataF
         raise ValueError("a window must be longer than an anchor")
     texts = _numbered(docs)
     known = texts.where("doc_id is not null")
-    edges = settle(_edges(known, window, kmer), "substring-edges")
-    runs = settle(_runs(edges, _paths(edges), window, kmer), "substring-runs")
+    made = []  # tables that the next one is read from; they go when it is there
+    edges = _settle(_edges(known, window, kmer), "substring-edges", made)
+    made.append(paths := _paths(edges))
+    runs = _settle(_runs(edges, paths, window, kmer, made), "substring-runs")
+    forget(*made)
+    made = [runs]
     by = F.when(F.col("whole"), F.col("doc_id"))
     whole = runs.groupBy("head_h", "head_v").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.bool_and("whole").alias("closed")).where("least < most").drop("most")
-    marked = runs.join(settle(whole, "substring-whole"), ["head_h", "head_v"], "left")
+    marked = runs.join(_settle(whole, "substring-whole", made), ["head_h", "head_v"], "left")
     full = F.col("whole") & (F.col("stop") - F.col("start") >= window) & F.col("least").isNotNull()
     cut = full & (F.col("doc_id") > F.col("least"))
     # Where all runs of a path are whole, others with a window inside the first copy's run are cut by their own runs.
@@ -212,12 +230,16 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER) -> DataF
     marked = marked.select("doc_id", "key", F.when(cut, F.array(ranged(F.col("start"), F.col("stop") - window))).alias("gone"), F.when(inside, around).otherwise(F.array(ranged(F.col("low"), F.col("high")))).alias("open"))
     # One row a text, and its ranges are no more than its words.
     ranges = marked.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.filter(F.flatten(F.collect_list("open")), lambda r: r["number"] > 0).alias("open"))
-    ranges = settle(ranges, "substring-ranges")
+    ranges = _settle(ranges, "substring-ranges")
+    forget(*made)
+    made = [ranges]
     opened = ranges.where(F.size("open") > 0).select("doc_id", "key", "open")
-    singles = settle(_windows(part_by(known, opened, "key")[0].join(opened, ["doc_id", "key"]), window), "substring-windows")
-    single = _found(singles).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", F.lit(1).alias("number"))).alias("gone"))
+    singles = _settle(_windows(part_by(known, opened, "key")[0].join(opened, ["doc_id", "key"]), window), "substring-windows", made)
+    single = _found(singles, made).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", F.lit(1).alias("number"))).alias("gone"))
     both = ranges.where(F.size("gone") > 0).select("doc_id", "key", "gone").unionByName(single)
-    return settle(both.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone")), "substring-gone")
+    gone = _settle(both.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone")), "substring-gone")
+    forget(*made)
+    return gone
 
 
 def _kept(texts: DataFrame, gone: DataFrame, window: int) -> DataFrame:

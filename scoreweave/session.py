@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,17 +43,37 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = "1000"
 
 
-def settle(df: DataFrame, name: str, codec: str | None = None, level: int | None = None) -> DataFrame:
+#: Whether Spark removes a write's shuffle files as it ends. By default they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The folder of each settled table that is still held.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def settle(df: DataFrame, name: str, codec: str | None = None, level: int | None = None, tidy: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it. codec: how to compress
-    it, if not as the session does; level: of zstd, if not Parquet's."""
+    it, if not as the session does; level: of zstd, if not Parquet's. tidy: shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_ROWS)
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS} | ({CLEANUP: "true"} if tidy else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         told = {"compression": codec, "parquet.compression.codec.zstd.level": level}
         df.write.options(**{k: v for k, v in told.items() if v is not None}).parquet(path)
     finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove settled tables. Whatever was made of them must be settled itself by now."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(table))
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

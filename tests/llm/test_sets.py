@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scoreweave.llm import decontam, graph, mixing, neardup, substrings
+from scoreweave.session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -205,6 +207,21 @@ def test_substrings_match_brute_force(frame, prose, odd, window, kmer, seed):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_removed(held, window)
 
 
+def test_tables_of_substrings_go_when_they_are_done_with(spark, frame, prose, monkeypatch):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    left = lambda: sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    at, windows = [], substrings._windows
+    monkeypatch.setattr(substrings, "_windows", lambda *a: at.append(left()) or windows(*a))
+    texts = corpus(prose, random.Random(4), 40)
+    rows = frame(texts)
+    gone = substrings.repeats(rows, window=8, kmer=3)
+    assert at == [["substring-ranges"]]  # edges are gone before windows are written
+    assert left() == ["substring-gone"]
+    got = substrings._kept(substrings._numbered(rows), gone, 8).select("doc_id", "n_words", "n_removed", "digest")
+    assert collections.Counter(map(tuple, got.collect())) == brute_removed(list(enumerate(texts)), 8)
+
+
 def test_dropping_repeats(frame, prose):
     passage = prose(5, 60)
     rows = frame(["one " + passage + " two\nthree", "four\tfive " + passage, passage, "clean  text\n stays", None]).withColumn("kept", F.lit(1)).withColumn("spot", F.lit(2))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scoreweave.llm import shared as S
+from scoreweave.session import CLEANUP, forget, settle
 
 TEXT = st.text(alphabet="ab AB.\t\n\x0b\x0c\r\x1c\x1f\u00a0é日", max_size=40)
 
@@ -52,3 +54,23 @@ def test_bitmap_misses_none(spark):
     found = {r.k for r in inside.collect()}
     assert {k for k in range(2000) if k % 7 == 0} <= found and len(found) < 400
     assert {r.k for r in outside.collect()} == set(range(2000)) - found
+
+
+def test_shuffle_files_go_with_a_tidy_write(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    # A sequence's text: names of files, whatever their folders.
+    files = lambda: {x for x in re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" "))}
+    before, how = files(), spark.conf.get(CLEANUP)
+    rows = spark.range(1000).repartition(3, "id")
+    table = settle(rows, "loose")
+    loose = files() - before
+    forget(table)
+    assert loose  # else this test sees nothing
+    before |= loose
+    table = settle(rows, "tidy", tidy=True)
+    end = time.monotonic() + 10
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == how
+    assert table.count() == 1000
+    forget(table)
